@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once, also where lambdas inside the body refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- keys and casts ---------------------------------------------------------------------------
 
 
