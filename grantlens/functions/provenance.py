@@ -82,15 +82,16 @@ def encode_weights(w: ColumnLike) -> Column:
 def decode_weights(c: ColumnLike) -> Column:
     """Inverse of the codec: unknown codes ignored, the last duplicate wins, values held to 0..10."""
     pieces = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), lambda p: F.split(p, ":"))
-    fields = []
-    for name, code, default in WEIGHT_DIMENSIONS:
+
+    def field(name: str, code: str, default: int) -> Column:
         # a missing number is ignored, an empty one reads as zero
-        hits = F.filter(pieces, lambda p, code=code: (p[0] == code) & F.get(p, F.lit(1)).rlike(NUMBER_TEXT))
+        hits = F.filter(pieces, lambda p: (p[0] == code) & F.get(p, F.lit(1)).rlike(NUMBER_TEXT))
         last = F.get(F.get(hits, F.size(hits) - 1), F.lit(1))
         number = F.coalesce(F.nullif(F.trim(last), F.lit("")), F.lit("0")).try_cast("double")
         value = F.greatest(F.lit(0), F.least(F.lit(10), js_round(number)))
-        fields.append(F.when(F.size(hits) > 0, value).otherwise(F.lit(default)).cast("int").alias(name))
-    return F.struct(*fields)
+        return F.when(F.size(hits) > 0, value).otherwise(F.lit(default)).cast("int").alias(name)
+
+    return F.struct(*[field(*dimension) for dimension in WEIGHT_DIMENSIONS])
 
 
 def weight_total(w: ColumnLike) -> Column:

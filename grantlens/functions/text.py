@@ -64,8 +64,14 @@ def java_pattern(pattern: str) -> str:
 
 
 def any_phrase(rules: tuple[PhraseRule, ...] = PHRASE_RULES) -> str:
-    """One pattern that hits wherever any rule does, for screening a text in a single scan."""
-    return java_pattern("|".join(f"(?:{r.pattern})" for r in rules))
+    """One pattern that hits wherever any rule does, for screening a text in a single scan.
+
+    Every rule opens on a word boundary, so the boundary and the possible first letters are tested
+    once per position before any alternative is tried.
+    """
+    letters = sorted({c for r in rules for c in re.findall(r"(?:\\b\(?|\|)([a-z])", r.pattern)})
+    bodies = "|".join(f"(?:{r.pattern.removeprefix(chr(92) + 'b')})" for r in rules)
+    return java_pattern(f"(?<!{WORD})(?=[{''.join(letters)}])(?:{bodies})")
 
 
 def sentence_around(before: Column, match: Column, after: Column) -> Column:
@@ -80,16 +86,11 @@ def sentence_around(before: Column, match: Column, after: Column) -> Column:
     return js_trim(F.concat(start, F.when(after.contains("."), closed).otherwise(opened)))
 
 
-def first_hit(text: ColumnLike, pattern: str) -> Column:
-    """struct(match, sentence) of the first hit of a pattern; NULL when there is none."""
-    t = col(text)
-    halves = F.split(t, pattern, 2)
-    match = F.regexp_extract(t, pattern, 0)
-    hit = F.struct(
-        match.alias("match"),
-        sentence_around(F.get(halves, F.lit(0)), match, F.get(halves, F.lit(1))).alias("sentence"),
-    )
-    return F.when(t.rlike(pattern), hit)
+def match_and_sentence(text: ColumnLike, pattern: str) -> tuple[Column, Column]:
+    """First hit of a pattern and the sentence it stands in, for texts known to have one."""
+    halves = F.split(col(text), pattern, 2)
+    match = F.regexp_extract(col(text), pattern, 0)
+    return match, sentence_around(F.get(halves, F.lit(0)), match, F.get(halves, F.lit(1)))
 
 
 def direct_quotes(text: ColumnLike) -> Column:

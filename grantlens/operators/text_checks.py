@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, bind, col
-from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, first_hit, java_pattern, word_count
+from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, java_pattern, match_and_sentence, word_count
 
 MAX_QUOTE_WORDS = 15
 
@@ -53,9 +53,10 @@ def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RUL
     """
     hits = []
     for rule in rules:
-        hit = first_hit(text, java_pattern(rule.pattern))
-        found = violation("CALIBRATION_LEAK", hit["sentence"], hit["match"], None, F.lit(rule.rewrite))
-        hits.append(F.when(hit.isNotNull(), found))
+        pattern = java_pattern(rule.pattern)
+        match, sentence = match_and_sentence(text, pattern)
+        found = violation("CALIBRATION_LEAK", sentence, match, None, F.lit(rule.rewrite))
+        hits.append(F.when(col(text).rlike(pattern), found))
     listed = F.filter(F.array(*hits), lambda v: v.isNotNull()).cast(f"array<{VIOLATION}>")
     return F.when(col(text).rlike(any_phrase(tuple(rules))), listed).otherwise(no_violations())
 

@@ -134,6 +134,11 @@ def weights_json(w: ColumnLike) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
 
 
+def with_fields(struct: Column, names: Sequence[str], **changes: Column) -> Column:
+    """The struct with some fields replaced, spelled out once so that nested updates stay small."""
+    return F.struct(*[changes.get(n, struct[n]).alias(n) for n in names])
+
+
 def chain_tokens(
     parents: DataFrame,
     reason: str = "reason",
@@ -158,34 +163,42 @@ def chain_tokens(
     if not keep_rejected:
         df = df.filter(committed)
     p = F.col(token)
+    shape = parents.schema[token].dataType
+    tier_shape = shape["tiers"].dataType
     seed = F.concat_ws("|", p["proofId"], weights_json("_w"), F.coalesce(reason, F.lit("")))
     df = df.withColumn("_hash", F.substring(poly31_hex(seed), 1, 6)).withColumn("_ok", committed)
     df = df.withColumn("_score", rescore(p["finding"]["score"], "_w"))
     flagged = F.array(F.concat(F.lit("chainReason flagged "), F.col("_leaks").cast("string"), F.lit(" calibration violation(s)")))
-    audit = p["tiers"]["audit"]
-    child = (
-        p.withField("proofId", F.concat(F.lit(f"ppm-{issued_at}-chain-"), F.col("_hash")))
-        .withField("issuedAt", F.lit(issued_at))
-        .withField("issuedBy", F.lit(issued_by))
-        .withField("finding.score", F.col("_score"))
-        .withField("finding.scoreLabel", score_label("_score"))
-        .withField("finding.summary", rescored_summary(p["finding"]["summary"]))
-        .withField("tiers.output.calibrationCheck", F.when(F.col("_ok"), F.lit("passed")).otherwise(F.lit("failed")))
-        .withField("tiers.output.languageViolations", F.when(F.col("_ok"), F.array().cast("array<string>")).otherwise(flagged))
-        .withField("tiers.output.passed", F.col("_ok"))
-        .withField("tiers.audit.passed", F.col("_ok"))
-        .withField("tiers.audit.previousTokenHash", audit["tokenHash"])
-        .withField("tiers.audit.tokenHash", F.concat(F.lit("sha256:chain-"), F.col("_hash"), F.lit("-pending-seal")))
-        .withField("tiers.audit.humanReviewed", F.lit(False))
-        .withField("tiers.audit.humanReviewer", F.lit(None).cast("string"))
-        .withField("tiers.audit.operatorAgent", F.lit(issued_by))
-        .withField(
-            "tiers.audit.logRef",
-            F.concat(
-                F.lit(f"{log_name}#chain-"), F.col("_hash"), F.lit(" (rationale: "),
-                F.substring(F.coalesce(reason, F.lit("")), 1, 80), F.lit(")"),
-            ),
-        )
+    finding = with_fields(
+        p["finding"], shape["finding"].dataType.fieldNames(),
+        score=F.col("_score"), scoreLabel=score_label("_score"), summary=rescored_summary(p["finding"]["summary"]),
+    )
+    output = with_fields(
+        p["tiers"]["output"], tier_shape["output"].dataType.fieldNames(),
+        passed=F.col("_ok"),
+        calibrationCheck=F.when(F.col("_ok"), F.lit("passed")).otherwise(F.lit("failed")),
+        languageViolations=F.when(F.col("_ok"), F.array().cast("array<string>")).otherwise(flagged),
+    )
+    audit = with_fields(
+        p["tiers"]["audit"], tier_shape["audit"].dataType.fieldNames(),
+        passed=F.col("_ok"),
+        previousTokenHash=p["tiers"]["audit"]["tokenHash"],
+        tokenHash=F.concat(F.lit("sha256:chain-"), F.col("_hash"), F.lit("-pending-seal")),
+        humanReviewed=F.lit(False),
+        humanReviewer=F.lit(None).cast("string"),
+        operatorAgent=F.lit(issued_by),
+        logRef=F.concat(
+            F.lit(f"{log_name}#chain-"), F.col("_hash"), F.lit(" (rationale: "),
+            F.substring(F.coalesce(reason, F.lit("")), 1, 80), F.lit(")"),
+        ),
+    )
+    child = with_fields(
+        p, shape.fieldNames(),
+        proofId=F.concat(F.lit(f"ppm-{issued_at}-chain-"), F.col("_hash")),
+        issuedAt=F.lit(issued_at),
+        issuedBy=F.lit(issued_by),
+        finding=finding,
+        tiers=with_fields(p["tiers"], tier_shape.fieldNames(), output=output, audit=audit),
     )
     return df.withColumn(token, child).drop("_w", "_leaks", "_hash", "_ok", "_score")
 

@@ -37,25 +37,25 @@ def _raw_token() -> str:
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """JSON array(s) of finding cards."""
-    schema = schemas.as_columns(schemas.finding_card(_raw_token()))
+    schema = schemas.as_schema(schemas.finding_card(_raw_token()))
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     return raw.withColumn("proofToken", _typed_token(F.col("proofToken")))
 
 
 def read_briefs(spark: SparkSession, folder: str, one_per_line: bool = False) -> DataFrame:
     """One brief per file, named by its slug; one_per_line reads bulk files of many briefs."""
-    schema = schemas.as_columns(schemas.brief(_raw_token()))
+    schema = schemas.as_schema(schemas.brief(_raw_token()))
     raw = spark.read.schema(schema).option("multiLine", not one_per_line).option("pathGlobFilter", "*.json").json(folder)
     slug = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return raw.withColumn("slug", slug).withColumn("proofToken", _typed_token(F.col("proofToken")))
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.as_columns(schemas.REGISTER)).option("multiLine", True).json(path)
+    return spark.read.schema(schemas.as_schema(schemas.REGISTER)).option("multiLine", True).json(path)
 
 
 def read_citations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.as_columns(schemas.CITATION)).json(path)
+    return spark.read.schema(schemas.as_schema(schemas.CITATION)).json(path)
 
 
 def export_tokens(tokens: DataFrame, issuer: str, verify_base: str, note: str, token: str = "proofToken") -> DataFrame:

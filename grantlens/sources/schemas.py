@@ -1,5 +1,7 @@
 """Schemas of the nested documents, as DDL."""
 
+from pyspark.sql.types import DataType, StructType
+
 SUBJECT = "struct<entityId:string,canonicalName:string,bnRoot:string,datasetCoverage:array<string>>"
 
 # An evidence value is a number or a text; the two are kept in separate fields.
@@ -53,9 +55,9 @@ RECORDS = (
 )
 
 
-def as_columns(struct: str) -> str:
-    """A struct<...> type as a column list usable as a reader schema."""
-    return struct[len("struct<"):-1]
+def as_schema(struct: str) -> StructType:
+    """A struct<...> type as a reader schema."""
+    return DataType.fromDDL(struct)
 
 
 def brief(token_type: str = TOKEN) -> str:
