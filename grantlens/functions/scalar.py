@@ -137,11 +137,35 @@ def iso_millis(ts: ColumnLike) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def utc_text(ts: ColumnLike) -> Column:
+    """Timestamp as 'Wed, 29 Apr 2026 00:00:00 GMT' (UTC session time zone)."""
+    return F.date_format(col(ts), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
 def date_prefix(c: ColumnLike, chars: int = 10) -> Column:
     """Leading year (4) or day (10) of an ISO date text."""
     return F.substring(col(c).cast("string"), 1, chars)
 
 
+# --- links ------------------------------------------------------------------------------------
+
+# Characters a URI component keeps although form encoding escapes them.
+URI_UNESCAPED = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
+
+
+def uri_encode(c: ColumnLike) -> Column:
+    """Percent-encode a URI component."""
+    out = F.url_encode(col(c))
+    for form, uri in URI_UNESCAPED:
+        out = F.replace(out, F.lit(form), F.lit(uri))
+    return out
+
+
+def uri_decode(c: ColumnLike) -> Column:
+    """Decode a URI component; NULL when it is malformed."""
+    return F.try_url_decode(F.replace(col(c), F.lit("+"), F.lit("%2B")))
+
+
 # --- nested values ----------------------------------------------------------------------------
 
 

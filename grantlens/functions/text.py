@@ -64,14 +64,14 @@ def java_pattern(pattern: str) -> str:
 
 
 def any_phrase(rules: tuple[PhraseRule, ...] = PHRASE_RULES) -> str:
-    """One pattern that hits wherever any rule does, for screening a text in a single scan.
+    """One pattern that hits wherever any of the rules does, case ignored.
 
-    Every rule opens on a word boundary, so the boundary and the possible first letters are tested
+    Every rule opens on a word boundary, so the possible first letters and the boundary are tested
     once per position before any alternative is tried.
     """
     letters = sorted({c for r in rules for c in re.findall(r"(?:\\b\(?|\|)([a-z])", r.pattern)})
     bodies = "|".join(f"(?:{r.pattern.removeprefix(chr(92) + 'b')})" for r in rules)
-    return java_pattern(f"(?<!{WORD})(?=[{''.join(letters)}])(?:{bodies})")
+    return java_pattern(f"(?=[{''.join(letters)}])(?<!{WORD})(?:{bodies})")
 
 
 def sentence_around(before: Column, match: Column, after: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, bind, col
-from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, java_pattern, match_and_sentence, word_count
+from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, match_and_sentence, word_count
 
 MAX_QUOTE_WORDS = 15
 
@@ -53,7 +53,7 @@ def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RUL
     """
     hits = []
     for rule in rules:
-        pattern = java_pattern(rule.pattern)
+        pattern = any_phrase((rule,))
         match, sentence = match_and_sentence(text, pattern)
         found = violation("CALIBRATION_LEAK", sentence, match, None, F.lit(rule.rewrite))
         hits.append(F.when(col(text).rlike(pattern), found))

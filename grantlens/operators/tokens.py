@@ -21,7 +21,7 @@ from ..functions.provenance import (
     weights_struct,
     WEIGHT_DIMENSIONS,
 )
-from ..functions.scalar import ColumnLike, badge_state, col, score_label
+from ..functions.scalar import ColumnLike, badge_state, col, score_label, uri_encode
 from .guards import first_per_key
 from .text_checks import VIOLATION, phrase_violations, violation
 
@@ -203,6 +203,14 @@ def chain_tokens(
     return df.withColumn(token, child).drop("_w", "_leaks", "_hash", "_ok", "_score")
 
 
+def permalink(child_id: ColumnLike, parent_id: ColumnLike, w: ColumnLike, reason: ColumnLike) -> Column:
+    """Path that reproduces a chained token: parent, weights and reason travel in the query."""
+    return F.concat(
+        F.lit("/proof/"), col(child_id), F.lit("?parent="), col(parent_id), F.lit("&w="), encode_weights(w),
+        F.lit("&reason="), uri_encode(reason),
+    )
+
+
 def chain_audit(tokens: DataFrame, token: str = "proofToken") -> DataFrame:
     """For every token: does its parent hash resolve, and does its own seal still hold."""
     t = F.col(token)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import provenance as fp
 from ..functions import scalar
 from ..operators import briefs, tokens
-from ..session import checkpoint_dir
+from ..session import shared_path
 from ..sources import documents, schemas
 from . import inputs as i
 from .spending import _dossiers, _label_case
@@ -247,10 +245,6 @@ def finding_by_slug(spark: SparkSession, d: str) -> DataFrame:
 # --- files ------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def token_export(spark: SparkSession, d: str) -> DataFrame:
     """Exported JSON, with the envelope read back out of it."""
     out = documents.export_tokens(
@@ -266,7 +260,7 @@ def token_export(spark: SparkSession, d: str) -> DataFrame:
 def dossier_sink(spark: SparkSession, d: str) -> DataFrame:
     """Dossiers written as JSON documents and read back."""
     out = _dossiers(spark, d)
-    path = _folder(spark, "dossiers")
+    path = shared_path(spark, "dossiers")
     documents.write_dossiers(out, path, i.TOKEN_TIME)
     schema = out.withColumn("cachedAt", F.lit("")).schema
     back = documents.read_dossiers(spark, path, schema)
@@ -277,7 +271,7 @@ def dossier_sink(spark: SparkSession, d: str) -> DataFrame:
 
 def document_scan(spark: SparkSession, d: str) -> DataFrame:
     """Briefs and finding cards written as JSON, read with the document readers, evidence split again."""
-    path = _folder(spark, "briefs")
+    path = shared_path(spark, "briefs")
     raw = i.briefs(spark, d)
     token = F.col("proofToken")
     as_file = token.withField(

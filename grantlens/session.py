@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +32,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or current
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise an intermediate that several branches read, in the shared checkpoint folder.
+    """Write an intermediate that several branches read as a table in the shared folder.
 
-    A reliable checkpoint survives lost executors and keeps the branches from recomputing (and
-    possibly disagreeing about) the same shuffle.
+    The table survives lost executors, keeps the branches from recomputing (and possibly
+    disagreeing about) the same shuffle, and tells the planner its true size.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
