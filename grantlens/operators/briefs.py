@@ -61,12 +61,12 @@ def enrich_citations(briefs: DataFrame) -> DataFrame:
     cited = F.flatten(
         F.transform(
             brief_sentences(),
-            lambda s: F.transform(s["citations"], lambda c, i: F.struct(s["text"].alias("sentence"), (i + 1).alias("index"), c.alias("citation"))),
+            lambda s: F.transform(s["citations"], lambda c, i: F.struct(s["text"].alias("sentence"), (i + 1).alias("citation_no"), c.alias("citation"))),
         )
     )
     rows = briefs.select("briefId", "sources", F.inline(cited)).withColumn("s", lookup(F.col("citation")))
     return rows.select(
-        "briefId", "sentence", "index", "citation", F.col("s.title").alias("title"), F.col("s.kind").alias("kind"),
+        "briefId", "sentence", "citation_no", "citation", F.col("s.title").alias("title"), F.col("s.kind").alias("kind"),
         F.col("s.year").alias("year"), F.col("s.authorityTier").alias("authority_tier"), host_of("s.url").alias("host"),
         F.col("s.retrievalDate").alias("retrieval_date"),
     )
