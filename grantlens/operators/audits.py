@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, col
 from ..functions.text import SECRET_PATTERN
+from .skew import distinct_keys
 
 # The shape of a link in page source, and prefixes of links that leave the site.
 HREF_PATTERN = r"""href=(?:\{[`"']|["'])([^`"'\s}]+)"""
@@ -50,4 +51,4 @@ def dead_links(pages: DataFrame, routes: Sequence[str], html: str = "html", id_c
 def dead_links_table(pages: DataFrame, routes: DataFrame, html: str = "html", id_cols: Sequence[str] = ("page_id",)) -> DataFrame:
     """The same against a table of exact paths (column path), for route lists of any size."""
     links = pages.select(*id_cols, F.explode(internal_paths(html)).alias("path"))
-    return links.join(routes.select("path").distinct(), "path", "left_anti")
+    return links.join(distinct_keys(routes, "path"), "path", "left_anti")

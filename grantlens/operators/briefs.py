@@ -18,6 +18,7 @@ from ..functions.scalar import (
     slugify,
     stratum,
 )
+from .skew import distinct_keys
 from .text_checks import brief_sentences, citation_violations, phrase_violations, quote_violations
 from .tokens import token_violations
 
@@ -128,7 +129,7 @@ def feed(findings: DataFrame, query: str = "", sort_by: str = "score") -> DataFr
 def finding_by_slug(findings: DataFrame, slugs: DataFrame) -> DataFrame:
     """slugs(slug): the cards with that slug of their subject's name."""
     keyed = findings.withColumn("slug", slugify(_finding()["subject"]["canonicalName"]))
-    return keyed.join(slugs.select("slug").distinct(), "slug", "left_semi")
+    return keyed.join(distinct_keys(slugs, "slug"), "slug", "left_semi")
 
 
 def display_facets(findings: DataFrame) -> DataFrame:

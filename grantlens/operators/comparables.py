@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import fiscal_year, has_description
 from ..session import stage
 from .guards import current_version, first_per_key
+from .skew import SPREAD, distinct_keys, reduce_by, spread
 
 # Cells per unit of the natural logarithm when positions are counted; only affects task sizes.
 CELLS = 400
@@ -60,7 +61,7 @@ def _collect(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         F.col("program").alias("program"),
         F.col("year").alias("year"),
     )
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(name))
+    return reduce_by(df, keys, F.sort_array(F.collect_list(entry)).alias(name))
 
 
 def agreement_rows(
@@ -91,7 +92,7 @@ def pick_sources(rows: DataFrame, source_refs: DataFrame | None = None) -> DataF
     """One source row per reference number: the highest value, then the lowest id."""
     rows = rows.filter(F.col("ref").isNotNull())
     if source_refs is not None:
-        rows = rows.join(source_refs.select("ref").distinct(), "ref", "left_semi")
+        rows = rows.join(distinct_keys(source_refs, "ref"), "ref", "left_semi")
     return first_per_key(rows, ["ref"], _best_first())
 
 
@@ -136,10 +137,10 @@ def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, D
     # over at least `size` rows
     block = F.floor((F.col("pos") - 1) / size)
     entry = F.struct("pos", "value", "id", "ref", "year")
-    blocks = (
-        found.withColumn("block", F.explode(F.array(block, block + 1)))
-        .groupBy("program", "block")
-        .agg(F.sort_array(F.collect_list(entry), asc=False).alias("members"))
+    blocks = reduce_by(
+        found.withColumn("block", F.explode(F.array(block, block + 1))),
+        ["program", "block"],
+        F.sort_array(F.collect_list(entry), asc=False).alias("members"),
     )
 
     def look_back(points: DataFrame) -> DataFrame:
@@ -151,10 +152,12 @@ def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, D
     probes = placed.filter("kind = 1").select("program", F.col("value").alias("bound"), "pos")
     at_bound = look_back(probes).select("program", "bound", "members")
 
-    crowded = found.groupBy("program", "ref").agg(F.count("*").alias("n")).filter(F.col("n") > k)
+    own_rows = found.groupBy("program", "ref", spread("program", "ref")).agg(F.count("*").alias("n"))
+    crowded = own_rows.filter(F.col("n") > k)
     src = sources.filter(valued).select("program", "ref", F.col("value").cast(wide).alias("value"))
     src = src.select("program", "ref", upper.alias("bound"), (F.col("value") * F.lit("0.5").cast("decimal(2,1)")).alias("lower"))
-    crowded_src = src.join(crowded, ["program", "ref"], "left_semi")
+    src = src.withColumn(SPREAD, spread("program", "ref"))
+    crowded_src = src.join(crowded, ["program", "ref", SPREAD], "left_semi").drop(SPREAD)
     own = (
         found.select("program", "ref", "value", "pos")
         .join(crowded_src, ["program", "ref"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import json_number, normalize_postal, recipient_partition_key
 from .guards import current_version
 from .scoring import violation_counts
+from .skew import distinct_keys
 
 AGREEMENT_FIELDS = (
     "_id", "ref_number", "recipient_business_number", "recipient_legal_name", "recipient_country",
@@ -18,6 +19,9 @@ AGREEMENT_FIELDS = (
 )
 LOOP_FIELDS = ("bn", "legal_name", "score", "total_loops", "max_bottleneck", "total_circular_amt")
 
+# Parts a large entity is spread over while its pages are counted out.
+SALTS = 64
+
 # Rows a seed look-up keeps of each kind.
 SEED_LIMITS = {"golden": 5, "loops": 5, "agreements": 100, "violations": 10}
 
@@ -106,13 +110,21 @@ def entity_dossier(
     row. Entities without any agreement appear only with keep_empty.
     """
     if ids is not None:
-        entities = entities.join(ids.select("id").distinct(), "id", "left_semi")
+        entities = entities.join(distinct_keys(ids, "id"), "id", "left_semi")
     agreements = entity_agreements(entities, grants)
-    sizes = agreements.groupBy("entity_id").agg(F.count("*").alias("rows"))
-    sizes = sizes.select("entity_id", F.ceil(F.col("rows") / page_rows).cast("int").alias("pages"))
+    # Only entities of several pages are looked up, under a salt, so that neither this join nor the
+    # grouping by page gathers a large entity in one task.
+    sizes = agreements.groupBy("entity_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > page_rows)
+    sizes = sizes.select(
+        "entity_id",
+        F.ceil(F.col("rows") / page_rows).cast("int").alias("large"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+    )
     page = F.pmod(F.xxhash64("_id"), F.col("pages")).cast("int")
     packed = (
-        agreements.join(sizes, "entity_id")
+        agreements.withColumn("salt", F.pmod(F.xxhash64("_id", "ref_number"), F.lit(SALTS)).cast("int"))
+        .join(sizes, ["entity_id", "salt"], "left")
+        .withColumn("pages", F.coalesce("large", F.lit(1)))
         .withColumn("page", page)
         .groupBy("entity_id", "page")
         .agg(F.first("pages").alias("pages"), F.sort_array(F.collect_set(F.struct(*AGREEMENT_FIELDS))).alias("agreements"))

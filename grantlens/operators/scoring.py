@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.provenance import WEIGHT_DIMENSIONS, WEIGHTS_TYPE, encode_weights, rescore
 from ..functions.scalar import capped_sum, int_quotient, score_label, step_score
 from .guards import current_version, recipient_totals
+from .skew import reduce_by
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class ScoreRules:
 
 
 def violation_counts(violations: DataFrame, bn: str = "bn") -> DataFrame:
-    return violations.groupBy(F.col(bn).alias("bn")).agg(F.count("*").alias("arithmetic_violations"))
+    return reduce_by(violations.select(F.col(bn).alias("bn")), ["bn"], F.count("*").alias("arithmetic_violations"))
 
 
 def score_entities(
@@ -40,18 +41,22 @@ def score_entities(
 ) -> DataFrame:
     """Composite score of every entity.
 
-    All three joins run on the same coalesced entity key, so the entities shuffle once, the
-    pre-aggregated sides arrive already partitioned, and entities without a business number do
-    not pile up on a NULL key. Loops and violations only ever match on a real business number.
+    Totals, loops and violations are first merged into one row of facts per key; loops hold one row
+    per number. The entities then shuffle once, on their coalesced key, which keeps those without a
+    business number from gathering on NULL, and a key shared by many entities can be split. Loops
+    and violations only ever count for a real business number.
     """
-    counts = violation_counts(violations)
-    loop_rows = loops.select(F.col("bn").alias("loop_bn"), "score", "total_loops")
-    e = entities.withColumn("entity_key", F.coalesce("bn_root", "canonical_name"))
+    counts = violation_counts(violations).withColumnRenamed("bn", "fact_key")
+    loop_rows = loops.select(F.col("bn").alias("fact_key"), "score", "total_loops")
+    facts = (
+        totals.withColumnRenamed("recipient_key", "fact_key")
+        .join(loop_rows, "fact_key", "full")
+        .join(counts, "fact_key", "full")
+    )
     has_bn = F.col("bn_root").isNotNull()
-    joined = (
-        e.join(totals, F.col("entity_key") == F.col("recipient_key"), "left")
-        .join(loop_rows, (F.col("entity_key") == F.col("loop_bn")) & has_bn, "left")
-        .join(counts, (F.col("entity_key") == F.col("bn")) & has_bn, "left")
+    e = entities.withColumn("entity_key", F.coalesce("bn_root", "canonical_name"))
+    joined = e.join(facts, F.col("entity_key") == F.col("fact_key"), "left").withColumns(
+        {c: F.when(has_bn, F.col(c)) for c in ("score", "total_loops", "arithmetic_violations")}
     )
     both_covered = F.lit(True)
     for source in rules.coverage:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, bind, col
 from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, match_and_sentence, word_count
+from .skew import distinct_keys, reduce_by
 
 MAX_QUOTE_WORDS = 15
 
@@ -170,7 +171,7 @@ def citation_completeness_table(
 
     bare = out(sentences.filter(F.size(citations) == 0), F.lit("No citation pointer on a prose sentence."))
     cited = sentences.select(brief, *order, text, F.explode(citations).alias(source))
-    loose = cited.join(sources.select(brief, source).distinct(), [brief, source], "left_anti")
+    loose = cited.join(distinct_keys(sources, brief, source), [brief, source], "left_anti")
     detail = F.concat(F.lit("Citation "), F.col(source), F.lit(" does not resolve to a source in this brief."))
     return bare.unionByName(out(loose, detail))
 
@@ -194,7 +195,7 @@ def quote_discipline_table(
     )
     uses = quotes.select(brief, *order, text, "quote_no", "quote", F.posexplode(citations).alias("cit_no", "source_id"))
     place = F.struct(*order, "quote_no", "cit_no")
-    firsts = uses.groupBy(brief, "source_id").agg(F.min(place).alias("first_use"))
+    firsts = reduce_by(uses, [brief, "source_id"], F.min(place).alias("first_use"))
     again = uses.join(firsts, [brief, "source_id"]).filter(place > F.col("first_use"))
     reused = again.select(brief, *order, "quote_no", F.inline(F.array(_reused(F.col(text), F.col("quote"), F.col("source_id")))))
     return long.unionByName(reused).drop("rewrite")

@@ -23,6 +23,7 @@ from ..functions.provenance import (
 )
 from ..functions.scalar import ColumnLike, badge_state, col, score_label, uri_encode
 from .guards import first_per_key
+from .skew import distinct_keys, spread
 from .text_checks import VIOLATION, phrase_violations, violation
 
 # Fixed value: the disclaimer every token must carry.
@@ -222,7 +223,7 @@ def chain_audit(tokens: DataFrame, token: str = "proofToken") -> DataFrame:
     )
     roots = flat.filter(F.col("previous_hash").isNull()).withColumn("parent_found", F.lit(None).cast("boolean"))
     children = flat.filter(F.col("previous_hash").isNotNull())
-    hashes = flat.select(F.col("token_hash").alias("previous_hash"), F.lit(True).alias("known")).distinct()
+    hashes = distinct_keys(flat.select(F.col("token_hash").alias("previous_hash")), "previous_hash").withColumn("known", F.lit(True))
     linked = children.join(hashes, "previous_hash", "left").withColumn("parent_found", F.coalesce("known", F.lit(False)))
     return roots.unionByName(linked.drop("known"))
 
@@ -260,9 +261,9 @@ def token_registry(findings: DataFrame, briefs: DataFrame) -> DataFrame:
 def find_tokens(registry: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """First token per id: findings before briefs. With ids, only those asked for."""
     if ids is not None:
-        registry = registry.join(ids.select("proof_id").distinct(), "proof_id", "left_semi")
+        registry = registry.join(distinct_keys(ids, "proof_id"), "proof_id", "left_semi")
     order = [F.col("source_priority"), F.col("tie"), F.col("subject_name"), F.xxhash64("proofToken")]
-    return first_per_key(registry, ["proof_id"], order).drop("source_priority", "tie")
+    return first_per_key(registry, ["proof_id", spread("proof_id")], order).drop("source_priority", "tie")
 
 
 def resolve_permalinks(links: DataFrame, registry: DataFrame) -> DataFrame:
@@ -295,4 +296,4 @@ def evidence_source_audit(tokens: DataFrame, known_tables: DataFrame, token: str
     """Evidence rows that point at a table nobody registered. known_tables has a column source."""
     rows = tokens.select(F.col(token)["proofId"].alias("proof_id"), F.explode(F.col(token)["evidence"]).alias("e"))
     flat = rows.select("proof_id", F.col("e.source").alias("source"), F.col("e.row_id").alias("row_id"), F.col("e.field").alias("field"))
-    return flat.join(known_tables.select("source").distinct(), "source", "left_anti")
+    return flat.join(distinct_keys(known_tables, "source"), "source", "left_anti")

@@ -53,7 +53,7 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_word_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.table(spark, d, "documents").filter("lang = 'en'")
+    docs = i.table(spark, d, "documents")
     return docs.select("doc_id", F.md5(replace_first_word("text", "the", "a certain")).alias("digest"))
 
 
@@ -182,7 +182,7 @@ ORACLES = {
     "calibration_sweep": f"WITH swept AS ({SWEPT}) " + sweep_sql("swept", "doc_id"),
     "secret_scan": f"""SELECT doc_id, regexp_extract(t, {quoted('(?i)' + SECRET_PATTERN)}, 0) AS "match"
         FROM (SELECT doc_id, replace(text, 'token = ', 'api_key = ') AS t FROM documents) WHERE regexp_matches(t, {quoted('(?i)' + SECRET_PATTERN)})""",
-    "first_word_rewrite": "SELECT doc_id, md5(regexp_replace(text, '(?i)\\bthe\\b', 'a certain')) AS digest FROM documents WHERE lang = 'en'",
+    "first_word_rewrite": "SELECT doc_id, md5(regexp_replace(text, '(?i)\\bthe\\b', 'a certain')) AS digest FROM documents",
     "citation_completeness": f"""WITH sent AS ({i.SENTENCES_SQL}) SELECT doc_id, 'MISSING_CITATION' AS type, text AS sentence,
         CASE WHEN citation IS NULL THEN 'No citation pointer on a prose sentence.'
              ELSE concat('Citation ', citation, ' does not resolve to a source in this brief.') END AS detail

@@ -230,9 +230,9 @@ def feed_search(spark: SparkSession, d: str) -> DataFrame:
     return out.select(t["proofId"].alias("proof_id"), t["finding"]["score"].alias("score"), "indicatorCount")
 
 
-def feed_top_names(spark: SparkSession, d: str) -> DataFrame:
+def feed_by_name(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("proofToken")
-    return briefs.feed(i.findings(spark, d), "", "name").limit(25).select(t["finding"]["subject"]["canonicalName"].alias("name"))
+    return briefs.feed(i.findings(spark, d), "", "name").select(t["finding"]["subject"]["canonicalName"].alias("name"))
 
 
 def finding_by_slug(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +298,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_completeness, verify_tokens, issue_tokens, weights_codec, chain_tokens, poly_hash, chain_audit, parent_links, find_tokens,
-        resolve_permalinks, evidence_source_audit, display_facets, feed_search, feed_top_names, finding_by_slug, token_export,
+        resolve_permalinks, evidence_source_audit, display_facets, feed_search, feed_by_name, finding_by_slug, token_export,
         dossier_sink, document_scan,
     )
 }
@@ -347,7 +347,7 @@ ORACLES = {
              ELSE regexp_replace(regexp_replace(cast(headline_value AS varchar), '0+$', ''), '[.]$', '') END AS shown FROM t WHERE {FINDINGS}""",
     "feed_search": f"""WITH t AS ({i.TOKENS_SQL}) SELECT proof_id, score, cast(length(summary) AS int) AS "indicatorCount" FROM t
         WHERE {FINDINGS} AND contains(lower(concat(subject_name, ' ', summary, ' ', coalesce(bn, ''))), 'shipping & co.')""",
-    "feed_top_names": f"WITH t AS ({i.TOKENS_SQL}) SELECT subject_name AS name FROM t WHERE {FINDINGS} ORDER BY subject_name, proof_id LIMIT 25",
+    "feed_by_name": f"WITH t AS ({i.TOKENS_SQL}) SELECT subject_name AS name FROM t WHERE {FINDINGS}",
     "finding_by_slug": f"""WITH t AS ({i.TOKENS_SQL}), f AS (SELECT custkey, regexp_replace(regexp_replace(replace(lower(subject_name), '&', 'and'),
         '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM t WHERE {FINDINGS})
         SELECT custkey, slug FROM f WHERE slug IN (SELECT concat('customer-', lpad(cast(s_suppkey * 3 AS varchar), 9, '0'), '-shipping-and-co') FROM supplier)""",
