@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import json_number, normalize_postal, recipient_partition_key
+from ..functions.scalar import any_address_in, json_number, normalize_postal, recipient_partition_key
 from .guards import current_version
 from .scoring import violation_counts
 from .skew import distinct_keys
@@ -251,10 +251,8 @@ def external_funding() -> Column:
 
 def postal_lookup(entities: DataFrame, postal_code: str, limit: int = 50) -> DataFrame:
     """Entities with an address in a postal code, best funded first."""
-    wanted = normalize_postal(F.lit(postal_code))
-    here = F.exists("addresses", lambda a: normalize_postal(a["postal_code"]) == wanted)
     return (
-        entities.filter(here)
+        entities.filter(any_address_in("addresses", F.lit(postal_code)))
         .select("id", "canonical_name", "bn_root", "dataset_sources", external_funding().alias("total_external_funding"))
         .orderBy(F.col("total_external_funding").desc(), "id")
         .limit(limit)

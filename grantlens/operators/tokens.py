@@ -272,21 +272,22 @@ def resolve_permalinks(links: DataFrame, registry: DataFrame) -> DataFrame:
     A link with a parent shows the parent's score under the link's weights; one without shows the
     token as stored. Links to unknown tokens are dropped, as a page would not be found.
     """
-    links = links.withColumn("proof_id", F.coalesce("parent", "token_id"))
-    tokens = find_tokens(registry).select(
-        "proof_id",
-        "subject_name",
-        F.col("proofToken")["finding"]["score"].alias("base_score"),
-        F.col("proofToken")["finding"]["scoreLabel"].alias("base_label"),
+    links = links.withColumn("proof_id", F.coalesce("parent", "token_id")).withColumn("_w", decode_weights("w"))
+    # Only the score and label take part, so whole tokens need not be shuffled to pick one per id.
+    shown = F.col("proofToken")["finding"]
+    slim = registry.select(
+        "proof_id", "source_priority", "tie", "subject_name", shown["score"].alias("base_score"), shown["scoreLabel"].alias("base_label")
     )
+    order = [F.col(c) for c in ("source_priority", "tie", "subject_name", "base_score", "base_label")]
+    tokens = first_per_key(slim, ["proof_id", spread("proof_id")], order)
     chained = F.col("parent").isNotNull()
-    new_score = rescore("base_score", decode_weights("w"))
+    new_score = rescore("base_score", "_w")
     return links.join(tokens, "proof_id").select(
         "token_id",
         "proof_id",
         "subject_name",
         chained.alias("is_chained"),
-        encode_weights(decode_weights("w")).alias("weights_code"),
+        encode_weights("_w").alias("weights_code"),
         F.when(chained, new_score).otherwise(F.col("base_score")).alias("score"),
         F.when(chained, score_label(new_score)).otherwise(F.col("base_label")).alias("label"),
     )

@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import widen
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores when the file is a single split."""
+    return widen(table(spark, sf_dir, name))
+
+
 def _sql(columns: dict[str, str], source: str, tail: str = "") -> str:
     listed = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
     return f"SELECT {listed} FROM {source} {tail}"
@@ -255,7 +262,7 @@ def brief_lines() -> Column:
 
 
 def briefs(spark: SparkSession, d: str) -> DataFrame:
-    df = _frame(table(spark, d, "documents"), PROSE)
+    df = _frame(texts(spark, d, "documents"), PROSE)
     source_ids = F.sequence(F.lit(0), F.lit(4))
     subject = F.struct(
         F.concat(F.lit("documents."), F.col("doc_id").cast("string")).alias("entityId"),

@@ -24,7 +24,7 @@ SWEPT = f"SELECT doc_id, concat(text, {MARKS}, text) AS text FROM documents"
 
 
 def _swept(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.table(spark, d, "documents")
+    docs = i.texts(spark, d, "documents")
     return docs.selectExpr("doc_id", f"concat(text, {MARKS}, text) AS text")
 
 
@@ -48,12 +48,12 @@ def sweep_sql(relation: str, keys: str, text: str = "text") -> str:
 
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     """Documents name their tokens 'token = ...'; read as a password line they are credential-shaped."""
-    docs = i.table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("token = "), F.lit("api_key = ")))
+    docs = i.texts(spark, d, "documents").withColumn("text", F.replace("text", F.lit("token = "), F.lit("api_key = ")))
     return audits.secret_scan(docs)
 
 
 def first_word_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.table(spark, d, "documents")
+    docs = i.texts(spark, d, "documents")
     return docs.select("doc_id", F.md5(replace_first_word("text", "the", "a certain")).alias("digest"))
 
 
@@ -94,7 +94,8 @@ def brief_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_enrichment(spark: SparkSession, d: str) -> DataFrame:
     rows = briefs.enrich_citations(i.briefs(spark, d))
-    return rows.groupBy("briefId", "citation", "title", "year", "authority_tier", "host").agg(F.count("*").alias("uses"))
+    grouped = rows.groupBy("briefId", "citation", "title", "year", "authority_tier", "host").agg(F.count("*").alias("uses"))
+    return grouped.withColumns({c: F.col(c).cast("double") for c in ("year", "authority_tier")})
 
 
 def brief_index(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +113,12 @@ def briefs_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
-    p = i.table(spark, d, "pages").withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    p = i.texts(spark, d, "pages").withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     return p.select("page_id", slugify("title").alias("slug"), normalize_name("title").alias("name_key"))
 
 
 def citation_hosts(spark: SparkSession, d: str) -> DataFrame:
-    p = i.table(spark, d, "pages")
+    p = i.texts(spark, d, "pages")
     return p.groupBy(host_of("url").alias("host")).agg(F.count("*").alias("pages"))
 
 
@@ -125,7 +126,7 @@ ROUTES = ("/", "/the", "/The", "/de", "/of", "/and", "/[section]ing", "/docs/[..
 
 
 def dead_links(spark: SparkSession, d: str) -> DataFrame:
-    dead = audits.dead_links(i.table(spark, d, "pages"), ROUTES)
+    dead = audits.dead_links(i.texts(spark, d, "pages"), ROUTES)
     return dead.groupBy("page_id", "path").agg(F.count("*").alias("uses"))
 
 
@@ -133,13 +134,13 @@ def dead_links_by_table(spark: SparkSession, d: str) -> DataFrame:
     """Links to words that no benchmark item contains."""
     words = i.table(spark, d, "benchmark").select(F.explode(F.split("text", "[ \n]")).alias("w"))
     routes = words.select(F.concat(F.lit("/"), "w").alias("path"))
-    dead = audits.dead_links_table(i.table(spark, d, "pages"), routes)
+    dead = audits.dead_links_table(i.texts(spark, d, "pages"), routes)
     return dead.groupBy("page_id", "path").agg(F.count("*").alias("uses"))
 
 
 def quote_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Direct quotes of whole pages by number and words."""
-    p = i.table(spark, d, "pages").select("page_id", direct_quotes("html").alias("quotes"))
+    p = i.texts(spark, d, "pages").select("page_id", direct_quotes("html").alias("quotes"))
     words = F.aggregate("quotes", F.lit(0), lambda acc, q: acc + word_count(q))
     return p.select("page_id", F.size("quotes").alias("quotes"), words.alias("words"))
 
@@ -203,14 +204,15 @@ ORACLES = {
         c AS (SELECT doc_id, count(*) AS n FROM sent WHERE citation IS NULL OR citation IN ('src-5', 'src-6') GROUP BY 1),
         l AS (SELECT doc_id, count(*) AS n FROM swept GROUP BY 1), r AS (SELECT doc_id, count(*) AS n FROM reuse WHERE use_no > 1 GROUP BY 1),
         w AS (SELECT doc_id, count(*) AS n FROM qw WHERE words > 15 GROUP BY 1)
-        SELECT *, citations + leaks + reused + too_long AS violation_count, citations + leaks + reused + too_long = 0 AS passed FROM (
-          SELECT b.doc_id, coalesce(c.n, 0) AS citations, coalesce(l.n, 0) AS leaks, coalesce(r.n, 0) AS reused,
-                 coalesce(w.n, 0) + CASE WHEN b.lang = 'es' THEN 1 ELSE 0 END AS too_long
+        SELECT *, cast(citations + leaks + reused + too_long AS int) AS violation_count, citations + leaks + reused + too_long = 0 AS passed FROM (
+          SELECT b.doc_id, cast(coalesce(c.n, 0) AS int) AS citations, cast(coalesce(l.n, 0) AS int) AS leaks,
+                 cast(coalesce(r.n, 0) AS int) AS reused,
+                 cast(coalesce(w.n, 0) + CASE WHEN b.lang = 'es' THEN 1 ELSE 0 END AS int) AS too_long
           FROM briefs b LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN w USING (doc_id))""",
-    "brief_stats": "SELECT concat('ob-', doc_id) AS \"briefId\", 5 AS source_count, len(string_split(text, chr(10))) AS sentence_count FROM documents",
+    "brief_stats": "SELECT concat('ob-', doc_id) AS \"briefId\", 5 AS source_count, cast(len(string_split(text, chr(10))) AS int) AS sentence_count FROM documents",
     "citation_enrichment": f"""WITH sent AS ({i.SENTENCES_SQL}), k AS (SELECT *, try_cast(replace(citation, 'src-', '') AS int) AS n FROM sent WHERE citation IS NOT NULL)
         SELECT concat('ob-', doc_id) AS "briefId", citation, CASE WHEN n < 5 THEN concat('Source ', n) END AS title,
-            CASE WHEN n < 5 THEN 2020 + n END AS year, CASE WHEN n < 5 THEN n + 1 END AS authority_tier,
+            CASE WHEN n < 5 THEN cast(2020 + n AS double) END AS year, CASE WHEN n < 5 THEN cast(n + 1 AS double) END AS authority_tier,
             CASE WHEN n < 5 THEN concat(source, '.example.org') END AS host, count(*) AS uses FROM k GROUP BY ALL""",
     "brief_index": """SELECT concat('doc-', doc_id) AS slug, concat('Document ', doc_id, ' of ', source) AS title,
         concat('$', format('{:,}', n_chars), ' · ', source) AS tag, 'outcome' AS brief_type FROM documents WHERE lang = 'en'""",
@@ -225,6 +227,6 @@ ORACLES = {
         WHERE NOT regexp_matches(path, '^(?:/|/the|/The|/de|/of|/and|/[^/]+ing|/docs/.+)$') GROUP BY 1, 2""",
     "dead_links_by_table": f"""WITH {LINKS} SELECT page_id, path, count(*) AS uses FROM links WHERE path NOT IN (
         SELECT concat('/', unnest(regexp_split_to_array(text, '[ \\n]'))) FROM benchmark) GROUP BY 1, 2""",
-    "quote_lengths": f"""SELECT page_id, len(q) AS quotes, cast(list_sum(list_transform(q, lambda x: {WORDS.format(q='x')})) AS int) AS words
+    "quote_lengths": f"""SELECT page_id, cast(len(q) AS int) AS quotes, cast(list_sum(list_transform(q, lambda x: {WORDS.format(q='x')})) AS int) AS words
         FROM (SELECT page_id, {QUOTES.format(t='html')} AS q FROM pages)""",
 }

@@ -138,7 +138,8 @@ def poly_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chain_audit(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.chain_audit(i.tokens(spark, d).filter("proofToken IS NOT NULL"))
+    audit = tokens.chain_audit(i.tokens(spark, d).filter("proofToken IS NOT NULL"))
+    return audit.withColumns({c: F.col(c).cast("string") for c in ("seal_holds", "parent_found")})
 
 
 def parent_links(spark: SparkSession, d: str) -> DataFrame:
@@ -324,8 +325,8 @@ ORACLES = {
     "poly_hash": f"""SELECT page_id, {_poly_sql('url')} AS url_hash, {_poly_sql('title')} AS title_hash
         FROM (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)""",
     "chain_audit": f"""WITH t AS (SELECT * FROM ({i.TOKENS_SQL}) WHERE {VALID}) SELECT proof_id, token_hash, previous_hash,
-        CASE WHEN token_hash IS NOT NULL THEN false END AS seal_holds,
-        CASE WHEN previous_hash IS NULL THEN NULL ELSE previous_hash IN (SELECT token_hash FROM t WHERE token_hash IS NOT NULL) END AS parent_found FROM t""",
+        CASE WHEN token_hash IS NOT NULL THEN 'false' END AS seal_holds,
+        CASE WHEN previous_hash IS NULL THEN NULL WHEN previous_hash IN (SELECT token_hash FROM t WHERE token_hash IS NOT NULL) THEN 'true' ELSE 'false' END AS parent_found FROM t""",
     "parent_links": f"""WITH t AS (SELECT * FROM ({i.TOKENS_SQL}) WHERE {VALID}) SELECT c.proof_id AS child_id, p.proof_id AS parent_id
         FROM t c JOIN t p ON c.previous_hash = p.token_hash""",
     "find_tokens": f"WITH t AS ({i.TOKENS_SQL}), {REG_SQL} SELECT proof_id, source, subject_name FROM reg",
@@ -354,7 +355,7 @@ ORACLES = {
     "token_export": f"""WITH t AS ({i.TOKENS_SQL}) SELECT proof_id, concat('ppm-', proof_id, '.json') AS file_name,
         concat('https://example.org/verify/', proof_id) AS verify_at, issued_at, score, previous_hash FROM t WHERE {FINDINGS}""",
     "document_scan": f"""SELECT concat('ob-', doc_id) AS "briefId", CASE WHEN lang = 'en' THEN 'outcome' ELSE 'counterfactual' END AS "briefType",
-        len(string_split(text, chr(10))) AS sentences, cast(doc_id AS varchar) AS row_id,
+        cast(len(string_split(text, chr(10))) AS int) AS sentences, cast(doc_id AS varchar) AS row_id,
         CASE WHEN length(cast(doc_id AS varchar)) > 2 THEN cast(n_chars AS double) END AS value_num, NULL AS value_str,
         concat('ppm-{i.TOKEN_TIME}-d', doc_id) AS proof_id FROM documents""",
 }

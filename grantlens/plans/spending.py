@@ -166,7 +166,7 @@ PARTS_SQL = """WITH p AS (SELECT p_partkey, p_brand, p_type, cast(p_retailprice
         FROM p s JOIN p c ON c.p_partkey <> s.p_partkey AND c.described AND (c.p_brand = s.p_brand OR c.p_type = s.p_type)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY tier, v DESC, c_id) AS position FROM pairs WHERE tier IS NOT NULL)
     SELECT cast(s_id AS varchar) AS source_ref, cast(c_id AS varchar) AS ref, cast(v AS double) AS value,
-           tier AS similarity_tier, position FROM ranked WHERE position <= 8"""
+           tier AS similarity_tier, cast(position AS int) AS position FROM ranked WHERE position <= 8"""
 
 COMPARABLE_SQL = BASE + """,
     src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_number ORDER BY agreement_value DESC NULLS LAST, _id) AS pick
@@ -184,7 +184,8 @@ COMPARABLE_SQL = BASE + """,
         FROM pairs WHERE similarity_tier IS NOT NULL),
     best AS (SELECT source_ref, ref_number AS grant_id, _id AS id, description_en AS description,
         cast(agreement_value AS double) AS amount, owner_org_title AS department_code,
-        year(agreement_start_date) + 1 AS fiscal_year, similarity_tier, position FROM ranked WHERE position <= 12)"""
+        cast(year(agreement_start_date) + 1 AS int) AS fiscal_year, similarity_tier,
+        cast(position AS int) AS position FROM ranked WHERE position <= 12)"""
 
 
 def comparable_tier_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +217,7 @@ def entity_dossier(spark: SparkSession, d: str) -> DataFrame:
         "entity_id",
         F.col("entity.canonical_name").alias("canonical_name"),
         s["total_current_commitment"].cast("double").alias("total_current_commitment"),
-        s["agreement_count"].alias("agreement_count"),
+        s["agreement_count"].cast("double").alias("agreement_count"),
         s["earliest_start"].cast("string").alias("earliest_start"),
         s["latest_end"].cast("string").alias("latest_end"),
         F.array_join(s["departments"], ",").alias("departments"),
@@ -224,9 +225,9 @@ def entity_dossier(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(s["countries"], ",").alias("countries"),
         F.array_join(s["provinces"], ",").alias("provinces"),
         F.array_join(F.transform("agreements", lambda a: a["_id"].cast("string")), ",").alias("agreement_ids"),
-        F.col("violations.arithmetic_violations").alias("arithmetic_violations"),
+        F.col("violations.arithmetic_violations").cast("double").alias("arithmetic_violations"),
         F.size("loops").alias("loop_rows"),
-        F.get("loops", F.lit(0))["score"].alias("top_loop_score"),
+        F.get("loops", F.lit(0))["score"].cast("double").alias("top_loop_score"),
     )
 
 
@@ -237,12 +238,12 @@ DOSSIER_SQL = BASE + f""", {ENTITY_CURRENT},
         list_sort(list(DISTINCT recipient_province) FILTER (recipient_province IS NOT NULL)) AS prov
         FROM ac WHERE agreement_value IS NOT NULL GROUP BY 1),
     a AS (SELECT entity_id, string_agg(cast(_id AS varchar), ',' ORDER BY _id) AS ids FROM ac GROUP BY 1)
-    SELECT e.id AS entity_id, e.canonical_name, cast(s.total AS double) AS total_current_commitment, s.n AS agreement_count,
+    SELECT e.id AS entity_id, e.canonical_name, cast(s.total AS double) AS total_current_commitment, cast(s.n AS double) AS agreement_count,
         cast(s.a AS varchar) AS earliest_start, cast(s.b AS varchar) AS latest_end, array_to_string(s.dep, ',') AS departments,
         array_to_string(s.prog, ',') AS programs, array_to_string(s.ctry, ',') AS countries,
         coalesce(array_to_string(s.prov, ','), CASE WHEN s.n IS NOT NULL THEN '' END) AS provinces,
-        a.ids AS agreement_ids, v.n AS arithmetic_violations,
-        CASE WHEN l.bn IS NULL THEN 0 ELSE 1 END AS loop_rows, l.score AS top_loop_score
+        a.ids AS agreement_ids, cast(v.n AS double) AS arithmetic_violations,
+        CASE WHEN l.bn IS NULL THEN 0 ELSE 1 END AS loop_rows, cast(l.score AS double) AS top_loop_score
     FROM a JOIN entities e ON e.id = a.entity_id LEFT JOIN s ON s.entity_id = a.entity_id
     LEFT JOIN (SELECT bn, count(*) AS n FROM violations GROUP BY 1) v ON v.bn = e.bn_root
     LEFT JOIN loops l ON l.bn = e.bn_root"""
@@ -406,11 +407,11 @@ ORACLES = {
     "entity_dossier": DOSSIER_SQL,
     "seed_dossiers": SEEDS_SQL,
     "postal_rollup": BASE + f""", {FUNDED} SELECT * FROM (SELECT id, canonical_name, bn_root, cast(funding AS double) AS total_external_funding,
-        postal_code, row_number() OVER (PARTITION BY postal_code ORDER BY funding DESC, id) AS position FROM funded) WHERE position <= 50""",
+        postal_code, cast(row_number() OVER (PARTITION BY postal_code ORDER BY funding DESC, id) AS int) AS position FROM funded) WHERE position <= 50""",
     "postal_totals": BASE + f", {FUNDED} SELECT postal_code, count(*) AS entities, cast(sum(funding) AS double) AS total_external_funding FROM funded GROUP BY 1",
     "postal_lookup": BASE + f""", {FUNDED} SELECT id, canonical_name, bn_root, cast(funding AS double) AS total_external_funding
         FROM funded WHERE postal_code = 'H3A0B1' ORDER BY funding DESC, id LIMIT 50""",
-    "fiscal_years": """SELECT year(o_orderdate + INTERVAL 9 MONTH) AS fiscal_year, year(o_orderdate) + 1 AS coded_year, count(*) AS orders,
+    "fiscal_years": """SELECT cast(year(o_orderdate + INTERVAL 9 MONTH) AS int) AS fiscal_year, cast(year(o_orderdate) + 1 AS int) AS coded_year, count(*) AS orders,
         cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total FROM orders GROUP BY 1, 2""",
     "table_gate": " UNION ALL ".join(
         f"SELECT '{t}' AS label, count(*) AS n, cast({n} AS bigint) AS expected_at_least, count(*) >= {n} AS passed FROM {t}" for t, n in LEAST.items()

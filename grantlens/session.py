@@ -32,6 +32,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or current
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores, ahead of costly work per row.
+
+    A small file is one split and would keep one core busy. Tables with enough splits, which all
+    large ones have, are returned as they are and never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
