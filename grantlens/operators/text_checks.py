@@ -67,10 +67,9 @@ def calibration_sweep(df: DataFrame, text: str, id_cols: Sequence[str], per_sent
 
     per_sentence applies the rules to each sentence on its own, reporting the first hit in each.
     """
-    hits = df.filter(F.col(text).rlike(any_phrase()))
     if per_sentence:
-        hits = hits.withColumn(text, F.explode(F.split(text, r"(?<=\.)")))
-    return hits.select(*id_cols, F.inline(phrase_violations(text))).drop("detail")
+        df = df.withColumn(text, F.explode(F.split(text, r"(?<=\.)")))
+    return df.select(*id_cols, F.inline(phrase_violations(text))).drop("detail")
 
 
 # --- nested briefs ----------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from ..operators import briefs, tokens
 from ..session import shared_path
 from ..sources import documents, schemas
 from . import inputs as i
-from .spending import _dossiers, _label_case
+from .spending import DOSSIER_SQL, _dossiers, _label_case
 
 # --- completeness and verification ------------------------------------------------------------
 
@@ -354,6 +354,8 @@ ORACLES = {
         SELECT custkey, slug FROM f WHERE slug IN (SELECT concat('customer-', lpad(cast(s_suppkey * 3 AS varchar), 9, '0'), '-shipping-and-co') FROM supplier)""",
     "token_export": f"""WITH t AS ({i.TOKENS_SQL}) SELECT proof_id, concat('ppm-', proof_id, '.json') AS file_name,
         concat('https://example.org/verify/', proof_id) AS verify_at, issued_at, score, previous_hash FROM t WHERE {FINDINGS}""",
+    "dossier_sink": f"""SELECT entity_id, cast(len(string_split(agreement_ids, ',')) AS int) AS agreements,
+        total_current_commitment AS total, '{i.TOKEN_TIME}' AS "cachedAt" FROM ({DOSSIER_SQL})""",
     "document_scan": f"""SELECT concat('ob-', doc_id) AS "briefId", CASE WHEN lang = 'en' THEN 'outcome' ELSE 'counterfactual' END AS "briefType",
         cast(len(string_split(text, chr(10))) AS int) AS sentences, cast(doc_id AS varchar) AS row_id,
         CASE WHEN length(cast(doc_id AS varchar)) > 2 THEN cast(n_chars AS double) END AS value_num, NULL AS value_str,
