@@ -35,6 +35,14 @@ from .skew import SPREAD, distinct_keys, reduce_by, spread
 CELLS = 400
 
 
+# Exact for any amount of 18 digits and its half or one and a half.
+WIDE = "decimal(24,4)"
+
+
+def _times(value: str, factor: str) -> Column:
+    return (F.col(value) * F.lit(factor).cast("decimal(2,1)")).cast(WIDE)
+
+
 def _best_first() -> list[Column]:
     return [F.col("value").desc_nulls_last(), F.col("id").asc()]
 
@@ -120,15 +128,12 @@ def _value_positions(cands: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(list per program and source value, list per source whose own rows crowd the program)."""
-    wide = "decimal(24,4)"
     valued = F.col("program").isNotNull() & (F.col("value") >= 0)
-    cands = rows.filter(F.col("described") & valued).withColumn("value", F.col("value").cast(wide))
+    cands = rows.filter(F.col("described") & valued).withColumn("value", F.col("value").cast(WIDE))
     # rows of one program and value beyond these can never be among anyone's best k
     cands = _at_most(cands, ["program", "value", "ref"], _best_first(), k)
     cands = _at_most(cands, ["program", "value"], _best_first(), 2 * k)
-    upper = (F.col("value") * F.lit("1.5").cast("decimal(2,1)")).cast(wide)
-    wanted = sources.filter(valued).select("program", F.col("value").cast(wide).alias("source_value")).distinct()
-    bounds = wanted.select("program", (F.col("source_value") * F.lit("1.5").cast("decimal(2,1)")).cast(wide).alias("value"))
+    bounds = sources.filter(valued).select("program", _times("value", "1.5").alias("value")).distinct()
     placed = stage(_value_positions(cands, bounds).drop("cell", "offset", "local"))
 
     found = placed.filter("kind = 0")
@@ -154,8 +159,7 @@ def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, D
 
     own_rows = found.groupBy("program", "ref", spread("program", "ref")).agg(F.count("*").alias("n"))
     crowded = own_rows.filter(F.col("n") > k)
-    src = sources.filter(valued).select("program", "ref", F.col("value").cast(wide).alias("value"))
-    src = src.select("program", "ref", upper.alias("bound"), (F.col("value") * F.lit("0.5").cast("decimal(2,1)")).alias("lower"))
+    src = sources.filter(valued).select("program", "ref", _times("value", "1.5").alias("bound"), _times("value", "0.5").alias("lower"))
     src = src.withColumn(SPREAD, spread("program", "ref"))
     crowded_src = src.join(crowded, ["program", "ref", SPREAD], "left_semi").drop(SPREAD)
     own = (
@@ -196,20 +200,20 @@ def match_comparables(rows: DataFrame, sources: DataFrame, k: int = 12, years: i
     dept = _short_list(described.filter(F.col("department").isNotNull()), ["department"], serve)
     by_dept = _collect(dept, ["department"], "dept_list")
 
-    s = sources.withColumn("bound", (F.col("value") * F.lit("1.5").cast("decimal(2,1)")).cast("decimal(24,4)"))
+    s = sources.withColumn("bound", _times("value", "1.5"))
     s = (
         s.join(by_dept, "department", "left")
         .join(by_year.withColumnRenamed("source_year", "year"), ["program", "year"], "left")
         .join(at_bound, ["program", "bound"], "left")
         .join(crowded, "ref", "left")
     )
-    low = F.col("value") * F.lit("0.5").cast("decimal(2,1)")
+    low = _times("value", "0.5")
 
     def shaped(items: Column, tier: int, value) -> Column:
         return F.transform(
             items,
             lambda m: F.struct(
-                m["id"].alias("id"), m["ref"].alias("ref"), value(m).cast("decimal(24,4)").alias("value"),
+                m["id"].alias("id"), m["ref"].alias("ref"), value(m).cast(WIDE).alias("value"),
                 F.lit(tier).alias("tier"),
             ),
         )

@@ -70,6 +70,30 @@ def register_views(
     return frames
 
 
+def save_current(
+    current: DataFrame,
+    table: str,
+    buckets: int = 256,
+    by: str = "ref_number",
+    row_id: str = "_id",
+    files_per_bucket: int = 4,
+    path: str | None = None,
+) -> DataFrame:
+    """Keep current-version rows as a bucketed table: later joins and groupings on the key need no shuffle.
+
+    Rows are gathered by bucket before writing, each bucket in a few parts so that a key with many
+    rows is written by more than one task.
+    """
+    bucket = F.pmod(F.hash(by), F.lit(buckets))
+    part = F.pmod(F.xxhash64(row_id), F.lit(files_per_bucket))
+    gathered = current.repartition(buckets * files_per_bucket, bucket, part)
+    writer = gathered.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).format("parquet")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return current.sparkSession.table(table)
+
+
 def row_count_gate(tables: Mapping[str, DataFrame], minimums: Mapping[str, int] = MINIMUM_ROWS) -> DataFrame:
     """(label, n, expected_at_least, passed) per table."""
     gates = None

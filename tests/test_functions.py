@@ -1,7 +1,7 @@
 """Column functions on literals."""
 
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,13 +58,13 @@ def test_hosts(spark):
 
 
 def test_currency_rounds_halves_away_from_zero(spark):
-    values = [Decimal("0.5"), Decimal("2.5"), Decimal("1234567.49"), Decimal("-1999.5")]
+    values = [D("0.5"), D("2.5"), D("1234567.49"), D("-1999.5")]
     assert many(spark, scalar.whole_dollars, values, "x decimal(28,6)") == ["$1", "$3", "$1,234,567", "-$2,000"]
 
 
 def test_format_value(spark):
     df = spark.createDataFrame(
-        [(1, Decimal("1000"), None), (2, Decimal("12.5"), None), (3, Decimal("100"), None), (4, None, "text"), (5, None, None)],
+        [(1, D("1000"), None), (2, D("12.5"), None), (3, D("100"), None), (4, None, "text"), (5, None, None)],
         "k int, n decimal(28,6), t string",
     )
     got = [r.v for r in df.select("k", scalar.format_value("n", "t").alias("v")).orderBy("k").collect()]
@@ -72,10 +72,25 @@ def test_format_value(spark):
 
 
 def test_index_tag(spark):
-    df = spark.createDataFrame([(Decimal("1500"), ["A", "B"]), (Decimal("0"), [])], "t decimal(18,2), d array<string>")
+    df = spark.createDataFrame([(D("1500"), ["A", "B"]), (D("0"), [])], "t decimal(18,2), d array<string>")
     assert {r.v for r in df.select(scalar.index_tag("t", "d").alias("v")).collect()} == {"$1,500 · A", "$0 · Cross-departmental"}
 
 
+def test_ranges_include_their_ends(spark):
+    df = spark.createDataFrame(
+        [(1, D("50.00"), D("100.00")), (2, D("150.00"), D("100.00")), (3, D("150.01"), D("100.00")), (4, None, D("1.00"))],
+        "k int, v decimal(18,2), r decimal(18,2)",
+    )
+    assert [r.k for r in df.filter(scalar.within_pct("v", "r")).orderBy("k").collect()] == [1, 2]
+    days = spark.createDataFrame([(1, date(2015, 12, 31), date(2020, 1, 1)), (2, date(2014, 12, 31), date(2020, 1, 1))], "k int, a date, b date")
+    assert [r.k for r in days.filter(scalar.within_years("a", "b")).collect()] == [1]
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([(1, [("k1a 0a6",)]), (2, [(None,)]), (3, None)], "k int, a array<struct<postal_code:string>>")
+    assert [r.k for r in df.filter(scalar.any_address_in("a", F.lit("K1A0A6"))).collect()] == [1]
+
+
 def test_impact_levels(spark):
     golden = [(3, 54, True), (3, 58, True), (3, 49, False), (2, 36, True), (4, 71, False), (4, 73, False), (2, 31, True), (2, 34, True), (1, 22, True), (2, 33, True)]
     df = spark.createDataFrame(golden, "l int, m int, want boolean")

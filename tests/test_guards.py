@@ -6,7 +6,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from grantlens.operators import guards, scoring
-from grantlens.sources.tables import register_views, row_count_gate
+from grantlens.sources.tables import register_views, row_count_gate, save_current
 
 GRANTS = (
     "_id bigint, ref_number string, amendment_number string, recipient_business_number string, recipient_legal_name string,"
@@ -99,6 +99,14 @@ def test_amendment_profile(spark):
     assert (row.versions, row.amendment_count, row.first_value, row.growth) == (3, 2, D("30.00"), D("0.00"))
 
 
+def test_saved_current_rows_group_without_a_shuffle(spark, tmp_path):
+    kept = save_current(guards.current_version(grants(spark)), "current_grants", buckets=4, path=str(tmp_path / "current"))
+    grouped = kept.groupBy("ref_number").count()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert {r.ref_number: r["count"] for r in grouped.collect()} == {"r1": 5, "r2": 1}
+    spark.sql("DROP TABLE current_grants")
+
+
 def test_tables_and_gate(spark, tmp_path):
     for name, n in (("fed/a", 3), ("cra/a", 5)):
         spark.range(n).write.parquet(str(tmp_path / f"{name}.parquet"))
