@@ -16,7 +16,12 @@ from ..functions.scalar import ColumnLike, bind, col
 from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, match_and_sentence, word_count
 from .skew import distinct_keys, reduce_by
 
+# The word limit of a direct quote and the wording of the details reported.
 MAX_QUOTE_WORDS = 15
+NO_CITATION = "No citation pointer on a prose sentence."
+UNRESOLVED_CITATION = "Citation {} does not resolve to a source in this brief."
+QUOTE_TOO_LONG = "Direct quote is {} words; the ceiling is {}."
+QUOTE_REUSED = "Source {} is quoted directly more than once; one direct quote per source maximum."
 
 VIOLATION = "struct<type:string,sentence:string,match:string,detail:string,rewrite:string>"
 
@@ -40,6 +45,15 @@ def violation(
     )
 
 
+def filled(wording: str, *values: Column | str) -> Column:
+    """The wording with its {} places filled in."""
+    pieces = wording.split("{}")
+    out = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        out += [F.lit(value) if isinstance(value, str) else value, F.lit(piece)]
+    return F.concat(*out)
+
+
 def no_violations() -> Column:
     return F.array().cast(f"array<{VIOLATION}>")
 
@@ -82,14 +96,11 @@ def brief_sentences(sections: ColumnLike = "publicSources") -> Column:
 def citation_violations(sections: ColumnLike = "publicSources", sources: ColumnLike = "sources") -> Column:
     """A sentence without citations, and each citation that names none of the brief's sources."""
     def check(s: Column, known: Column) -> Column:
-        missing = F.array(violation("MISSING_CITATION", s["text"], None, F.lit("No citation pointer on a prose sentence.")))
+        missing = F.array(violation("MISSING_CITATION", s["text"], None, F.lit(NO_CITATION)))
         loose = F.filter(s["citations"], lambda c: ~F.array_contains(known, c))
         named = F.transform(
             loose,
-            lambda c: violation(
-                "MISSING_CITATION", s["text"], None,
-                F.concat(F.lit("Citation "), c, F.lit(" does not resolve to a source in this brief.")),
-            ),
+            lambda c: violation("MISSING_CITATION", s["text"], None, filled(UNRESOLVED_CITATION, c)),
         )
         return F.when(F.size(s["citations"]) == 0, missing).otherwise(named)
 
@@ -98,15 +109,12 @@ def citation_violations(sections: ColumnLike = "publicSources", sources: ColumnL
 
 
 def _too_long(sentence: Column, quote: Column, max_words: int) -> Column:
-    detail = F.concat(F.lit("Direct quote is "), word_count(quote).cast("string"), F.lit(f" words; the ceiling is {max_words}."))
+    detail = filled(QUOTE_TOO_LONG, word_count(quote).cast("string"), str(max_words))
     return violation("QUOTE_TOO_LONG", sentence, quote, detail)
 
 
 def _reused(sentence: Column, quote: Column, source: Column) -> Column:
-    detail = F.concat(
-        F.lit("Source "), source, F.lit(" is quoted directly more than once; one direct quote per source maximum.")
-    )
-    return violation("QUOTE_REUSED", sentence, quote, detail)
+    return violation("QUOTE_REUSED", sentence, quote, filled(QUOTE_REUSED, source))
 
 
 def _quotes_of(s: Column) -> Column:
@@ -168,11 +176,10 @@ def citation_completeness_table(
     def out(df: DataFrame, detail: Column) -> DataFrame:
         return df.select(brief, *order, F.lit("MISSING_CITATION").alias("type"), F.col(text).alias("sentence"), detail.alias("detail"))
 
-    bare = out(sentences.filter(F.size(citations) == 0), F.lit("No citation pointer on a prose sentence."))
+    bare = out(sentences.filter(F.size(citations) == 0), F.lit(NO_CITATION))
     cited = sentences.select(brief, *order, text, F.explode(citations).alias(source))
     loose = cited.join(distinct_keys(sources, brief, source), [brief, source], "left_anti")
-    detail = F.concat(F.lit("Citation "), F.col(source), F.lit(" does not resolve to a source in this brief."))
-    return bare.unionByName(out(loose, detail))
+    return bare.unionByName(out(loose, filled(UNRESOLVED_CITATION, F.col(source))))
 
 
 def quote_discipline_table(

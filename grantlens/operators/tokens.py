@@ -26,9 +26,23 @@ from .guards import first_per_key
 from .skew import distinct_keys, spread
 from .text_checks import VIOLATION, phrase_violations, violation
 
-# Fixed value: the disclaimer every token must carry.
+# The disclaimer every token must carry, the quote limit, and the wording of each
+# shortcoming by its kind.
 OBSERVATIONS_LINE = "observations from public records"
 MAX_TOKEN_QUOTE_WORDS = 15
+NO_TOKEN = "No Proof token attached to the output."
+SHORTCOMINGS = {
+    "id": "proofId missing or malformed",
+    "version": "version missing",
+    "issued": "issuedAt missing",
+    "summary": "finding.summary missing",
+    "input": "tier 1 (input) filters missing",
+    "context": "tier 2 (contextual) model/promptVersion missing",
+    "output": "tier 3 (output) calibration not passed or citationCount missing",
+    "quote": "tier 3 quoteWordCountMax >= 15",
+    "audit": "tier 4 (audit) tokenHash/operator missing",
+    "disclaimer": "disclaimers must include the 'observations from public records' line",
+}
 
 
 def token_violations(token: ColumnLike = "proofToken") -> Column:
@@ -40,33 +54,24 @@ def token_violations(token: ColumnLike = "proofToken") -> Column:
 
     tiers = t["tiers"]
     output = tiers["output"]
-    rules = [
-        (~F.coalesce(t["proofId"].startswith("ppm-"), F.lit(False)), "proofId missing or malformed"),
-        (blank(t["version"]), "version missing"),
-        (blank(t["issuedAt"]), "issuedAt missing"),
-        (blank(t["finding"]["summary"]), "finding.summary missing"),
-        (F.coalesce(F.size(tiers["input"]["filtersApplied"]), F.lit(-1)) <= 0, "tier 1 (input) filters missing"),
-        (
-            blank(tiers["contextual"]["model"]) | blank(tiers["contextual"]["promptVersion"]),
-            "tier 2 (contextual) model/promptVersion missing",
-        ),
-        (
-            output["citationCount"].isNull() | (F.coalesce(output["calibrationCheck"], F.lit("")) != "passed"),
-            "tier 3 (output) calibration not passed or citationCount missing",
-        ),
-        (F.coalesce(output["quoteWordCountMax"], F.lit(0)) >= MAX_TOKEN_QUOTE_WORDS, "tier 3 quoteWordCountMax >= 15"),
-        (blank(tiers["audit"]["tokenHash"]) | blank(tiers["audit"]["operatorAgent"]), "tier 4 (audit) tokenHash/operator missing"),
-        (
-            ~F.coalesce(F.array_join(t["disclaimers"], " "), F.lit("")).contains(OBSERVATIONS_LINE),
-            "disclaimers must include the 'observations from public records' line",
-        ),
-    ]
+    fails = {
+        "id": ~F.coalesce(t["proofId"].startswith("ppm-"), F.lit(False)),
+        "version": blank(t["version"]),
+        "issued": blank(t["issuedAt"]),
+        "summary": blank(t["finding"]["summary"]),
+        "input": F.coalesce(F.size(tiers["input"]["filtersApplied"]), F.lit(-1)) <= 0,
+        "context": blank(tiers["contextual"]["model"]) | blank(tiers["contextual"]["promptVersion"]),
+        "output": output["citationCount"].isNull() | (F.coalesce(output["calibrationCheck"], F.lit("")) != "passed"),
+        "quote": F.coalesce(output["quoteWordCountMax"], F.lit(0)) >= MAX_TOKEN_QUOTE_WORDS,
+        "audit": blank(tiers["audit"]["tokenHash"]) | blank(tiers["audit"]["operatorAgent"]),
+        "disclaimer": ~F.coalesce(F.array_join(t["disclaimers"], " "), F.lit("")).contains(OBSERVATIONS_LINE),
+    }
     found = [
-        F.when(fails, violation("QUOTE_TOO_LONG" if "quoteWordCountMax" in detail else "PROOF_INCOMPLETE", detail=F.lit(detail)))
-        for fails, detail in rules
+        F.when(fails[kind], violation("QUOTE_TOO_LONG" if kind == "quote" else "PROOF_INCOMPLETE", detail=F.lit(detail)))
+        for kind, detail in SHORTCOMINGS.items()
     ]
     listed = F.filter(F.array(*found), lambda v: v.isNotNull()).cast(f"array<{VIOLATION}>")
-    absent = F.array(violation("PROOF_INCOMPLETE", detail=F.lit("No Proof token attached to the output."))).cast(f"array<{VIOLATION}>")
+    absent = F.array(violation("PROOF_INCOMPLETE", detail=F.lit(NO_TOKEN))).cast(f"array<{VIOLATION}>")
     return F.when(t.isNull(), absent).otherwise(listed)
 
 

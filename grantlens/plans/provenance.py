@@ -9,7 +9,7 @@ from ..functions import provenance as fp
 from ..functions import scalar
 from ..operators import briefs, tokens
 from ..session import shared_path
-from ..sources import documents, schemas
+from ..sources import documents
 from . import inputs as i
 from .spending import DOSSIER_SQL, _dossiers, _label_case
 
