@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash
 from .common import table
 
 
@@ -12,7 +12,12 @@ def op3_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op1_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
