@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, secrets, simhash
+from . import chat, decontam, langid, packing, secrets, simhash
 from .common import table
 
 
@@ -30,7 +30,17 @@ def op8_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.conversations(chat.segments(turns.unionByName(forged)))))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
+def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op6_secret_scans": op6_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
     "op1_best_fit_packing": op1_best_fit_packing,

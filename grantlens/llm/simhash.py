@@ -52,15 +52,16 @@ def fingerprint_of(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long) per row. A-Z are lowered, words are split at ASCII white space; a null text has no word."""
+    """(key, h, fp long) per row, h a hash of the text. A-Z are lowered, words are split at ASCII white space; a null text has no word."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint_of(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["key", "h", "fp"])
 
-    made = as_bytes(docs, key, text=text).mapInArrow(rows, f"key {kind}, fp long")
+    read = as_bytes(docs, key, text=text).withColumn("h", F.xxhash64(ENCODED))
+    made = read.mapInArrow(rows, f"key {kind}, h long, fp long")
     return made.withColumnRenamed("key", key)
 
 
@@ -170,12 +171,14 @@ def trie_links(prints: DataFrame, errors: int = 3) -> DataFrame:
     return dealt.repartition("trie", "top").sortWithinPartitions("trie", "top", "rest").mapInArrow(rows, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, key: str = "doc_id", text: str = "text",
+                    with_hash: bool = False) -> DataFrame:
     """(key, fingerprint, component_id) per row of docs: the smallest key reachable over fingerprints that link.
 
     Null and empty texts have fingerprint zero and link like any other. Rows without a key keep their
     row and take part in links; a component without any key has a null id. Repeated rows each keep a
-    row. Copies are one fingerprint, so only distinct fingerprints are joined.
+    row. Copies are one fingerprint, so only distinct fingerprints are joined. `with_hash` adds h, the
+    xxhash64 of the text's bytes (null as empty), by which rows of equal key can be told apart.
     """
     prints = stage(fingerprints(docs, words, key, text), "prints")
     classes = prints.groupBy("fp").agg(F.min(key).alias("low"))
@@ -186,4 +189,4 @@ def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, key: str =
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stage(roots.join(lows, "root").select("fp", "component_id"), "classes")
     discard(edges, roots)
-    return prints.join(named, "fp").select(key, F.format_string("%016x", "fp").alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select(key, F.format_string("%016x", "fp").alias("fingerprint"), "component_id", *["h"] * with_hash)

@@ -1,24 +1,64 @@
-"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir); all but the last return the columns of docs."""
+"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir); all but the last return the columns of docs.
+
+docs needs doc_id, text and lang; it may have more columns, of any name. Rows without doc_id take part.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontam, langid, packing, secrets, simhash
+from .common import stage, table
+
+#: Below this mean probability no language is better than a guess among four.
+LEAST_SCORE = 0.3
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determined language go: no letter, or no language above a guess."""
+    found = langid.identify(docs, carry=True)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays.
 
-    A doc_id that occurs on several rows of one group keeps one row of it; rows without doc_id stay.
+    If several rows of a group have that doc_id, one of them stays. Rows without doc_id all stay.
     """
-    found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_llm_kept")).distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["_llm_kept"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = simhash.near_duplicates(docs, with_hash=True).where(F.col("doc_id") == F.col("component_id"))
+    rows = found.groupBy(F.col("doc_id").alias("_llm_id"), F.col("h").alias("_llm_h")).agg(F.count("*").alias("_llm_n"))
+    kept = stage(rows.groupBy("_llm_id").agg(F.min_by(F.struct("_llm_h", "_llm_n"), "_llm_h").alias("x")).select("_llm_id", "x.*"), "kept")
+    hashed = docs.withColumn("_llm_text_h", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
+    same = (F.col("doc_id") == F.col("_llm_id")) & (F.col("_llm_text_h") == F.col("_llm_h"))
+    once = hashed.join(kept.where("_llm_n = 1"), same, "left_semi")
+    again = hashed.join(kept.where("_llm_n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).drop("_llm_text_h").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contract's rule calls contaminated with benchmark items go."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), with_hash=True)
+    bad = found.where(decontam.contaminated()).select(F.col("doc_id").alias("_llm_id"), F.col("h").alias("_llm_h")).distinct()
+    hashed = docs.withColumn("_llm_text_h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_text_h") == F.col("_llm_h"))
+    return hashed.join(bad, same, "left_anti").drop("_llm_text_h")
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of secrets become a mark; n_chars, where there is one, follows the text."""
+    made = secrets.redact(docs)
+    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("language_id", languages),
     ("simhash_near_dedup", one_per_group),
+    ("benchmark_decontamination", uncontaminated),
+    ("secret_scans", redacted),
+    ("best_fit_packing", packed),
 ]
