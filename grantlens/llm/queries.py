@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, packing, secrets, simhash
+from . import chat, decontam, langid, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -38,7 +38,12 @@ def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "documents"))
 
 
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archived(table(spark, d, "pages")).drop("url")
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_language_id": op4_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op6_secret_scans": op6_secret_scans,
