@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import gc
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +40,6 @@ def as_bytes(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*keys, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(ENCODED))
 
 
-def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(rows, schema)
-
-
 def forest(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
     """For nodes 0..size-1 and the given edges, the smallest node that each one reaches."""
     label = np.arange(size)
@@ -81,3 +76,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = stage(linked.unionByName(lower.withColumnRenamed("m", "v")).distinct(), "pairs")
         discard(pairs)
         pairs = after
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, packing, secrets, simhash, warc
+from . import chat, decontam, langid, lm, packing, pivots, secrets, simhash, substrings, warc
 from .common import table
 
 
@@ -42,7 +42,22 @@ def op2_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archived(table(spark, d, "pages")).drop("url")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, d, "embeddings"))
+
+
+def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, d, "documents")).drop("repeats")
+
+
+def op7_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm.scored(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "op7_lm_scoring": op7_lm_scoring,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op2_warc": op2_warc,
     "op4_language_id": op4_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
