@@ -151,15 +151,27 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = FIT_ROUNDS) -
 
 
 def plan(histogram: np.ndarray, sequence: int, max_patterns: int = MAX_PATTERNS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(repeats, [(length, copies), ...])]: patterns whose pieces are the histogram's, each once."""
+    """[(repeats, [(length, copies), ...])]: patterns whose pieces are the histogram's, each once.
+
+    Two fits are made, over all patterns and over those with a piece of more than half a sequence,
+    which leave the shorter pieces to fill what long ones leave; the one with fewer sequences stands.
+    """
+    lengths = np.flatnonzero(histogram[:sequence])
+    patterns = patterns_of(lengths, sequence) if len(lengths) else np.empty((0, 3), np.int64)
+    plans = [rounded(histogram, chosen, sequence, max_patterns) for chosen in (patterns, patterns[patterns.max(axis=1, initial=0) > sequence // 2])]
+    return min(plans, key=lambda made: sum(repeats for repeats, _ in made))
+
+
+def rounded(histogram: np.ndarray, patterns: np.ndarray, sequence: int, max_patterns: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The fit in whole repeats, long pieces first, as far as there are pieces; the residual is packed best-fit."""
     left = histogram.astype(np.int64).copy()
     made: list[tuple[int, list[tuple[int, int]]]] = []
-    lengths = np.flatnonzero(left[:sequence])
-    patterns = patterns_of(lengths, sequence) if len(lengths) else np.empty((0, 3), np.int64)
     if len(patterns):
         x = fit(patterns, left)
         order = np.argsort(-x, kind="stable")[:max_patterns]
-        for k in order[x[order] >= 0.5].tolist():
+        order = order[x[order] >= 0.5]
+        order = order[np.lexsort((-x[order], -patterns[order].max(axis=1)))]
+        for k in order.tolist():
             need = [(n, c) for n, c in zip(*np.unique(patterns[k], return_counts=True), strict=True) if n]
             repeats = min([round(x[k]), *(int(left[n] // c) for n, c in need)])
             if repeats > 0:
