@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -33,7 +34,8 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = local_session(cores=cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
+    spark = local_session(cores=cores, shuffle_partitions=int(cores) if cores.isdigit() else 8,
+                          shared_dir=os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-"))
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in only or HEADLINE:

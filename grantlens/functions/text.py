@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,35 +14,38 @@ from .scalar import SPACE, ColumnLike, col, js_trim
 
 @dataclass(frozen=True)
 class PhraseRule:
+    """opens may list the letters (lower case) with which every match begins, at the start of a word."""
+
     kind: str
     pattern: str
     rewrite: str
+    opens: str = ""
 
 
 # Forbidden phrase patterns (matched without regard to case) and the advice given.
 PHRASE_RULES = (
     PhraseRule("absolute", r"\b(fraud|fraudulent|corrupt(?:ion)?|crime|criminal|illegal(?:ly)?)\b",
-               "(drop the editorial verdict; use 'pattern consistent with…' or cite the specific source making the claim)"),
+               "(drop the editorial verdict; use 'pattern consistent with…' or cite the specific source making the claim)", "fci"),
     PhraseRule("absolute", r"\b(should have|ought to have|was supposed to)\b",
-               "Use 'comparable filings typically state…' or 'records do not contain…'"),
+               "Use 'comparable filings typically state…' or 'records do not contain…'", "sow"),
     PhraseRule("absolute", r"\b(proves?|proven|definitely|certainly|clearly shows?)\b",
-               "Use 'records indicate…' or 'the dataset shows…'"),
+               "Use 'records indicate…' or 'the dataset shows…'", "pdc"),
     PhraseRule("absolute", r"\b(failed to|refused to|deliberately|intentionally|knowingly)\b",
-               "Use 'the dataset does not show…' or 'public records do not contain…'"),
+               "Use 'the dataset does not show…' or 'public records do not contain…'", "frdik"),
     PhraseRule("absolute", r"\b(coverups?|cover[- ]ups?|schemes?|scams?)\b",
-               "Drop the editorial framing; describe the documented pattern"),
+               "Drop the editorial framing; describe the documented pattern", "cs"),
     PhraseRule("absolute", r"\b(stunning|shocking|egregious|alarming|massive amounts? of public money|astronomical)\b",
-               "Drop the superlative; let the number speak"),
+               "Drop the superlative; let the number speak", "seam"),
     PhraseRule("absolute", r"\b(allegedly|reportedly|sources say|many believe|it is widely known)\b",
-               "Drop the hedge and cite the specific source by name"),
+               "Drop the hedge and cite the specific source by name", "arsmi"),
     PhraseRule("causal", r"\bbecause of\b[^.]{0,80}\b(grant|contract|funding|donation|lobbying)\b",
-               "Use temporal description: 'X occurred N days before Y'"),
+               "Use temporal description: 'X occurred N days before Y'", "b"),
     PhraseRule("causal", r"\b(caused|led to|resulted in)\b[^.]{0,80}\b(grant|contract|funding)\b",
-               "Replace causal verb with 'preceded' / 'followed' or cite the source asserting the causation"),
+               "Replace causal verb with 'preceded' / 'followed' or cite the source asserting the causation", "clr"),
     PhraseRule("causal", r"\bin (?:exchange|return) for\b",
-               "Drop. This phrasing is a quid-pro-quo claim and is unsupported."),
+               "Drop. This phrasing is a quid-pro-quo claim and is unsupported.", "i"),
     PhraseRule("causal", r"\b(this raises serious questions|warrants investigation|warrants further investigation|the public deserves answers|officials should explain)\b",
-               "Drop. The reader-direction is the reader's call, not ours."),
+               "Drop. The reader-direction is the reader's call, not ours.", "two"),
 )
 
 # Fixed value: credential-shaped text.
@@ -52,6 +56,7 @@ QUOTE_MARKS = (("“", "”"), ('"', '"'), ("‘", "’"))
 
 
 WORD = "[0-9A-Za-z_]"
+EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 
 
 def java_pattern(pattern: str) -> str:
@@ -59,19 +64,17 @@ def java_pattern(pattern: str) -> str:
 
     Java's own \\b also counts accented letters, in versions that depend on the JDK.
     """
-    opening = re.sub(r"\\b(?=[(a-z])", lambda _: f"(?<!{WORD})", pattern)
-    return "(?i)" + opening.replace(r"\b", f"(?!{WORD})")
+    return "(?i)" + re.sub(r"(\\\\)|\\b", lambda m: m[1] or EDGE, pattern)
 
 
-def any_phrase(rules: tuple[PhraseRule, ...] = PHRASE_RULES) -> str:
+def any_phrase(rules: Sequence[PhraseRule] = PHRASE_RULES) -> str:
     """One pattern that hits wherever any of the rules does, case ignored.
 
-    Every rule opens on a word boundary, so the possible first letters and the boundary are tested
-    once per position before any alternative is tried.
+    If all rules tell how their matches begin, that is tested first, once per position.
     """
-    letters = sorted({c for r in rules for c in re.findall(r"(?:\\b\(?|\|)([a-z])", r.pattern)})
-    bodies = "|".join(f"(?:{r.pattern.removeprefix(chr(92) + 'b')})" for r in rules)
-    return java_pattern(f"(?=[{''.join(letters)}])(?<!{WORD})(?:{bodies})")
+    opens = "".join(sorted({c for r in rules for c in r.opens})) if all(r.opens for r in rules) else ""
+    screen = f"(?=[{opens}])(?<!{WORD})" if opens else ""
+    return java_pattern(screen + "(?:" + "|".join(f"(?:{r.pattern})" for r in rules) + ")")
 
 
 def sentence_around(before: Column, match: Column, after: Column) -> Column:
@@ -108,9 +111,7 @@ def word_count(c: ColumnLike) -> Column:
 
 def replace_first_word(text: ColumnLike, word: str, replacement: str) -> Column:
     """Swap the first whole-word occurrence (any case) for a literal replacement."""
-    escaped = "".join("\\" + ch if ch in r".*+?^${}()|[]\\" else ch for ch in word)
-    edge = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
-    pattern = f"(?i){edge}{escaped}{edge}"
+    pattern = f"(?i){EDGE}{re.escape(word)}{EDGE}"
     halves = F.split(col(text), pattern, 2)
     swapped = F.concat(F.get(halves, F.lit(0)), F.lit(replacement), F.get(halves, F.lit(1)))
     return F.when(col(text).rlike(pattern), swapped).otherwise(col(text))

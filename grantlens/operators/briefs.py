@@ -19,14 +19,14 @@ from ..functions.scalar import (
     stratum,
 )
 from .skew import distinct_keys
-from .text_checks import brief_sentences, citation_violations, phrase_violations, quote_violations
+from .text_checks import brief_sentences, citation_violations, phrase_violations, present, quote_violations
 from .tokens import token_violations
 
 
 def brief_text() -> Column:
     """Summary, sentences, unverifiable claims and pull quote, joined by blank lines."""
     sentences = F.transform(brief_sentences(), lambda s: s["text"])
-    claims = F.transform("unverifiable", lambda u: F.concat_ws(" ", u["claim"], u["rationale"]))
+    claims = F.transform(present(F.col("unverifiable")), lambda u: F.concat_ws(" ", u["claim"], u["rationale"]))
     parts = F.concat(
         F.array(F.col("proofToken")["finding"]["summary"]),
         sentences,
@@ -41,7 +41,11 @@ def brief_violations() -> Column:
 
 
 def validate_briefs(briefs: DataFrame, id_cols: Sequence[str] = ("briefId",)) -> DataFrame:
-    """All violations of each brief as an array, their number, and the verdict. No shuffle."""
+    """All violations of each brief as an array, their number, and the verdict. No shuffle.
+
+    A list that a brief leaves out is empty, so what it does hold is checked all the same and the
+    verdict is never NULL.
+    """
     checked = briefs.withColumn("_text", brief_text()).select(*id_cols, brief_violations().alias("violations"))
     return checked.withColumn("violation_count", F.size("violations")).withColumn("passed", F.col("violation_count") == 0)
 
@@ -51,21 +55,24 @@ def explode_violations(report: DataFrame, id_cols: Sequence[str] = ("briefId",))
 
 
 def brief_stats(briefs: DataFrame) -> DataFrame:
-    return briefs.select("briefId", F.size("sources").alias("source_count"), F.size(brief_sentences()).alias("sentence_count"))
+    return briefs.select("briefId", F.size(present(F.col("sources"))).alias("source_count"), F.size(brief_sentences()).alias("sentence_count"))
 
 
 def enrich_citations(briefs: DataFrame) -> DataFrame:
     """Every citation with what its source says: title, year, kind, authority tier, host; NULLs if unresolved."""
     def lookup(c: Column) -> Column:
-        return F.get(F.filter("sources", lambda s: s["id"] == c), F.lit(0))
+        return F.get(F.filter(present(F.col("sources")), lambda s: s["id"] == c), F.lit(0))
 
     cited = F.flatten(
         F.transform(
             brief_sentences(),
-            lambda s: F.transform(s["citations"], lambda c, i: F.struct(s["text"].alias("sentence"), (i + 1).alias("citation_no"), c.alias("citation"))),
+            lambda s: F.transform(
+                s["citations"],
+                lambda c, i: F.struct(s["text"].alias("sentence"), (i + 1).alias("citation_no"), c.alias("citation"), lookup(c).alias("s")),
+            ),
         )
     )
-    rows = briefs.select("briefId", "sources", F.inline(cited)).withColumn("s", lookup(F.col("citation")))
+    rows = briefs.select("briefId", F.inline(cited))
     return rows.select(
         "briefId", "sentence", "citation_no", "citation", F.col("s.title").alias("title"), F.col("s.kind").alias("kind"),
         F.col("s.year").alias("year"), F.col("s.authorityTier").alias("authority_tier"), host_of("s.url").alias("host"),

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fiscal_year, has_description
-from ..session import stage
+from ..session import Stages, stages_of
 from .guards import current_version, first_per_key
 from .skew import SPREAD, distinct_keys, reduce_by, spread
 
@@ -104,7 +104,7 @@ def pick_sources(rows: DataFrame, source_refs: DataFrame | None = None) -> DataF
     return first_per_key(rows, ["ref"], _best_first())
 
 
-def _value_positions(cands: DataFrame, bounds: DataFrame) -> DataFrame:
+def _value_positions(cands: DataFrame, bounds: DataFrame, stages: Stages) -> DataFrame:
     """Rank candidates by (value, id descending) within a program, and place the bounds among them.
 
     A program may hold a third of the table, so ranks are counted inside value cells and the cell
@@ -115,7 +115,7 @@ def _value_positions(cands: DataFrame, bounds: DataFrame) -> DataFrame:
     ).unionByName(bounds.select("program", "value", F.lit(1).alias("kind")), allowMissingColumns=True)
     cell = F.floor(F.log(F.col("value").cast("double") + 1) * CELLS)
     rows = rows.withColumn("cell", cell)
-    rows = stage(rows)
+    rows = stages.add(rows)
     is_cand = F.when(F.col("kind") == 0, 1).otherwise(0)
     totals = rows.groupBy("program", "cell").agg(F.sum(is_cand).alias("in_cell"))
     before = Window.partitionBy("program").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,7 +126,7 @@ def _value_positions(cands: DataFrame, bounds: DataFrame) -> DataFrame:
     return ranked.join(offsets, ["program", "cell"]).withColumn("pos", F.col("offset") + F.col("local"))
 
 
-def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _tier_one(rows: DataFrame, sources: DataFrame, k: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """(list per program and source value, list per source whose own rows crowd the program)."""
     valued = F.col("program").isNotNull() & (F.col("value") >= 0)
     cands = rows.filter(F.col("described") & valued).withColumn("value", F.col("value").cast(WIDE))
@@ -134,7 +134,7 @@ def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, D
     cands = _at_most(cands, ["program", "value", "ref"], _best_first(), k)
     cands = _at_most(cands, ["program", "value"], _best_first(), 2 * k)
     bounds = sources.filter(valued).select("program", _times("value", "1.5").alias("value")).distinct()
-    placed = stage(_value_positions(cands, bounds).drop("cell", "offset", "local"))
+    placed = stages.add(_value_positions(cands, bounds, stages).drop("cell", "offset", "local"))
 
     found = placed.filter("kind = 0")
     size = 2 * k
@@ -185,11 +185,14 @@ def _tier_one(rows: DataFrame, sources: DataFrame, k: int) -> tuple[DataFrame, D
     return at_bound, crowded_lists
 
 
-def match_comparables(rows: DataFrame, sources: DataFrame, k: int = 12, years: int = 5) -> DataFrame:
+def match_comparables(
+    rows: DataFrame, sources: DataFrame, k: int = 12, years: int = 5, stages: Stages | None = None
+) -> DataFrame:
     """(source_ref, id, ref, value, similarity_tier, position) for every source row."""
     serve = 2 * k - 1
     rows = rows.filter(F.col("ref").isNotNull())
-    at_bound, crowded = _tier_one(rows, sources, k)
+    stages = stages or stages_of(rows.sparkSession)
+    at_bound, crowded = _tier_one(rows, sources, k, stages)
 
     described = rows.filter("described")
     yearly = described.filter(F.col("program").isNotNull() & F.col("year").isNotNull())
@@ -256,16 +259,18 @@ def comparable_grants(
     value: str = "agreement_value",
     start: str = "agreement_start_date",
     row_id: str = "_id",
+    stages: Stages | None = None,
     **columns: str,
 ) -> DataFrame:
     """The k best comparables of each source reference number (all of them when none are given).
 
-    Texts and dates are joined back only for rows that were chosen.
+    Texts and dates are joined back only for rows that were chosen. stages owns the intermediates.
     """
-    rows = stage(
+    stages = stages or stages_of(grants.sparkSession)
+    rows = stages.add(
         agreement_rows(grants, description=description, department=department, value=value, start=start, row_id=row_id, **columns)
     )
-    chosen = match_comparables(rows, pick_sources(rows, source_refs), k)
+    chosen = match_comparables(rows, pick_sources(rows, source_refs), k, stages=stages)
     wide = grants.select(
         F.col(row_id).alias("id"),
         F.col(description).alias("description"),

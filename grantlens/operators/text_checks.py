@@ -54,6 +54,11 @@ def filled(wording: str, *values: Column | str) -> Column:
     return F.concat(*out)
 
 
+def present(c: Column) -> Column:
+    """The array, or an empty one where a document leaves it out."""
+    return F.coalesce(c, F.array())
+
+
 def no_violations() -> Column:
     return F.array().cast(f"array<{VIOLATION}>")
 
@@ -76,35 +81,40 @@ def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RUL
     return F.when(col(text).rlike(any_phrase(tuple(rules))), listed).otherwise(no_violations())
 
 
-def calibration_sweep(df: DataFrame, text: str, id_cols: Sequence[str], per_sentence: bool = False) -> DataFrame:
+def calibration_sweep(
+    df: DataFrame, text: str, id_cols: Sequence[str], per_sentence: bool = False, rules: Sequence[PhraseRule] = PHRASE_RULES
+) -> DataFrame:
     """One row per (text, rule) hit. Stateless, so it takes streaming DataFrames as well.
 
     per_sentence applies the rules to each sentence on its own, reporting the first hit in each.
     """
     if per_sentence:
         df = df.withColumn(text, F.explode(F.split(text, r"(?<=\.)")))
-    return df.select(*id_cols, F.inline(phrase_violations(text))).drop("detail")
+    return df.select(*id_cols, F.inline(phrase_violations(text, rules))).drop("detail")
 
 
 # --- nested briefs ----------------------------------------------------------------------------
 
 
 def brief_sentences(sections: ColumnLike = "publicSources") -> Column:
-    return F.flatten(F.transform(col(sections), lambda s: s["sentences"]))
+    """Sentences of all sections in order; absent lists are empty, an absent text is an empty one."""
+    every = F.flatten(F.transform(present(col(sections)), lambda s: present(s["sentences"])))
+    whole = F.filter(every, lambda s: s.isNotNull())
+    return F.transform(whole, lambda s: F.struct(F.coalesce(s["text"], F.lit("")).alias("text"), present(s["citations"]).alias("citations")))
 
 
 def citation_violations(sections: ColumnLike = "publicSources", sources: ColumnLike = "sources") -> Column:
     """A sentence without citations, and each citation that names none of the brief's sources."""
     def check(s: Column, known: Column) -> Column:
         missing = F.array(violation("MISSING_CITATION", s["text"], None, F.lit(NO_CITATION)))
-        loose = F.filter(s["citations"], lambda c: ~F.array_contains(known, c))
+        loose = F.filter(s["citations"], lambda c: ~F.coalesce(F.array_contains(known, c), F.lit(False)))
         named = F.transform(
             loose,
-            lambda c: violation("MISSING_CITATION", s["text"], None, filled(UNRESOLVED_CITATION, c)),
+            lambda c: violation("MISSING_CITATION", s["text"], None, filled(UNRESOLVED_CITATION, F.coalesce(c, F.lit("null")))),
         )
         return F.when(F.size(s["citations"]) == 0, missing).otherwise(named)
 
-    ids = F.transform(col(sources), lambda s: s["id"])
+    ids = F.transform(present(col(sources)), lambda s: s["id"])
     return bind(ids, lambda known: F.flatten(F.transform(brief_sentences(sections), lambda s: check(s, known))))
 
 
@@ -131,15 +141,18 @@ def _uses_of(q: Column) -> Column:
 
 
 def _reuses(uses: Column) -> Column:
-    """Uses of a source after its first one."""
-    def numbered(cited: Column) -> Column:
-        return F.transform(
-            uses, lambda u, i: F.struct(u.alias("u"), (F.array_position(cited, u["source"]) <= i).alias("again"))
+    """Uses of a source after its first one, in their order. Sorted by source, a reuse follows a use of the same."""
+    cited = F.filter(uses, lambda u: u["source"].isNotNull())
+    placed = F.array_sort(F.transform(cited, lambda u, i: F.struct(u["source"].alias("source"), i.alias("i"), u.alias("u"))))
+
+    def after(ordered: Column) -> Column:
+        marked = F.transform(
+            ordered,
+            lambda n, k: F.struct(n["i"].alias("i"), n["u"].alias("u"), (F.get(ordered, k - 1)["source"] == n["source"]).alias("again")),
         )
+        return F.array_sort(F.filter(marked, lambda n: n["again"]))
 
-    marked = bind(F.transform(uses, lambda u: u["source"]), numbered)
-    again = F.filter(marked, lambda n: n["again"])
-    return F.transform(again, lambda n: _reused(n["u"]["text"], n["u"]["quote"], n["u"]["source"]))
+    return F.transform(bind(placed, after), lambda n: _reused(n["u"]["text"], n["u"]["quote"], n["u"]["source"]))
 
 
 def quote_violations(sections: ColumnLike = "publicSources", max_words: int = MAX_QUOTE_WORDS) -> Column:
@@ -176,7 +189,7 @@ def citation_completeness_table(
     def out(df: DataFrame, detail: Column) -> DataFrame:
         return df.select(brief, *order, F.lit("MISSING_CITATION").alias("type"), F.col(text).alias("sentence"), detail.alias("detail"))
 
-    bare = out(sentences.filter(F.size(citations) == 0), F.lit(NO_CITATION))
+    bare = out(sentences.filter(F.size(present(F.col(citations))) == 0), F.lit(NO_CITATION))
     cited = sentences.select(brief, *order, text, F.explode(citations).alias(source))
     loose = cited.join(distinct_keys(sources, brief, source), [brief, source], "left_anti")
     return bare.unionByName(out(loose, filled(UNRESOLVED_CITATION, F.col(source))))

@@ -9,16 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import widen
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, spread over the cores when the file is a single split."""
-    return widen(table(spark, sf_dir, name))
+    """A table of long texts. How finely it is read follows from spark.sql.files.maxPartitionBytes alone."""
+    return table(spark, sf_dir, name)
 
 
 def _sql(columns: dict[str, str], source: str, tail: str = "") -> str:

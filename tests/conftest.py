@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from grantlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=8, shuffle_partitions=4)
+    session = local_session(cores=8, shuffle_partitions=4, shared_dir=tempfile.mkdtemp(prefix="spark-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

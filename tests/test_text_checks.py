@@ -1,7 +1,11 @@
 """Language rules, citations and quotes."""
 
+import dataclasses
+import re
+
 import pytest
 
+from grantlens.operators import briefs as bf
 from grantlens.operators import text_checks as tc
 from grantlens.streaming.live_checks import sweep_stream
 
@@ -60,6 +64,33 @@ def test_only_first_match_per_rule_unless_per_sentence(spark):
     assert sorted(r.match for r in sweep(spark, text, per_sentence=True)) == ["crime", "fraud", "knowingly"]
 
 
+BRIEF_PARTS = {
+    "publicSources": [("h", [("It was a fraud.", ["a"]), ("Says “one two”.", None)], None), ("empty", None, None)],
+    "sources": [("a", "news", "A", "https://a", 2020, "2020-01-01", 1)],
+    "unverifiable": [("This was a scam", "none")],
+}
+
+
+@pytest.mark.parametrize("absent", [(), ("publicSources",), ("sources",), ("unverifiable",), ("publicSources", "unverifiable"), tuple(BRIEF_PARTS)])
+def test_a_brief_that_leaves_lists_out_is_judged_by_the_rest(spark, absent):
+    from grantlens.sources import schemas
+
+    schema = schemas.as_schema(schemas.brief())
+    row = {"briefId": "b"} | {k: v for k, v in BRIEF_PARTS.items() if k not in absent}
+    df = spark.createDataFrame([tuple(row.get(f.name) for f in schema.fields)], schema)
+    got = bf.validate_briefs(df).first()
+    assert got.passed is False  # without a token at least
+    kinds = [(v.type, v.match or v.detail) for v in got.violations]
+    assert (("CALIBRATION_LEAK", "fraud") in kinds) == ("publicSources" not in absent)
+    assert (("CALIBRATION_LEAK", "scam") in kinds) == ("unverifiable" not in absent)
+    bare = sum(k == ("MISSING_CITATION", tc.NO_CITATION) for k in kinds)
+    loose = sum(k == ("MISSING_CITATION", tc.UNRESOLVED_CITATION.format("a")) for k in kinds)
+    assert bare == ("publicSources" not in absent)
+    assert loose == ("publicSources" not in absent and "sources" in absent)
+    assert bf.enrich_citations(df).count() == ("publicSources" not in absent)
+    assert bf.brief_stats(df).first().sentence_count == (0 if "publicSources" in absent else 2)
+
+
 SENTENCES = "briefId string, publicSources array<struct<sectionHeading:string,sentences:array<struct<text:string,citations:array<string>>>>>, sources array<struct<id:string>>"
 BRIEF = (
     "b", [("h", [
@@ -102,10 +133,45 @@ def test_stream_and_table_agree(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(FLAGGED + CLEAN)), "k int, text string")
     df.repartition(3).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("k int, text string").json(str(tmp_path / "in"))
-    query = sweep_stream(stream, "text", ["k"], sink="memory").queryName("swept").start()
+    query = sweep_stream(stream, "text", ["k"], str(tmp_path / "c"), sink="memory").queryName("swept").start()
     query.processAllAvailable()
     query.stop()
     want = {(r.k, r.match) for r in tc.calibration_sweep(df, "text", ["k"]).collect()}
     assert {(r.k, r.match) for r in spark.table("swept").collect()} == want
     with pytest.raises(ValueError):
-        sweep_stream(df, "text", ["k"])
+        sweep_stream(df, "text", ["k"], str(tmp_path / "c2"))
+
+
+def test_stream_goes_on_after_a_stop(spark, tmp_path):
+    source, sink, place = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for part, texts in enumerate((FLAGGED[:6], FLAGGED[6:])):
+        spark.createDataFrame([(10 * part + k, t) for k, t in enumerate(texts)], "k int, text string").write.mode("append").json(source)
+        stream = spark.readStream.schema("k int, text string").json(source)
+        query = sweep_stream(stream, "text", ["k"], place, path=sink).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted(r.k for r in spark.read.parquet(sink).collect())
+    assert got == sorted(set(got)) and len(got) == len(FLAGGED)
+
+
+@pytest.mark.parametrize(("pattern", "hits"), [
+    (r"\b(?:foo|bar)\b", ["a foo here", "BAR", "éfoo"]), (r"foo", ["xfoox", "Foo"]), (r"\b(Foo)\b", ["foo.", "the Foo"]), (r"\bFoo", ["food"]),
+    (r"oo\b", ["foo"]), (r"(?:^|\s)x", ["x", "a x"]), (r"a\\b", ["a\\b"])])
+def test_any_rule_finds_what_its_pattern_finds(spark, pattern, hits):
+    rules = (tc.PhraseRule("custom", pattern, "drop"),)
+    texts = [*hits, "nothing", "sfoos and rebar", "fraud"]
+    want = {t for t in texts if re.search(pattern, t, re.I | re.A)}
+    assert set(hits) <= want
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text for r in tc.calibration_sweep(df, "text", ["text"], rules=rules).collect()} == want
+    both = tc.calibration_sweep(df, "text", ["text"], rules=(*tc.PHRASE_RULES, *rules)).collect()
+    assert {r.text for r in both} == want | {"fraud"}
+
+
+def test_opening_letters_lose_no_hit(spark):
+    """Every rule's own phrases, alone, capitalised and inside other words: the same hits with and without its letters."""
+    phrases = [p for r in tc.PHRASE_RULES for p in re.findall(r"[a-z][a-z -]*[a-z]", r.pattern)]
+    texts = [f(p) for p in phrases for f in (str, str.upper, "x{}".format, "so {} x".format, "{} grant".format, "é{}.".format)] + FLAGGED + CLEAN
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = tuple(dataclasses.replace(r, opens="") for r in tc.PHRASE_RULES)
+    hits = [sorted((r.text, r.match, r.rewrite) for r in tc.calibration_sweep(df, "text", ["text"], rules=rules).collect()) for rules in (tc.PHRASE_RULES, plain)]
+    assert hits[0] == hits[1] and len(hits[0]) > 100
