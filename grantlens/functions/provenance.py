@@ -39,7 +39,8 @@ def evidence_hash(evidence: ColumnLike) -> Column:
 
 def proof_id(entity_id: ColumnLike, finding_type: ColumnLike, ev_hash: ColumnLike, issued_at: ColumnLike) -> Column:
     """Same inputs, same id."""
-    digest = F.sha2(F.concat_ws("|", col(entity_id), col(finding_type), col(ev_hash)), 256)
+    parts = [F.coalesce(col(c), F.lit("")) for c in (entity_id, finding_type, ev_hash)]  # each keeps its place
+    digest = F.sha2(F.concat_ws("|", *parts), 256)
     return F.concat(F.lit("ppm-"), col(issued_at), F.lit("-"), F.substring(digest, 1, 6))
 
 

@@ -264,9 +264,10 @@ def token_registry(findings: DataFrame, briefs: DataFrame) -> DataFrame:
 
 
 def find_tokens(registry: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """First token per id: findings before briefs. With ids, only those asked for."""
+    """First token per id: findings before briefs. With ids, only those asked for; a token without an id is never found."""
     if ids is not None:
         registry = registry.join(distinct_keys(ids, "proof_id"), "proof_id", "left_semi")
+    registry = registry.filter(F.col("proof_id").isNotNull())
     order = [F.col("source_priority"), F.col("tie"), F.col("subject_name"), F.xxhash64("proofToken")]
     return first_per_key(registry, ["proof_id", spread("proof_id")], order).drop("source_priority", "tie")
 

@@ -244,14 +244,16 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("indicatorCount", F.length(F.col("proofToken")["finding"]["summary"]).cast("int"))
 
 
+# Documents of these sources leave a list out: their sections, their claims, their sources.
+NO_SECTIONS, NO_CLAIMS, NO_SOURCES = "src2", "src5", "src3"
+
+
 def brief_lines() -> Column:
-    """Sentences of a document: quoted when short, citing by their length; blank lines cite nothing."""
+    """Sentences of a document: quoted when short, citing by their length; blank lines have no citations at all."""
     def sentence(line):
         short = (F.length(line) < 90) & (F.length(line) > 0)
         n = F.length(line)
-        cites = F.when(n == 0, F.array().cast("array<string>")).otherwise(
-            F.array(F.concat(F.lit("src-"), (n % 7).cast("string")))
-        )
+        cites = F.when(n != 0, F.array(F.concat(F.lit("src-"), (n % 7).cast("string"))))
         return F.struct(
             F.when(short, F.concat(F.lit("“"), line, F.lit("”"))).otherwise(line).alias("text"), cites.alias("citations")
         )
@@ -297,10 +299,12 @@ def briefs(spark: SparkSession, d: str) -> DataFrame:
             F.col("n_chars").cast("decimal(18,2)").alias("totalAgreementValue"), F.lit(0).alias("amendmentCount"),
             F.when(F.col("lang") != "fr", F.array(F.col("source"))).otherwise(F.array().cast("array<string>")).alias("awardingDepartments"),
         ).alias("governmentRecords"),
-        F.array(F.struct(F.col("source").alias("sectionHeading"), brief_lines().alias("sentences"))).alias("publicSources"),
-        F.array(F.struct(F.lit("Funded outcomes").alias("claim"), F.lit("cannot be assessed").alias("rationale"))).alias("unverifiable"),
+        F.when(F.col("source") != NO_SECTIONS, F.array(F.struct(F.col("source").alias("sectionHeading"), brief_lines().alias("sentences")))).alias("publicSources"),
+        F.when(
+            F.col("source") != NO_CLAIMS, F.array(F.struct(F.lit("Funded outcomes").alias("claim"), F.lit("cannot be assessed").alias("rationale")))
+        ).alias("unverifiable"),
         F.when(F.col("lang") == "de", F.struct(F.lit("Records are definitely kept.").alias("text"))).alias("pullQuote"),
-        F.transform(
+        F.when(F.col("source") != NO_SOURCES, F.transform(
             source_ids,
             lambda i: F.struct(
                 F.concat(F.lit("src-"), i.cast("string")).alias("id"), F.lit("news").alias("kind"),
@@ -308,7 +312,7 @@ def briefs(spark: SparkSession, d: str) -> DataFrame:
                 F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.org/"), i.cast("string")).alias("url"),
                 (F.lit(2020) + i).cast("int").alias("year"), F.lit("2024-01-01").alias("retrievalDate"), (i + 1).cast("int").alias("authorityTier"),
             ),
-        ).alias("sources"),
+        )).alias("sources"),
         token.alias("proofToken"),
     )
 
@@ -321,7 +325,8 @@ SENTENCES_SQL = f"""
            CASE WHEN length(line) = 0 THEN NULL ELSE concat('src-', cast(length(line) % 7 AS string)) END AS citation
     FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
                  unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n
-          FROM documents)"""
+          FROM documents WHERE source <> '{NO_SECTIONS}')"""
+UNRESOLVED_SQL = f"(citation IN ('src-5', 'src-6') OR source = '{NO_SOURCES}')"
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import host_of, normalize_name, slugify
-from ..functions.text import PHRASE_RULES, SECRET_PATTERN, direct_quotes, replace_first_word, word_count
+from ..functions.text import PHRASE_RULES, SECRET_PATTERN, PhraseRule, direct_quotes, replace_first_word, word_count
 from ..operators import audits, briefs, text_checks
+from ..operators.tokens import SHORTCOMINGS
 from . import inputs as i
 
 
@@ -32,10 +33,21 @@ def calibration_sweep(spark: SparkSession, d: str) -> DataFrame:
     return text_checks.calibration_sweep(_swept(spark, d), "text", ["doc_id"]).drop("type")
 
 
-def sweep_sql(relation: str, keys: str, text: str = "text") -> str:
+# Rules that open on a group, on no word boundary, on a capital, and on white space.
+CUSTOM_RULES = (
+    PhraseRule("custom", r"\b(?:the|von|exchange)\b", "drop the article"), PhraseRule("custom", r"tion", "drop the ending"),
+    PhraseRule("custom", r"\b(Der|La)\b", "drop the capital"), PhraseRule("custom", r"\s(?:und|de) ", "drop the link"),
+)
+
+
+def calibration_sweep_custom(spark: SparkSession, d: str) -> DataFrame:
+    return text_checks.calibration_sweep(i.texts(spark, d, "documents"), "text", ["doc_id"], rules=CUSTOM_RULES).drop("type")
+
+
+def sweep_sql(relation: str, keys: str, text: str = "text", rules=PHRASE_RULES) -> str:
     """Every rule's first hit in the text, as the reference query for the sweep."""
     parts = []
-    for rule in PHRASE_RULES:
+    for rule in rules:
         p = quoted("(?i)" + rule.pattern)
         lazy = quoted("(?is)^(.*?)" + rule.pattern)
         parts.append(f"""SELECT {keys}, {text} AS t, regexp_extract({text}, {p}, 0) AS m, length(regexp_extract({text}, {lazy}, 1)) AS off,
@@ -88,6 +100,12 @@ def validate_briefs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def brief_violation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every violation of every brief as a row."""
+    report = briefs.validate_briefs(i.briefs(spark, d), ["doc_id"])
+    return briefs.explode_violations(report, ["doc_id"]).select("doc_id", "type", "sentence", "match", "detail", "rewrite")
+
+
 def brief_stats(spark: SparkSession, d: str) -> DataFrame:
     return briefs.brief_stats(i.briefs(spark, d))
 
@@ -160,8 +178,8 @@ Q_SENT = f"""sent AS ({i.SENTENCES_SQL}),
     reuse AS (SELECT *, row_number() OVER (PARTITION BY doc_id, citation ORDER BY sentence_no, quote_no) AS use_no FROM qw WHERE citation IS NOT NULL)"""
 
 BRIEF_TEXT = f"""briefs AS (SELECT doc_id, concat(summary, chr(10), chr(10),
-        (SELECT string_agg(s.text, chr(10) || chr(10) ORDER BY sentence_no) FROM sent s WHERE s.doc_id = p.doc_id),
-        chr(10), chr(10), 'Funded outcomes cannot be assessed', chr(10), chr(10),
+        (SELECT string_agg(s.text, chr(10) || chr(10) ORDER BY sentence_no) || chr(10) || chr(10) FROM sent s WHERE s.doc_id = p.doc_id),
+        CASE WHEN source <> '{i.NO_CLAIMS}' THEN concat('Funded outcomes cannot be assessed', chr(10), chr(10)) ELSE '' END,
         CASE WHEN lang = 'de' THEN 'Records are definitely kept.' ELSE '' END) AS text, lang FROM ({i.PROSE_SQL}) p)"""
 
 T_Q = f"""turns AS ({i.TURNS_SQL}), srcs AS ({i.TURN_SOURCES_SQL}),
@@ -173,21 +191,30 @@ T_Q = f"""turns AS ({i.TURNS_SQL}), srcs AS ({i.TURN_SOURCES_SQL}),
 QUERIES = {
     f.__name__: f
     for f in (
-        calibration_sweep, secret_scan, first_word_rewrite, citation_completeness, quote_discipline, citation_completeness_turns,
-        quote_discipline_turns, validate_briefs, brief_stats, citation_enrichment, brief_index, briefs_by_name, name_keys,
+        calibration_sweep, calibration_sweep_custom, secret_scan, first_word_rewrite, citation_completeness, quote_discipline, citation_completeness_turns,
+        quote_discipline_turns, validate_briefs, brief_violation_rows, brief_stats, citation_enrichment, brief_index, briefs_by_name, name_keys,
         citation_hosts, dead_links, dead_links_by_table, quote_lengths,
     )
 }
 
 ORACLES = {
     "calibration_sweep": f"WITH swept AS ({SWEPT}) " + sweep_sql("swept", "doc_id"),
+    "calibration_sweep_custom": sweep_sql("documents", "doc_id", rules=CUSTOM_RULES),
+    "brief_violation_rows": f"""WITH {Q_SENT}, {BRIEF_TEXT}, swept AS ({sweep_sql('briefs', 'doc_id')})
+        SELECT doc_id, 'CALIBRATION_LEAK' AS type, sentence, "match", NULL AS detail, rewrite FROM swept
+        UNION ALL SELECT doc_id, 'MISSING_CITATION', text, NULL, CASE WHEN citation IS NULL THEN {quoted(text_checks.NO_CITATION)}
+            ELSE replace({quoted(text_checks.UNRESOLVED_CITATION)}, '{{}}', citation) END, NULL FROM sent WHERE citation IS NULL OR {i.UNRESOLVED_SQL}
+        UNION ALL SELECT doc_id, 'QUOTE_TOO_LONG', text, quote, concat('Direct quote is ', words, ' words; the ceiling is {text_checks.MAX_QUOTE_WORDS}.'), NULL
+            FROM qw WHERE words > {text_checks.MAX_QUOTE_WORDS}
+        UNION ALL SELECT doc_id, 'QUOTE_REUSED', text, quote, replace({quoted(text_checks.QUOTE_REUSED)}, '{{}}', citation), NULL FROM reuse WHERE use_no > 1
+        UNION ALL SELECT doc_id, 'QUOTE_TOO_LONG', NULL, NULL, {quoted(SHORTCOMINGS["quote"])}, NULL FROM documents WHERE lang = 'es'""",
     "secret_scan": f"""SELECT doc_id, regexp_extract(t, {quoted('(?i)' + SECRET_PATTERN)}, 0) AS "match"
         FROM (SELECT doc_id, replace(text, 'token = ', 'api_key = ') AS t FROM documents) WHERE regexp_matches(t, {quoted('(?i)' + SECRET_PATTERN)})""",
     "first_word_rewrite": "SELECT doc_id, md5(regexp_replace(text, '(?i)\\bthe\\b', 'a certain')) AS digest FROM documents",
     "citation_completeness": f"""WITH sent AS ({i.SENTENCES_SQL}) SELECT doc_id, 'MISSING_CITATION' AS type, text AS sentence,
         CASE WHEN citation IS NULL THEN 'No citation pointer on a prose sentence.'
              ELSE concat('Citation ', citation, ' does not resolve to a source in this brief.') END AS detail
-        FROM sent WHERE citation IS NULL OR citation IN ('src-5', 'src-6')""",
+        FROM sent WHERE citation IS NULL OR {i.UNRESOLVED_SQL}""",
     "quote_discipline": f"""WITH {Q_SENT} SELECT doc_id, 'QUOTE_TOO_LONG' AS type, text AS sentence, quote AS "match",
         concat('Direct quote is ', words, ' words; the ceiling is 15.') AS detail FROM qw WHERE words > 15
         UNION ALL SELECT doc_id, 'QUOTE_REUSED', text, quote,
@@ -201,7 +228,7 @@ ORACLES = {
         UNION ALL SELECT brief_id, sentence_no, 'QUOTE_REUSED', text, quote,
         concat('Source ', c, ' is quoted directly more than once; one direct quote per source maximum.') FROM uses WHERE use_no > 1""",
     "validate_briefs": f"""WITH {Q_SENT}, {BRIEF_TEXT}, swept AS ({sweep_sql('briefs', 'doc_id')}),
-        c AS (SELECT doc_id, count(*) AS n FROM sent WHERE citation IS NULL OR citation IN ('src-5', 'src-6') GROUP BY 1),
+        c AS (SELECT doc_id, count(*) AS n FROM sent WHERE citation IS NULL OR {i.UNRESOLVED_SQL} GROUP BY 1),
         l AS (SELECT doc_id, count(*) AS n FROM swept GROUP BY 1), r AS (SELECT doc_id, count(*) AS n FROM reuse WHERE use_no > 1 GROUP BY 1),
         w AS (SELECT doc_id, count(*) AS n FROM qw WHERE words > 15 GROUP BY 1)
         SELECT *, cast(citations + leaks + reused + too_long AS int) AS violation_count, citations + leaks + reused + too_long = 0 AS passed FROM (
@@ -209,8 +236,9 @@ ORACLES = {
                  cast(coalesce(r.n, 0) AS int) AS reused,
                  cast(coalesce(w.n, 0) + CASE WHEN b.lang = 'es' THEN 1 ELSE 0 END AS int) AS too_long
           FROM briefs b LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN w USING (doc_id))""",
-    "brief_stats": "SELECT concat('ob-', doc_id) AS \"briefId\", 5 AS source_count, cast(len(string_split(text, chr(10))) AS int) AS sentence_count FROM documents",
-    "citation_enrichment": f"""WITH sent AS ({i.SENTENCES_SQL}), k AS (SELECT *, try_cast(replace(citation, 'src-', '') AS int) AS n FROM sent WHERE citation IS NOT NULL)
+    "brief_stats": f"""SELECT concat('ob-', doc_id) AS "briefId", CASE WHEN source = '{i.NO_SOURCES}' THEN 0 ELSE 5 END AS source_count,
+        CASE WHEN source = '{i.NO_SECTIONS}' THEN 0 ELSE cast(len(string_split(text, chr(10))) AS int) END AS sentence_count FROM documents""",
+    "citation_enrichment": f"""WITH sent AS ({i.SENTENCES_SQL}), k AS (SELECT *, CASE WHEN source = '{i.NO_SOURCES}' THEN 9 ELSE try_cast(replace(citation, 'src-', '') AS int) END AS n FROM sent WHERE citation IS NOT NULL)
         SELECT concat('ob-', doc_id) AS "briefId", citation, CASE WHEN n < 5 THEN concat('Source ', n) END AS title,
             CASE WHEN n < 5 THEN cast(2020 + n AS double) END AS year, CASE WHEN n < 5 THEN cast(n + 1 AS double) END AS authority_tier,
             CASE WHEN n < 5 THEN concat(source, '.example.org') END AS host, count(*) AS uses FROM k GROUP BY ALL""",

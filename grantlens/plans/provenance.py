@@ -137,9 +137,22 @@ def poly_hash(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", fp.poly31_hex("url").alias("url_hash"), fp.poly31_hex(title).alias("title_hash"))
 
 
+# Which tokens are sealed at all, and which were altered afterwards, by nation.
+SEALED, ALTERED = "n % 2 = 0", "n % 3 = 0"
+
+
 def chain_audit(spark: SparkSession, d: str) -> DataFrame:
-    audit = tokens.chain_audit(i.tokens(spark, d).filter("proofToken IS NOT NULL"))
-    return audit.withColumns({c: F.col(c).cast("string") for c in ("seal_holds", "parent_found")})
+    """Some tokens carry their seal, some of these were altered since, the others carry another hash."""
+    nations = i.table(spark, d, "customer").selectExpr("c_custkey AS custkey", "c_nationkey AS n")
+    raw = i.tokens(spark, d).filter("proofToken IS NOT NULL").join(nations, "custkey")
+    own = F.col("proofToken")["tiers"]["audit"]["tokenHash"]
+    hashed = F.when(F.expr(SEALED), fp.token_seal("proofToken")).otherwise(own)
+    mixed = raw.withColumn("proofToken", F.col("proofToken").withField("tiers.audit.tokenHash", hashed))
+    score = F.col("proofToken")["finding"]["score"]
+    changed = F.when(F.expr(ALTERED), score + 1).otherwise(score)
+    audit = tokens.chain_audit(mixed.withColumn("proofToken", F.col("proofToken").withField("finding.score", changed)))
+    shown = F.when(F.col("token_hash").rlike("^sha256:[0-9a-f]{64}$"), F.lit("sealed")).otherwise(F.col("token_hash"))
+    return audit.withColumn("token_hash", shown).withColumns({c: F.col(c).cast("string") for c in ("seal_holds", "parent_found")})
 
 
 def parent_links(spark: SparkSession, d: str) -> DataFrame:
@@ -324,8 +337,9 @@ ORACLES = {
     "chain_tokens": CHAIN_SQL,
     "poly_hash": f"""SELECT page_id, {_poly_sql('url')} AS url_hash, {_poly_sql('title')} AS title_hash
         FROM (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)""",
-    "chain_audit": f"""WITH t AS (SELECT * FROM ({i.TOKENS_SQL}) WHERE {VALID}) SELECT proof_id, token_hash, previous_hash,
-        CASE WHEN token_hash IS NOT NULL THEN 'false' END AS seal_holds,
+    "chain_audit": f"""WITH t AS (SELECT * REPLACE (CASE WHEN {SEALED} THEN 'sealed' ELSE token_hash END AS token_hash)
+            FROM (SELECT *, updated_nation AS n FROM ({i.TOKENS_SQL})) WHERE {VALID}) SELECT proof_id, token_hash, previous_hash,
+        CASE WHEN {SEALED} THEN CASE WHEN {ALTERED} THEN 'false' ELSE 'true' END WHEN token_hash IS NOT NULL THEN 'false' END AS seal_holds,
         CASE WHEN previous_hash IS NULL THEN NULL WHEN previous_hash IN (SELECT token_hash FROM t WHERE token_hash IS NOT NULL) THEN 'true' ELSE 'false' END AS parent_found FROM t""",
     "parent_links": f"""WITH t AS (SELECT * FROM ({i.TOKENS_SQL}) WHERE {VALID}) SELECT c.proof_id AS child_id, p.proof_id AS parent_id
         FROM t c JOIN t p ON c.previous_hash = p.token_hash""",
@@ -357,7 +371,7 @@ ORACLES = {
     "dossier_sink": f"""SELECT entity_id, cast(len(string_split(agreement_ids, ',')) AS int) AS agreements,
         total_current_commitment AS total, '{i.TOKEN_TIME}' AS "cachedAt" FROM ({DOSSIER_SQL})""",
     "document_scan": f"""SELECT concat('ob-', doc_id) AS "briefId", CASE WHEN lang = 'en' THEN 'outcome' ELSE 'counterfactual' END AS "briefType",
-        cast(len(string_split(text, chr(10))) AS int) AS sentences, cast(doc_id AS varchar) AS row_id,
+        CASE WHEN source <> '{i.NO_SECTIONS}' THEN cast(len(string_split(text, chr(10))) AS int) END AS sentences, cast(doc_id AS varchar) AS row_id,
         CASE WHEN length(cast(doc_id AS varchar)) > 2 THEN cast(n_chars AS double) END AS value_num, NULL AS value_str,
         concat('ppm-{i.TOKEN_TIME}-d', doc_id) AS proof_id FROM documents""",
 }
