@@ -106,28 +106,41 @@ def exchange(parts: int, ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, runs
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], SENT_NAMES)
 
 
-def settle(table: pa.Table, width: int, wide: bool) -> list[pa.RecordBatch]:
-    """The hits of one partition of hashes, as (ids, packed places) per document and sender."""
-    def out(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        bounds = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, np.int64)
-        which = doc[bounds[:-1]]
-        columns = [pa.array(ids[which, k]) for k in range(width)]
-        places = [packed(pos[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.binary())], [*[f"id{k}" for k in range(width)], "places"])
-
-    made, held, offset = [], [], 0
+#: Hits on their way to the partition of their document.
+FOUND = "part int, ids binary, doc binary, pos binary"
+
+
+def addressed(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Hits of many documents, packed by the partition of their document."""
+    docs, index = np.unique(ids, axis=0, return_inverse=True)
+    doc = index.reshape(-1)[doc]
+    to = (docs[:, 0].astype(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((pos, doc, to[doc]))
+    doc, pos = doc[order], pos[order]
+    bounds = np.flatnonzero(np.r_[True, np.diff(to[doc]) != 0, True]) if len(doc) else np.zeros(1, np.int64)
+    rows = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own, again = np.unique(doc[lo:hi], return_inverse=True)
+        rows.append((int(to[doc[lo]]), docs[own].tobytes(), packed(again), packed(pos[lo:hi])))
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["part", "ids", "doc", "pos"])
+
+
+def settle(table: pa.Table, width: int, wide: bool, parts: int) -> pa.Table:
+    """The hits of one partition of hashes, addressed to their documents."""
+    ids_of, docs_of, places_of, held, offset = [np.empty((0, width), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
     for row in zip(*(table.column(c).to_pylist() for c in SENT_NAMES[1:]), strict=True):
         runs, extra, ids, doc, pos, flags = row
-        ids = np.frombuffer(ids, "<i8").reshape(-1, width)
-        if flags == bytes([SETTLED]) and not runs:
-            made.append(out(ids, unpacked(doc), unpacked(pos)))
-            continue
-        held.append((np.frombuffer(runs, "<u8" if wide else "<u4"), np.frombuffer(extra, "<u8"), ids, unpacked(doc) + offset, unpacked(pos), np.frombuffer(flags, np.uint8)))
-        offset += len(ids)
+        ids_of.append(np.frombuffer(ids, "<i8").reshape(-1, width))
+        doc, pos = unpacked(doc) + offset, unpacked(pos)
+        offset += len(ids_of[-1])
+        if not runs:
+            docs_of.append(doc)
+            places_of.append(pos)
+        else:
+            held.append((np.frombuffer(runs, "<u8" if wide else "<u4"), np.frombuffer(extra, "<u8"), doc, pos, np.frombuffer(flags, np.uint8)))
     if held:
-        runs, extra, ids, doc, pos, flags = (np.concatenate([h[k] for h in held]) for k in range(6))
+        runs, extra, doc, pos, flags = (np.concatenate([h[k] for h in held]) for k in range(5))
         order = np.lexsort((extra, runs)) if wide else np.argsort(runs, kind="stable")
         r = runs[order]
         new = np.r_[True, r[1:] != r[:-1]]
@@ -138,22 +151,36 @@ def settle(table: pa.Table, width: int, wide: bool) -> list[pa.RecordBatch]:
         again = (np.bincount(group) > 1) | (np.bincount(group, f & MANY) > 0)
         hit = again & (np.bincount(group, f & ANCHOR) > 0)
         found = order[hit[group] & (f & MANY == 0)]
-        if len(found):
-            made.append(out(ids, doc[found], pos[found]))
-    return made
+        docs_of.append(doc[found])
+        places_of.append(pos[found])
+    return pa.Table.from_batches([addressed(np.concatenate(ids_of), np.concatenate(docs_of), np.concatenate(places_of), parts)])
+
+
+def gathered_places(table: pa.Table, width: int) -> pa.Table:
+    """One row per document with hits: its ids, and all places once."""
+    ids_of, docs_of, places_of, offset = [], [], [], 0
+    for ids, doc, pos in zip(*(table.column(c).to_pylist() for c in ("ids", "doc", "pos")), strict=True):
+        ids_of.append(np.frombuffer(ids, "<i8").reshape(-1, width))
+        docs_of.append(unpacked(doc) + offset)
+        places_of.append(unpacked(pos))
+        offset += len(ids_of[-1])
+    docs, index = np.unique(np.concatenate(ids_of), axis=0, return_inverse=True)
+    doc, pos = index.reshape(-1)[np.concatenate(docs_of)], np.concatenate(places_of)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    keep = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+    doc, pos = doc[keep], pos[keep]
+    bounds = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+    places = [packed(pos[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    which = doc[bounds[:-1]]
+    return pa.Table.from_arrays([*[pa.array(docs[which, k]) for k in range(width)], pa.array(places, pa.binary())], [*[f"id{k}" for k in range(width)], "places"])
 
 
 def exchanged(sent: DataFrame, parts: int, width: int, wide: bool) -> DataFrame:
-    """(id0 .. , places array<binary>) per document with hits."""
-    def group(table: pa.Table) -> pa.Table:
-        made = settle(table, width, wide)
-        empty = pa.RecordBatch.from_arrays([*[pa.array([], pa.int64())] * width, pa.array([], pa.binary())], [*[f"id{k}" for k in range(width)], "places"])
-        return pa.Table.from_batches(made or [empty])
-
-    ids = [f"id{k}" for k in range(width)]
-    schema = ", ".join(f"{i} long" for i in ids) + ", places binary"
-    hits = sent.repartitionById(parts, "part").groupBy("part").applyInArrow(group, schema)
-    return hits.groupBy(*ids).agg(F.collect_set("places").alias("places"))
+    """(id0 .. , places binary) per document with hits."""
+    found = sent.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda t: settle(t, width, wide, parts), FOUND)
+    schema = ", ".join(f"id{k} long" for k in range(width)) + ", places binary"
+    return found.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda t: gathered_places(t, width), schema)
 
 
 class Gathered:
@@ -162,7 +189,7 @@ class Gathered:
     def __init__(self) -> None:
         self.ids, self.words, self.hits, self.size = [], [], [], 0
 
-    def add(self, ids: tuple, text: bytes, hits: list[bytes] | None = None) -> None:
+    def add(self, ids: tuple, text: bytes, hits: bytes | None = None) -> None:
         words = word_hashes(text)
         self.ids.append(ids)
         self.words.append(words)
@@ -187,8 +214,8 @@ class Gathered:
         words, at, doc, pos = self.places(window)
         near = np.zeros(len(words) + window + 1, np.int32)
         begin = np.cumsum([0, *[len(w) for w in self.words]])
-        for k, packs in enumerate(self.hits):
-            hit = np.unique(np.concatenate([unpacked(p) for p in packs]))
+        for k, places in enumerate(self.hits):
+            hit = unpacked(places)
             np.add.at(near, begin[k] + np.maximum(hit - (window - block), 0), 1)
             np.add.at(near, begin[k] + hit + 1, -1)
         keep = np.cumsum(near)[at] > 0
@@ -234,10 +261,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (BYTES_PER_WORD * RUNS_PER_PARTITION)))
     sent = read.select("id0", ENCODED).mapInArrow(_sender(window, 1, lambda held: held.blocks(parts, block)), SENT)
     hits = stage(exchanged(sent, parts, 1, False), "hits")
+    del sent
     release(docs.sparkSession)
     near = read.join(hits, "id0").select("id0", "id1", ENCODED, "places")
     sent = near.mapInArrow(_sender(window, 2, lambda held: held.windows(parts, window, block)), SENT)
     found = stage(exchanged(sent, parts, 2, True), "repeats")
+    del sent, near
     discard(hits)
     release(docs.sparkSession)
     return found
@@ -270,7 +299,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
                 sizes.append(len(words))
                 if places.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    starts = np.unique(np.concatenate([unpacked(p) for p in places.as_py()]))
+                    starts = unpacked(places.as_py())
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     cover = np.cumsum(edge)[:-1] > 0
