@@ -171,7 +171,7 @@ def uri_decode(c: ColumnLike) -> Column:
 
 def json_number(doc: ColumnLike, key: str) -> Column:
     """Number under a key of a JSON object held as text; NULL when absent or not a number."""
-    return F.get_json_object(col(doc), f"$.{key}").try_cast("decimal(18,2)")
+    return F.get_json_object(col(doc), f"$.{key}").try_cast("decimal(38,6)")
 
 
 def any_address_in(addresses: ColumnLike, postal: ColumnLike) -> Column:

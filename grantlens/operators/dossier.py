@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import any_address_in, json_number, normalize_postal, recipient_partition_key
+from ..session import Stages, stages_of
 from .guards import current_version
 from .scoring import violation_counts
-from .skew import distinct_keys
+from .skew import distinct_keys, reduce_by, spread
 
 AGREEMENT_FIELDS = (
     "_id", "ref_number", "recipient_business_number", "recipient_legal_name", "recipient_country",
@@ -19,7 +21,7 @@ AGREEMENT_FIELDS = (
 )
 LOOP_FIELDS = ("bn", "legal_name", "score", "total_loops", "max_bottleneck", "total_circular_amt")
 
-# Parts a large entity is spread over while its pages are counted out.
+# Parts a large entity is spread over while its agreements are dealt to pages.
 SALTS = 64
 
 # Rows a seed look-up keeps of each kind.
@@ -69,21 +71,26 @@ def _distinct(c: str) -> Column:
 
 
 def fed_summary(agreements: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
-    """Totals, date span and distinct values over agreements that carry a value."""
-    return (
-        agreements.filter(F.col("agreement_value").isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.sum("agreement_value").alias("total_current_commitment"),
-            F.count("*").alias("agreement_count"),
-            F.min("agreement_start_date").alias("earliest_start"),
-            F.max("agreement_end_date").alias("latest_end"),
-            _distinct("owner_org_title").alias("departments"),
-            _distinct("prog_name_en").alias("programs"),
-            _distinct("recipient_country").alias("countries"),
-            _distinct("recipient_province").alias("provinces"),
-        )
+    """Totals, date span and distinct values over agreements that carry a value; rows counts all of them."""
+    def valued(c: str) -> Column:
+        return F.when(F.col("agreement_value").isNotNull(), F.col(c))
+
+    def distinct(c: str) -> Column:
+        return F.sort_array(F.collect_set(valued(c)))
+
+    grouped = agreements.groupBy(*by).agg(
+        F.count("*").alias("rows"),
+        F.sum("agreement_value").alias("total_current_commitment"),
+        F.count("agreement_value").alias("agreement_count"),
+        F.min(valued("agreement_start_date")).alias("earliest_start"),
+        F.max(valued("agreement_end_date")).alias("latest_end"),
+        distinct("owner_org_title").alias("departments"),
+        distinct("prog_name_en").alias("programs"),
+        distinct("recipient_country").alias("countries"),
+        distinct("recipient_province").alias("provinces"),
     )
+    fields = F.struct(*[c for c in grouped.columns if c not in (*by, "rows")])
+    return grouped.select(*by, "rows", F.when(F.col("agreement_count") > 0, fields).alias("fed_summary"))
 
 
 def top_loops(entities: DataFrame, loops: DataFrame, k: int = 5) -> DataFrame:
@@ -94,6 +101,13 @@ def top_loops(entities: DataFrame, loops: DataFrame, k: int = 5) -> DataFrame:
     return joined.withColumn("loop_rank", F.row_number().over(w)).filter(F.col("loop_rank") <= k)
 
 
+class Dossiers(NamedTuple):
+    """heads: one row per entity. pages: one row per entity and page, each with its share of the agreements."""
+
+    heads: DataFrame
+    pages: DataFrame
+
+
 def entity_dossier(
     entities: DataFrame,
     grants: DataFrame,
@@ -102,92 +116,114 @@ def entity_dossier(
     ids: DataFrame | None = None,
     keep_empty: bool = False,
     page_rows: int = 10_000,
-) -> DataFrame:
-    """Nested dossier per entity: entity, fed_summary, agreements, violations, loops.
-
-    An entity with more than page_rows agreements comes as several rows (page 0, 1, ...), each
-    with its share of the agreements, so no row or group grows with the table; all others are one
-    row. Entities without any agreement appear only with keep_empty.
+    stages: Stages | None = None,
+) -> Dossiers:
+    """Dossier of each entity as two tables that have the same shape at every size.
+
+    heads has entity_id, entity, fed_summary, violations, loops and the number of pages; pages has
+    entity_id, page and agreements, about page_rows of them at most, so no row or group grows with the
+    table. An entity without any agreement has a head with no page, and that only with keep_empty.
+    stages owns the tables of agreements and heads, which several readers share.
     """
     if ids is not None:
         entities = entities.join(distinct_keys(ids, "id"), "id", "left_semi")
-    agreements = entity_agreements(entities, grants)
-    # Only entities of several pages are looked up, under a salt, so that neither this join nor the
-    # grouping by page gathers a large entity in one task.
-    sizes = agreements.groupBy("entity_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > page_rows)
-    sizes = sizes.select(
-        "entity_id",
-        F.ceil(F.col("rows") / page_rows).cast("int").alias("large"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    page = F.pmod(F.xxhash64("_id"), F.col("pages")).cast("int")
-    packed = (
-        agreements.withColumn("salt", F.pmod(F.xxhash64("_id", "ref_number"), F.lit(SALTS)).cast("int"))
-        .join(sizes, ["entity_id", "salt"], "left")
-        .withColumn("pages", F.coalesce("large", F.lit(1)))
-        .withColumn("page", page)
-        .groupBy("entity_id", "page")
-        .agg(F.first("pages").alias("pages"), F.sort_array(F.collect_set(F.struct(*AGREEMENT_FIELDS))).alias("agreements"))
-    )
-    summary = fed_summary(agreements)
-    summary = summary.select(
-        F.col("entity_id").alias("_sum_id"), F.struct(*[c for c in summary.columns if c != "entity_id"]).alias("fed_summary")
-    )
-    counts = violation_counts(violations).select(
-        F.col("bn").alias("_v_bn"), F.struct("bn", "arithmetic_violations").alias("violations")
-    )
-    loop_entry = F.struct("loop_rank", *LOOP_FIELDS)
-    loop_rows = top_loops(entities, loops).groupBy(F.col("entity_id").alias("_loop_id")).agg(
-        F.sort_array(F.collect_list(loop_entry)).alias("loops")
+    stages = stages or stages_of(entities.sparkSession)
+    agreements = stages.add(entity_agreements(entities, grants))
+    summary = fed_summary(agreements).withColumn("pages", F.ceil(F.col("rows") / page_rows).cast("int")).drop("rows")
+    return Dossiers(stages.add(_heads(entities, summary, violations, loops, keep_empty)), _pages(agreements, page_rows))
+
+
+def _heads(entities: DataFrame, summary: DataFrame, violations: DataFrame, loops: DataFrame, keep_empty: bool) -> DataFrame:
+    loop_rows = top_loops(entities, loops).groupBy("entity_id").agg(
+        F.sort_array(F.collect_list(F.struct("loop_rank", *LOOP_FIELDS))).alias("loops")
     )
     head = entities.select(F.col("id").alias("entity_id"), F.col("bn_root").alias("_bn"), F.struct(*entities.columns).alias("entity"))
-    joined = (
-        head.join(packed, "entity_id", "left" if keep_empty else "inner")
-        .join(summary, F.col("entity_id") == F.col("_sum_id"), "left")
-        .join(loop_rows, F.col("entity_id") == F.col("_loop_id"), "left")
-        # entities without a number get their own key so that they do not gather on NULL
-        .withColumn("_bn_salt", F.when(F.col("_bn").isNull(), F.xxhash64("entity_id")).otherwise(F.lit(0)))
-        .join(counts.withColumn("_v_salt", F.lit(0).cast("bigint")), (F.col("_bn") == F.col("_v_bn")) & (F.col("_bn_salt") == F.col("_v_salt")), "left")
+    known = head.join(summary, "entity_id", "left" if keep_empty else "inner").join(loop_rows, "entity_id", "left")
+    counts = violation_counts(violations).select(F.col("bn").alias("_bn"), F.struct("bn", "arithmetic_violations").alias("violations"))
+    # Entities without a number look nothing up, and would only gather on NULL.
+    numbered = known.filter(F.col("_bn").isNotNull()).join(counts, "_bn", "left")
+    unnumbered = known.filter(F.col("_bn").isNull()).withColumn("violations", F.lit(None).cast(counts.schema["violations"].dataType))
+    return numbered.unionByName(unnumbered).select(
+        "entity_id", F.coalesce("pages", F.lit(0)).alias("pages"), "entity", "fed_summary", "violations", or_empty("loops", loop_rows)
     )
-    return joined.select(
-        "entity_id",
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("pages", F.lit(1)).alias("pages"),
-        "entity",
-        "fed_summary",
-        or_empty("agreements", packed),
-        "violations",
-        or_empty("loops", loop_rows),
+
+
+def _pages(agreements: DataFrame, page_rows: int) -> DataFrame:
+    """Only entities of several pages are looked up, under a salt.
+
+    Placed by entity alone, the rows would already lie where a grouping by entity and page wants them,
+    and a large entity's pages would all be built in one task.
+    """
+    sizes = reduce_by(agreements, ["entity_id"], F.count("*").alias("rows")).filter(F.col("rows") > page_rows)
+    large = sizes.select(
+        "entity_id", F.ceil(F.col("rows") / page_rows).cast("int").alias("large"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
+    key = F.xxhash64("_id", "ref_number")
+    salted = agreements.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")).join(large, ["entity_id", "salt"], "left")
+    placed = salted.withColumn("page", F.pmod(F.xxhash64("ref_number", "_id"), F.coalesce("large", F.lit(1))).cast("int"))
+    return placed.groupBy("entity_id", "page").agg(F.sort_array(F.collect_list(F.struct(*AGREEMENT_FIELDS))).alias("agreements"))
+
+
+def nest_dossiers(dossiers: Dossiers) -> DataFrame:
+    """One document per page, each with its entity's head; an entity without pages has one with no agreements.
+
+    Heads meet pages last, as an inner join of two plain shuffles, so that an entity with very many
+    pages is split over tasks.
+    """
+    heads, pages = dossiers
+    nested = pages.join(heads, "entity_id")
+    bare = heads.filter("pages = 0").withColumn("page", F.lit(0)).withColumn("agreements", F.array().cast(pages.schema["agreements"].dataType))
+    return nested.unionByName(bare).select("entity_id", "page", "pages", "entity", "fed_summary", "agreements", "violations", "loops")
 
 
 # --- seed look-ups ----------------------------------------------------------------------------
 
+GRAM = 3
 
-def _seed_array(seeds: Sequence[tuple[str, str | None]], limit: int = 1_000) -> Column:
-    if len(seeds) > limit:
-        raise ValueError(f"{len(seeds)} seeds exceed {limit}; look names up by key instead")
-    entries = [
-        F.struct(F.lit(name).alias("name"), F.lit(f"%{name}%").alias("pattern"), F.lit(bn).cast("string").alias("bn"))
-        for name, bn in seeds
-    ]
-    return F.array(*entries)
 
+def _literal(pattern: str) -> Column:
+    """The longest part of a pattern without wildcards; the first of those."""
+    parts = F.split(F.lower(F.col(pattern)), "[%_]")
+    return F.aggregate(parts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
 
-def match_seeds(
-    df: DataFrame, seeds: Sequence[tuple[str, str | None]], name: str, bn: str | None = None
-) -> DataFrame:
-    """Rows whose name contains a seed's name (any case) or whose number equals the seed's.
 
-    The seed list is a literal of checked size, tested row by row: a pattern cannot be an equi-join.
-    """
-    def hit(s: Column) -> Column:
-        # ILIKE against a column pattern: both sides lowered
-        test = F.coalesce(F.like(F.lower(F.col(name)), F.lower(s["pattern"])), F.lit(False))
-        return test | F.coalesce(F.col(bn) == s["bn"], F.lit(False)) if bn else test
+def _grams(text: Column, size: int) -> Column:
+    if not size:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))))
 
-    matched = F.filter(_seed_array(seeds), hit)
-    return df.withColumn("seed", F.explode(F.transform(matched, lambda s: s["name"])))
+
+def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = None) -> DataFrame:
+    """Rows whose name contains a seed's name (any case, % and _ match as in LIKE) or whose number equals the seed's.
+
+    seeds(name, bn) may be of any length. Numbers meet by equality. A name that contains a pattern also
+    contains each three-letter part of the pattern's longest literal, so the two meet on the one of
+    these that fewest rows have, and LIKE confirms. Shorter literals use all they have.
+    """
+    wanted = seeds.select(F.col("name").alias("seed"), F.col("bn").alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
+    text = F.lower(F.col(name))
+    sized = wanted.withColumn("_literal", _literal("seed")).withColumn("_size", F.least(F.length("_literal"), F.lit(GRAM)))
+    sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())  # at most GRAM + 1 of them
+    if not sizes:
+        return df.limit(0).withColumn("seed", F.lit(None).cast("string"))
+    grams = F.array_distinct(F.concat(*[_grams(text, n) for n in sizes]))
+    rows = df.filter(F.col(name).isNotNull())
+    common = rows.select(F.explode(grams).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_rows"))
+    own = F.concat(*[F.when(F.col("_size") == n, _grams(F.col("_literal"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+    asked = sized.select("seed", "_seed_bn", F.explode(own).alias("_gram"))
+    # A part that no row has rules its seed out.
+    rare = asked.join(common, "_gram", "left").groupBy("seed", "_seed_bn", spread("seed", "_seed_bn")).agg(
+        F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_least")
+    )
+    keyed = rare.filter("_least.n > 0").select("seed", "_seed_bn", F.col("_least.g").alias("_gram"))
+    like = F.like(text, F.lower(F.concat(F.lit("%"), "seed", F.lit("%"))))
+    named = rows.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").filter(like)
+    if bn is None:
+        return named.drop("_gram", "_seed_bn")
+    other = ~F.coalesce(F.col(bn) == F.col("_seed_bn"), F.lit(False))
+    numbered = df.join(wanted.filter(F.col("_seed_bn").isNotNull()), F.col(bn) == F.col("_seed_bn"))
+    return numbered.unionByName(named.filter(other).drop("_gram")).drop("_seed_bn")
 
 
 def _top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -196,19 +232,19 @@ def _top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def seed_dossiers(
-    seeds: Sequence[tuple[str, str | None]],
+    seeds: DataFrame,
     entities: DataFrame,
     grants: DataFrame,
     violations: DataFrame,
     loops: DataFrame,
     limits: dict[str, int] = SEED_LIMITS,
 ) -> dict[str, DataFrame]:
-    """For every seed: matching entities, their loops and violations, and matching current agreements."""
+    """For every row of seeds(name, bn): matching entities, their loops and violations, and matching current agreements."""
     golden = _top(match_seeds(entities, seeds, "canonical_name", "bn_root"), [F.col("id")], limits["golden"])
     named = match_seeds(entities.filter(F.col("bn_root").isNotNull()), seeds, "canonical_name").select("seed", F.col("bn_root").alias("bn"))
     loop_rows = _top(
         loops.select(*LOOP_FIELDS).join(named, "bn"),
-        [F.col("score").desc_nulls_last(), F.col("total_loops").desc_nulls_last(), F.col("bn")],
+        [F.col("score").desc_nulls_last(), F.col("total_loops").desc_nulls_last(), F.col("bn"), F.col("legal_name")],
         limits["loops"],
     )
     found = match_seeds(grants, seeds, "recipient_legal_name", "recipient_business_number")
@@ -227,9 +263,9 @@ def seed_dossiers(
     return {"golden": golden, "loops": loop_rows, "agreements": agreements, "violations": violation_rows}
 
 
-def nest_seed_dossiers(seeds: Sequence[tuple[str, str | None]], parts: dict[str, DataFrame], spark) -> DataFrame:
+def nest_seed_dossiers(seeds: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """One nested document per seed; every list is bounded by the seed limits."""
-    out = spark.createDataFrame([(n, b) for n, b in seeds], "seed string, seed_bn string")
+    out = seeds.select(F.col("name").alias("seed"), F.col("bn").alias("seed_bn"))
     for name, part in parts.items():
         fields = [c for c in part.columns if c not in ("seed", "position")]
         listed = part.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(*fields).alias("row")))).alias("rows"))
@@ -243,10 +279,20 @@ def nest_seed_dossiers(seeds: Sequence[tuple[str, str | None]], parts: dict[str,
 
 
 def external_funding() -> Column:
-    total = F.lit(0).cast("decimal(18,2)")
+    """Sum of the funding fields at their full scale; a field that is absent or no number adds nothing."""
+    total = F.lit(0).cast("decimal(38,6)")
     for profile, field in FUNDING_FIELDS:
-        total = total + F.coalesce(json_number(profile, field), F.lit(0))
-    return total.cast("decimal(24,2)")
+        total = (total + F.coalesce(json_number(profile, field), F.lit(0).cast("decimal(38,6)"))).cast("decimal(38,6)")
+    return total
+
+
+def unreadable_funding() -> Column:
+    """How many funding fields are there but can't be read as a number, so that their sum is known to be short."""
+    def lost(profile: str, field: str) -> Column:
+        there = F.get_json_object(F.col(profile), f"$.{field}").isNotNull()
+        return F.when(there & json_number(profile, field).isNull(), 1).otherwise(0)
+
+    return sum((lost(p, f) for p, f in FUNDING_FIELDS), F.lit(0))
 
 
 def postal_lookup(entities: DataFrame, postal_code: str, limit: int = 50) -> DataFrame:

@@ -116,21 +116,17 @@ def label_audit(df: DataFrame, score: str = "score", stored: str = "score_label"
     return derived.filter(~F.col(stored).eqNullSafe(F.col("derived_label")))
 
 
-def rescore_sensitivity(
-    df: DataFrame, weight_grid: Sequence[dict[str, int]], score: str = "score", max_grid: int = 10_000
-) -> DataFrame:
-    """One row per (token, weight vector) with the re-scored value and label.
+def rescore_sensitivity(df: DataFrame, weights: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
+    """One row per token and weight vector of the same key, with the re-scored value and label.
 
-    The grid is a checked-size literal expanded row by row: no join, no shuffle.
+    weights has a column per dimension and the key columns; it may hold any number of vectors. To try
+    all vectors on every token, give both sides the key that says so.
     """
-    if len(weight_grid) > max_grid:
-        raise ValueError(f"weight grid of {len(weight_grid)} vectors exceeds {max_grid}")
-    vectors = F.array(
-        *[F.struct(*[F.lit(int(w[n])).alias(n) for n, _, _ in WEIGHT_DIMENSIONS]) for w in weight_grid]
-    ).cast(f"array<{WEIGHTS_TYPE}>")
-    out = df.withColumn("weights", F.explode(vectors))
+    names = [n for n, _, _ in WEIGHT_DIMENSIONS]
+    vectors = weights.select(*by, F.struct(*[F.col(n).cast("int").alias(n) for n in names]).cast(WEIGHTS_TYPE).alias("weights"))
     return (
-        out.withColumn("weights_code", encode_weights("weights"))
+        df.join(vectors, list(by))
+        .withColumn("weights_code", encode_weights("weights"))
         .withColumn("new_score", rescore(score, "weights"))
         .withColumn("new_label", score_label("new_score"))
     )

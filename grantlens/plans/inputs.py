@@ -63,7 +63,7 @@ ENTITIES = {
     " CASE WHEN c_acctbal < 0 THEN concat(',X', cast(c_nationkey AS string), 'Y0Z0') ELSE '' END)",
     "fed_profile": "concat('{\"total_grants\": ', cast(cast(c_acctbal AS decimal(18,2)) AS string), '}')",
     "ab_profile": "CASE WHEN c_mktsegment = 'MACHINERY' THEN '{\"total_contracts\": \"n/a\"}'"
-    " WHEN c_mktsegment = 'BUILDING' THEN '{\"total_grants\": 10.5, \"total_sole_source\": 3}' END",
+    " WHEN c_mktsegment = 'BUILDING' THEN '{\"total_grants\": 10.555, \"total_sole_source\": 12345678901234567}' END",
 }
 ENTITIES_SQL = _sql(ENTITIES, "customer")
 

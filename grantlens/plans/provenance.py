@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import provenance as fp
 from ..functions import scalar
-from ..operators import briefs, tokens
+from ..operators import briefs, dossier, tokens
 from ..session import shared_path
 from ..sources import documents
 from . import inputs as i
@@ -273,7 +273,7 @@ def token_export(spark: SparkSession, d: str) -> DataFrame:
 
 def dossier_sink(spark: SparkSession, d: str) -> DataFrame:
     """Dossiers written as JSON documents and read back."""
-    out = _dossiers(spark, d)
+    out = dossier.nest_dossiers(_dossiers(spark, d))
     path = shared_path(spark, "dossiers")
     documents.write_dossiers(out, path, i.TOKEN_TIME)
     schema = out.withColumn("cachedAt", F.lit("")).schema

@@ -206,14 +206,14 @@ ENTITY_CURRENT = f"""matched AS ({OR_JOIN}),
         ORDER BY cast(nullif(amendment_number, '') AS int) DESC NULLS LAST, _id DESC) AS rn FROM matched) WHERE rn = 1)"""
 
 
-def _dossiers(spark: SparkSession, d: str, **kw) -> DataFrame:
+def _dossiers(spark: SparkSession, d: str, **kw) -> dossier.Dossiers:
     return dossier.entity_dossier(i.entities(spark, d), i.grants(spark, d), i.violations(spark, d), i.loops(spark, d), **kw)
 
 
 def entity_dossier(spark: SparkSession, d: str) -> DataFrame:
     """The nested dossiers, flattened to compare."""
     s = F.col("fed_summary")
-    return _dossiers(spark, d).select(
+    return dossier.nest_dossiers(_dossiers(spark, d)).select(
         "entity_id",
         F.col("entity.canonical_name").alias("canonical_name"),
         s["total_current_commitment"].cast("double").alias("total_current_commitment"),
@@ -231,6 +231,31 @@ def entity_dossier(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+PAGE_ROWS = 4
+
+
+def dossier_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Heads against their pages: several pages per entity, every agreement on one of them; up to five of many loops."""
+    purchases = i.table(spark, d, "events").filter("event_type = 'purchase'")
+    daily = purchases.selectExpr(f"{i.USER9} AS bn", "cast(event_id AS string) AS legal_name", "cast(floor(value) AS int) AS score", "user_id % 7 AS total_loops",
+                                 "cast(value AS decimal(18,2)) AS max_bottleneck", "cast(value AS decimal(18,2)) AS total_circular_amt")
+    heads, pages = dossier.entity_dossier(i.entities(spark, d), i.grants(spark, d), i.violations(spark, d), daily, keep_empty=True, page_rows=PAGE_ROWS)
+    ids = F.transform("agreements", lambda a: a["_id"])
+    held = pages.groupBy("entity_id").agg(F.sort_array(F.flatten(F.collect_list(ids))).alias("ids"))
+    loop_ids = F.array_join(F.transform("loops", lambda x: x["legal_name"]), ",")
+    return heads.join(held, "entity_id", "left").select(
+        "entity_id", "pages", F.coalesce(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("agreement_ids"), loop_ids.alias("loop_ids"))
+
+
+PAGES_SQL = BASE + f""", {ENTITY_CURRENT},
+    a AS (SELECT entity_id, count(*) AS n, string_agg(cast(_id AS varchar), ',' ORDER BY _id) AS ids FROM ac GROUP BY 1),
+    lp AS (SELECT {i.USER9} AS bn, cast(event_id AS string) AS id, cast(floor(value) AS int) AS score, user_id % 7 AS total FROM events WHERE event_type = 'purchase'),
+    top AS (SELECT e.id AS entity_id, lp.id, row_number() OVER (PARTITION BY e.id ORDER BY lp.score DESC, lp.total DESC, lp.id) AS k
+        FROM entities e JOIN lp ON lp.bn = e.bn_root),
+    five AS (SELECT entity_id, string_agg(id, ',' ORDER BY k) AS loop_ids FROM top WHERE k <= 5 GROUP BY 1)
+    SELECT e.id AS entity_id, cast(coalesce(ceil(n / {PAGE_ROWS}), 0) AS int) AS pages, coalesce(ids, '') AS agreement_ids, coalesce(loop_ids, '') AS loop_ids
+    FROM entities e LEFT JOIN a ON a.entity_id = e.id LEFT JOIN five f ON f.entity_id = e.id"""
+
 DOSSIER_SQL = BASE + f""", {ENTITY_CURRENT},
     s AS (SELECT entity_id, sum(agreement_value) AS total, count(*) AS n, min(agreement_start_date) AS a, max(agreement_end_date) AS b,
         list_sort(list(DISTINCT owner_org_title)) AS dep, list_sort(list(DISTINCT prog_name_en)) AS prog,
@@ -248,11 +273,20 @@ DOSSIER_SQL = BASE + f""", {ENTITY_CURRENT},
     LEFT JOIN (SELECT bn, count(*) AS n FROM violations GROUP BY 1) v ON v.bn = e.bn_root
     LEFT JOIN loops l ON l.bn = e.bn_root"""
 
-SEEDS = [("customer#00000000", "000000042"), ("CUSTOMER#000000123", None), ("#0000000_7", "000000777"), ("Nobody of that name", None)]
+# A seed per customer: whole names in capitals, the end of a name, one with wildcards, a number of another.
+SEEDS = {
+    "name": "CASE WHEN c_nationkey = 2 AND c_acctbal < -900 THEN concat('#_', substring(c_name, 11, 6), '%', substring(c_name, 18, 1)) WHEN c_nationkey % 4 = 0 THEN upper(c_name)"
+    " WHEN c_nationkey % 4 = 1 THEN substring(c_name, 13, 6) WHEN c_nationkey = 7 THEN concat('Nobody ', c_name) ELSE c_name END",
+    "bn": "CASE WHEN c_mktsegment = 'BUILDING' THEN lpad(cast(c_custkey + 1 AS string), 9, '0') END",
+}
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return i.table(spark, d, "customer").selectExpr(*[f"{e} AS {n}" for n, e in SEEDS.items()])
 
 
 def _seeded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return dossier.seed_dossiers(SEEDS, i.entities(spark, d), i.grants(spark, d), i.violations(spark, d), i.loops(spark, d))
+    return dossier.seed_dossiers(_seeds(spark, d), i.entities(spark, d), i.grants(spark, d), i.violations(spark, d), i.loops(spark, d))
 
 
 def seed_dossiers(spark: SparkSession, d: str) -> DataFrame:
@@ -267,11 +301,7 @@ def seed_dossiers(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _seed_values() -> str:
-    return ", ".join("('{}', {})".format(n, "NULL" if b is None else f"'{b}'") for n, b in SEEDS)
-
-
-SEEDS_SQL = BASE + f""", seeds(seed, sbn) AS (VALUES {_seed_values()}),
+SEEDS_SQL = BASE + f""", seeds AS (SELECT DISTINCT {SEEDS['name']} AS seed, {SEEDS['bn']} AS sbn FROM customer),
     golden AS (SELECT seed, id AS key, NULL AS value, row_number() OVER (PARTITION BY seed ORDER BY id) AS position
         FROM entities e JOIN seeds ON e.canonical_name ILIKE concat('%', seed, '%') OR (sbn IS NOT NULL AND e.bn_root = sbn)),
     named AS (SELECT seed, bn_root AS bn FROM entities e JOIN seeds ON e.canonical_name ILIKE concat('%', seed, '%') WHERE bn_root IS NOT NULL),
@@ -292,10 +322,10 @@ SEEDS_SQL = BASE + f""", seeds(seed, sbn) AS (VALUES {_seed_values()}),
 
 FUNDED = """funded AS (SELECT id, canonical_name, bn_root,
         replace(upper(unnest(list_distinct(string_split(postal_text, ',')))), ' ', '') AS postal_code,
-        coalesce(try_cast(json_extract_string(fed_profile, '$.total_grants') AS decimal(18,2)), 0)
-        + coalesce(try_cast(json_extract_string(ab_profile, '$.total_grants') AS decimal(18,2)), 0)
-        + coalesce(try_cast(json_extract_string(ab_profile, '$.total_contracts') AS decimal(18,2)), 0)
-        + coalesce(try_cast(json_extract_string(ab_profile, '$.total_sole_source') AS decimal(18,2)), 0) AS funding FROM entities)"""
+        coalesce(try_cast(json_extract_string(fed_profile, '$.total_grants') AS decimal(38,6)), 0)
+        + coalesce(try_cast(json_extract_string(ab_profile, '$.total_grants') AS decimal(38,6)), 0)
+        + coalesce(try_cast(json_extract_string(ab_profile, '$.total_contracts') AS decimal(38,6)), 0)
+        + coalesce(try_cast(json_extract_string(ab_profile, '$.total_sole_source') AS decimal(38,6)), 0) AS funding FROM entities)"""
 
 
 def postal_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -337,17 +367,24 @@ def label_audit(spark: SparkSession, d: str) -> DataFrame:
     return scoring.label_audit(df)
 
 
-WEIGHT_GRID = (
-    {"federal_concentration": 6, "cra_loops": 5, "t3010_violations": 4, "dataset_cross_coverage": 3},
-    {"federal_concentration": 0, "cra_loops": 0, "t3010_violations": 0, "dataset_cross_coverage": 0},
-    {"federal_concentration": 10, "cra_loops": 10, "t3010_violations": 10, "dataset_cross_coverage": 10},
-    {"federal_concentration": 8, "cra_loops": 5, "t3010_violations": 7, "dataset_cross_coverage": 6},
+# Three weight vectors per nation: an even one, one that rises with the nation's key, one over the scale.
+WEIGHTS = tuple(
+    {"federal_concentration": f, "cra_loops": c, "t3010_violations": t, "dataset_cross_coverage": x}
+    for f, c, t, x in (("5", "5", "5", "5"), ("n_nationkey % 11", "n_regionkey", "(n_nationkey * 7) % 11", "3"), ("10", "10", "0", "n_regionkey * 2"))
 )
 
 
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    nations, out = i.table(spark, d, "nation"), None
+    for vector in WEIGHTS:
+        part = nations.selectExpr("n_nationkey AS nation", *[f"cast({e} AS int) AS {n}" for n, e in vector.items()])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def rescore_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    scored = i.flat_tokens(spark, d).select("custkey", "score")
-    return scoring.rescore_sensitivity(scored, WEIGHT_GRID).drop("weights")
+    scored = i.flat_tokens(spark, d).select("custkey", "score", F.col("updated_nation").cast("int").alias("nation"))
+    return scoring.rescore_sensitivity(scored, _weights(spark, d), ["nation"]).drop("weights", "nation")
 
 
 def _label_case(c: str) -> str:
@@ -356,15 +393,15 @@ def _label_case(c: str) -> str:
 
 def _grid_sql() -> str:
     rows = []
-    for w in WEIGHT_GRID:
-        f, c, t, x = w.values()
-        rows.append(f"('fc:{f},cl:{c},tv:{t},dc:{x}', {f + c + t + x})")
-    return ", ".join(rows)
+    for vector in WEIGHTS:
+        f, c, t, x = (f"cast({e} AS int)" for e in vector.values())
+        rows.append(f"SELECT n_nationkey AS nation, concat('fc:', {f}, ',cl:', {c}, ',tv:', {t}, ',dc:', {x}) AS weights_code, {f} + {c} + {t} + {x} AS total FROM nation")
+    return " UNION ALL ".join(rows)
 
 
-RESCORE_SQL = f"""WITH t AS ({i.TOKENS_SQL}), grid(weights_code, total) AS (VALUES {_grid_sql()}),
+RESCORE_SQL = f"""WITH t AS ({i.TOKENS_SQL}), grid AS ({_grid_sql()}),
     r AS (SELECT custkey, score, weights_code,
-        cast(greatest(0, least(30, floor(score * (cast(total AS double) / 18) + 0.5))) AS int) AS new_score FROM t, grid)
+        cast(greatest(0, least(30, floor(score * (cast(total AS double) / 18) + 0.5))) AS int) AS new_score FROM t JOIN grid ON t.updated_nation = grid.nation)
     SELECT *, {_label_case('new_score')} AS new_label FROM r"""
 
 QUERIES = {
@@ -372,7 +409,7 @@ QUERIES = {
     for f in (
         current_version_orders, current_version_lineitem, recipient_totals, findings_feed, entity_scores, score_label_dist,
         exact_dedupe, reversal_flags, clean_payments, omitted_rollup, amendment_profile, description_gaps, comparable_grants,
-        comparable_parts, comparable_tier_counts, or_key_join, entity_dossier, seed_dossiers, postal_rollup, postal_totals,
+        comparable_parts, comparable_tier_counts, or_key_join, entity_dossier, dossier_pages, seed_dossiers, postal_rollup, postal_totals,
         postal_lookup, fiscal_years, table_gate, impact_gate, label_audit, rescore_sensitivity,
     )
 }
@@ -405,6 +442,7 @@ ORACLES = {
     "comparable_tier_counts": COMPARABLE_SQL + " SELECT source_ref, similarity_tier AS tier, count(*) AS grants FROM best GROUP BY 1, 2",
     "or_key_join": BASE + f" SELECT entity_id, _id, ref_number FROM ({OR_JOIN})",
     "entity_dossier": DOSSIER_SQL,
+    "dossier_pages": PAGES_SQL,
     "seed_dossiers": SEEDS_SQL,
     "postal_rollup": BASE + f""", {FUNDED} SELECT * FROM (SELECT id, canonical_name, bn_root, cast(funding AS double) AS total_external_funding,
         postal_code, cast(row_number() OVER (PARTITION BY postal_code ORDER BY funding DESC, id) AS int) AS position FROM funded) WHERE position <= 50""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.provenance import canonical_json
+from ..functions.scalar import slugify
 from . import schemas
 
 
@@ -79,6 +80,12 @@ def write_exports(exports: DataFrame, path: str) -> None:
     exports.select("body").write.mode("overwrite").text(path)
 
 
+def write_keyed_dossiers(dossiers: DataFrame, path: str, cached_at: str, key: str = "seed") -> None:
+    """One JSON document per key, in a folder named by the key's slug."""
+    stamped = dossiers.withColumn("cachedAt", F.lit(cached_at)).withColumn("slug", slugify(key))
+    stamped.write.mode("overwrite").partitionBy("slug").option("ignoreNullFields", False).json(path)
+
+
 def write_dossiers(dossiers: DataFrame, path: str, cached_at: str) -> None:
     """One JSON document per line with the time it was cached; that time is a parameter so runs repeat."""
     stamped = dossiers.withColumn("cachedAt", F.lit(cached_at))

@@ -1,5 +1,7 @@
 """Dossiers, seeds and postal look-ups on small fixtures."""
 
+import random
+import re
 from datetime import date
 from decimal import Decimal as D
 
@@ -46,7 +48,7 @@ def data(spark):
 
 
 def test_dossier(spark, data):
-    rows = {r.entity_id: r for r in dossier.entity_dossier(*data).collect()}
+    rows = {r.entity_id: r for r in dossier.nest_dossiers(dossier.entity_dossier(*data)).collect()}
     assert set(rows) == {"e1", "e2"}
     one = rows["e1"]
     assert [a._id for a in one.agreements] == [2, 3]
@@ -56,8 +58,9 @@ def test_dossier(spark, data):
     assert [lp.score for lp in one.loops] == [6, 5, 4, 3, 2]
     # without a number only the name counts, and then in any case
     assert [a._id for a in rows["e2"].agreements] == [4, 5] and rows["e2"].violations is None and rows["e2"].loops == []
-    kept = {r.entity_id: r for r in dossier.entity_dossier(*data, keep_empty=True).collect()}
-    assert kept["e3"].agreements == [] and kept["e3"].fed_summary is None and kept["e3"].pages == 1
+    kept = {r.entity_id: r for r in dossier.nest_dossiers(dossier.entity_dossier(*data, keep_empty=True)).collect()}
+    assert kept["e3"].agreements == [] and kept["e3"].fed_summary is None and kept["e3"].pages == 0
+    assert kept["e2"].fed_summary.agreement_count == 2
 
 
 def test_large_entities_come_in_pages(spark, data):
@@ -65,24 +68,53 @@ def test_large_entities_come_in_pages(spark, data):
     many = spark.range(1, 301).selectExpr("id AS _id", "concat('r', id) AS ref_number")
     for name in grants.columns[2:]:
         many = many.crossJoin(grants.limit(1).select(name))
-    pages = dossier.entity_dossier(entities, many, violations, loops, page_rows=50).collect()
-    assert {r.pages for r in pages} == {6} and len(pages) == 6
-    assert sorted(a._id for r in pages for a in r.agreements) == list(range(1, 301))
-    assert {r.fed_summary.agreement_count for r in pages} == {300}
+    heads, pages = dossier.entity_dossier(entities, many, violations, loops, page_rows=50)
+    assert [(r.pages, r.fed_summary.agreement_count, len(r.loops)) for r in heads.collect()] == [(6, 300, 5)]
+    assert pages.columns == ["entity_id", "page", "agreements"] and pages.count() == 6
+    assert sorted(a._id for r in pages.collect() for a in r.agreements) == list(range(1, 301))
+    assert dossier.nest_dossiers(dossier.Dossiers(heads, pages)).count() == 6
 
 
 def test_seeds(spark, data):
     entities, grants, violations, loops = data
-    seeds = [("alpha", "b7"), ("nobody", None)]
+    seeds = spark.createDataFrame([("alpha", "b7"), ("nobody", None), (None, "b1")], "name string, bn string")
     parts = dossier.seed_dossiers(seeds, entities, grants, violations, loops)
     assert [r.id for r in parts["golden"].collect()] == ["e1"]
     assert [r._id for r in parts["agreements"].orderBy("position").collect()] == [6, 2, 5]
     assert [(r.bn, r.arithmetic_violations) for r in parts["violations"].collect()] == [("b1", 2)]
     assert [r.score for r in parts["loops"].orderBy("position").collect()] == [6, 5, 4, 3, 2]
-    nested = {r.seed: r for r in dossier.nest_seed_dossiers(seeds, parts, spark).collect()}
+    nested = {r.seed: r for r in dossier.nest_seed_dossiers(seeds, parts).collect()}
     assert nested["nobody"].golden == [] and len(nested["alpha"].agreements) == 3
-    with pytest.raises(ValueError):
-        dossier.match_seeds(entities, [("x", None)] * 1001, "canonical_name")
+
+
+def test_keyed_documents(spark, data, tmp_path):
+    from grantlens.sources import documents
+
+    entities, grants, violations, loops = data
+    seeds = spark.createDataFrame([("alpha", "b7"), ("nobody", None)], "name string, bn string")
+    nested = dossier.nest_seed_dossiers(seeds, dossier.seed_dossiers(seeds, entities, grants, violations, loops))
+    documents.write_keyed_dossiers(nested, str(tmp_path / "d"), "2024-01-01")
+    back = {r.slug: r for r in spark.read.json(str(tmp_path / "d")).collect()}
+    assert set(back) == {"alpha", "nobody"} and len(back["alpha"].agreements) == 3 and back["alpha"].cachedAt == "2024-01-01"
+
+
+@pytest.mark.parametrize("count", [1, 1500])
+def test_seed_names_are_matched_as_like_does(spark, count):
+    rng = random.Random(count)
+    word = lambda n: "".join(rng.choice("abAB_ ") for _ in range(n))
+    names = [word(rng.randrange(1, 9)) for _ in range(60)] + [None, "", "%"]
+    seeds = [(s, None if rng.random() < 0.7 else str(rng.randrange(70))) for s in {word(rng.randrange(6)) for _ in range(count)} | {"%", "a%b", "_", ""}]
+    df = spark.createDataFrame([(k, n, str(k)) for k, n in enumerate(names)], "k int, name string, bn string")
+    table = spark.createDataFrame(seeds, "name string, bn string")
+
+    def like(name, seed):
+        pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in seed.lower())
+        return name is not None and re.search(pattern, name.lower(), re.S) is not None
+
+    want = sorted((k, s) for k, n in enumerate(names) for s, _ in seeds if like(n, s))
+    assert sorted((r.k, r.seed) for r in dossier.match_seeds(df, table, "name").collect()) == want
+    either = sorted((k, s) for k, n in enumerate(names) for s, b in seeds if like(n, s) or b == str(k))
+    assert sorted((r.k, r.seed) for r in dossier.match_seeds(df, table, "name", "bn").collect()) == either
 
 
 def test_postal(spark, data):

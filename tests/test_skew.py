@@ -104,7 +104,7 @@ def test_payments_with_one_hot_duplicate(spark):
     assert [r.id for r in guards.clean_payments(base).collect()] == [0]
 
 
-def test_hot_entity_is_paged_through_a_salted_join(spark):
+def test_hot_entity_is_split_where_it_meets_its_pages(spark):
     agreements = "agreement_start_date", "agreement_end_date"
     g = hot(spark, 3000).select(
         F.col("id").alias("_id"), F.concat(F.lit("r"), "id").alias("ref_number"), F.lit("").alias("amendment_number"),
@@ -116,8 +116,15 @@ def test_hot_entity_is_paged_through_a_salted_join(spark):
     e = g.select(F.col("recipient_business_number").alias("id"), F.lit("n").alias("canonical_name"), F.col("recipient_business_number").alias("bn_root")).distinct()
     loops = spark.createDataFrame([], "bn string, legal_name string, score int, total_loops int, max_bottleneck decimal(18,2), total_circular_amt decimal(18,2)")
     violations = spark.createDataFrame([], "bn string")
-    rows = dossier.entity_dossier(e, g, violations, loops, page_rows=100).collect()
+    unnumbered = e.select(F.concat(F.lit("x"), "id").alias("id"), F.lit("nobody").alias("canonical_name"), F.lit(None).cast("string").alias("bn_root"))
+    with settings(spark, TINY):
+        found = dossier.entity_dossier(e.unionByName(unnumbered.limit(3)), g, violations, loops, page_rows=20)
+        nested = dossier.nest_dossiers(found)
+        rows = nested.collect()
+        plan = nested._jdf.queryExecution().executedPlan().toString()
     assert sum(len(r.agreements) for r in rows) == 3000
-    assert max(len(r.agreements) for r in rows) < 200
+    assert max(len(r.agreements) for r in rows) < 60
     counts = {r.key: r.n for r in hot(spark, 3000).groupBy("key").agg(F.count("*").alias("n")).collect()}
     assert {r.entity_id: r.fed_summary.agreement_count for r in rows} == counts
+    assert "SortMergeJoin(skew=true)" in plan.split("== Initial Plan ==")[0]
+    assert "isnull" not in "".join(x for x in plan.splitlines() if "hashpartitioning(_bn" in x)
