@@ -47,6 +47,11 @@ def bn_root(c: ColumnLike) -> Column:
     return F.nullif(F.regexp_extract(col(c), r"^(\d{9})", 1), F.lit(""))
 
 
+def matching_number(c: ColumnLike, by_root: bool) -> Column:
+    """The number that records are matched by: as written, or its root where it has one."""
+    return F.coalesce(bn_root(c), col(c)) if by_root else col(c)
+
+
 def normalize_postal(c: ColumnLike) -> Column:
     return F.replace(F.upper(col(c)), F.lit(" "), F.lit(""))
 

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import any_address_in, json_number, normalize_postal, recipient_partition_key
+from ..functions.scalar import any_address_in, json_number, matching_number, normalize_postal, recipient_partition_key
 from ..session import Stages, stages_of
 from .guards import current_version
 from .scoring import violation_counts
@@ -41,17 +41,18 @@ def or_empty(name: str, typed_by: DataFrame) -> Column:
     return F.coalesce(F.col(name), F.array().cast(typed_by.schema[name].dataType)).alias(name)
 
 
-def match_grants(entities: DataFrame, grants: DataFrame) -> DataFrame:
+def match_grants(entities: DataFrame, grants: DataFrame, by_root: bool = False) -> DataFrame:
     """Grants of each entity: by business number, or by name for entities that have none.
 
-    The two cases exclude each other, so the OR becomes a union of two equi-joins.
+    The two cases exclude each other, so the OR becomes a union of two equi-joins. Numbers match as
+    written; by_root matches their nine-digit roots, so that program accounts of one number count.
     """
-    e = entities.select(F.col("id").alias("entity_id"), "bn_root", "canonical_name")
+    e = entities.select(F.col("id").alias("entity_id"), matching_number("bn_root", by_root).alias("bn_root"), "canonical_name")
     by_number = e.filter(F.col("bn_root").isNotNull()).select("entity_id", "bn_root")
     by_name = e.filter(F.col("bn_root").isNull()).select("entity_id", F.lower("canonical_name").alias("name_key"))
     numbered = grants.filter(F.col("recipient_business_number").isNotNull())
     named = grants.filter(F.col("recipient_legal_name").isNotNull())
-    on_number = numbered.join(by_number, numbered["recipient_business_number"] == by_number["bn_root"]).drop("bn_root")
+    on_number = numbered.join(by_number, matching_number(numbered["recipient_business_number"], by_root) == by_number["bn_root"]).drop("bn_root")
     on_name = named.withColumn("name_key", F.lower("recipient_legal_name")).join(by_name, "name_key").drop("name_key")
     return on_number.unionByName(on_name)
 
@@ -194,14 +195,14 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))))
 
 
-def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = None) -> DataFrame:
+def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = None, by_root: bool = False) -> DataFrame:
     """Rows whose name contains a seed's name (any case, % and _ match as in LIKE) or whose number equals the seed's.
 
     seeds(name, bn) may be of any length. Numbers meet by equality. A name that contains a pattern also
     contains each three-letter part of the pattern's longest literal, so the two meet on the one of
     these that fewest rows have, and LIKE confirms. Shorter literals use all they have.
     """
-    wanted = seeds.select(F.col("name").alias("seed"), F.col("bn").alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
+    wanted = seeds.select(F.col("name").alias("seed"), matching_number("bn", by_root).alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
     text = F.lower(F.col(name))
     sized = wanted.withColumn("_literal", _literal("seed")).withColumn("_size", F.least(F.length("_literal"), F.lit(GRAM)))
     sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())  # at most GRAM + 1 of them
@@ -221,8 +222,9 @@ def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = Non
     named = rows.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").filter(like)
     if bn is None:
         return named.drop("_gram", "_seed_bn")
-    other = ~F.coalesce(F.col(bn) == F.col("_seed_bn"), F.lit(False))
-    numbered = df.join(wanted.filter(F.col("_seed_bn").isNotNull()), F.col(bn) == F.col("_seed_bn"))
+    same = matching_number(bn, by_root) == F.col("_seed_bn")
+    other = ~F.coalesce(same, F.lit(False))
+    numbered = df.join(wanted.filter(F.col("_seed_bn").isNotNull()), same)
     return numbered.unionByName(named.filter(other).drop("_gram")).drop("_seed_bn")
 
 

@@ -117,10 +117,13 @@ def amendment_profile(
     value: str = "agreement_value",
     row_id: str = "_id",
 ) -> DataFrame:
-    """Amendments filed per agreement, and how far the value has grown since the first version."""
+    """Amendments filed per agreement, and how far the value has grown since the first version. row_id is a whole number."""
     number = blank_to_int(amendment)
-    # Versions without a number are originals and sort first.
-    order = F.struct(F.coalesce(number, F.lit(-1)), F.col(row_id))
+    # Versions without a number are originals and sort first. One decimal holds number and whole-numbered
+    # row id, since an order of two fields would keep the aggregation from hashing.
+    wide = "decimal(38,0)"
+    order = F.coalesce(number, F.lit(-1)).cast(wide) * F.lit(10**19).cast("decimal(20,0)") + F.col(row_id).cast(wide)
+    order = order.cast(wide)
     return (
         df.groupBy(*keys)
         .agg(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.provenance import WEIGHT_DIMENSIONS, WEIGHTS_TYPE, encode_weights, rescore
-from ..functions.scalar import capped_sum, int_quotient, score_label, step_score
+from ..functions.scalar import capped_sum, int_quotient, matching_number, score_label, step_score
 from .guards import current_version, recipient_totals
 from .skew import reduce_by
 
@@ -91,9 +91,15 @@ def findings_feed(
     limit: int = 50,
     floor: int = 10,
     rules: ScoreRules = ScoreRules(),
+    by_root: bool = False,
 ) -> DataFrame:
-    """Entities at or above the score floor, highest first; ties end on the entity id."""
-    totals = recipient_totals(current_version(grants))
+    """Entities at or above the score floor, highest first; ties end on the entity id.
+
+    by_root adds up commitments by the nine-digit root of the recipient's number.
+    """
+    current = current_version(grants)
+    bn = "recipient_business_number"
+    totals = recipient_totals(current.withColumn(bn, matching_number(bn, by_root)))
     scored = score_entities(entities, totals, loops, violations, rules)
     return (
         scored.filter(F.col("composite_score") >= floor)

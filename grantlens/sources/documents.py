@@ -36,10 +36,10 @@ def _raw_token() -> str:
     return schemas.token(schemas.RAW_EVIDENCE)
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array(s) of finding cards."""
+def read_findings(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """JSON array(s) of finding cards, each file in one task; one_per_line reads bulk files, which are split."""
     schema = schemas.as_schema(schemas.finding_card(_raw_token()))
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
     return raw.withColumn("proofToken", _typed_token(F.col("proofToken")))
 
 
@@ -51,8 +51,8 @@ def read_briefs(spark: SparkSession, folder: str, one_per_line: bool = False) ->
     return raw.withColumn("slug", slug).withColumn("proofToken", _typed_token(F.col("proofToken")))
 
 
-def read_register(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.as_schema(schemas.REGISTER)).option("multiLine", True).json(path)
+def read_register(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return spark.read.schema(schemas.as_schema(schemas.REGISTER)).option("multiLine", not one_per_line).json(path)
 
 
 def read_citations(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,6 @@ MINIMUM_ROWS = {
     "cra.loops": 5_500,
     "cra.loop_universe": 1_400,
 }
-QUERY_TIMEOUT_SECONDS = 8
 
 
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -39,20 +38,26 @@ def load_jdbc(
     table: str,
     partition_column: str | None = None,
     bounds: tuple[int, int] | None = None,
-    partitions: int = 1,
+    partitions: int = 32,
+    timeout_seconds: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """A table of a database; give a numeric column and its bounds to read it in parallel slices."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    reader = reader.option("queryTimeout", QUERY_TIMEOUT_SECONDS).options(**options)
-    if partition_column and bounds:
-        reader = (
-            reader.option("partitionColumn", partition_column)
-            .option("lowerBound", bounds[0])
-            .option("upperBound", bounds[1])
-            .option("numPartitions", partitions)
-        )
-    return reader.load()
+    """A table of a database, read in parallel slices of a numeric column.
+
+    Bounds that aren't given are looked up first. A table without such a column is read in one task.
+    """
+    def reader(source: str):
+        made = spark.read.format("jdbc").option("url", url).option("dbtable", source).options(**options)
+        return made if timeout_seconds is None else made.option("queryTimeout", timeout_seconds)
+
+    if partition_column is None:
+        return reader(table).load()
+    if bounds is None:
+        named = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(partition_column)
+        least, most = reader(f"(SELECT min({named}) AS a, max({named}) AS b FROM {table}) bounds").load().first()
+        bounds = (int(least or 0), int(most or 0) + 1)
+    sliced = reader(table).option("partitionColumn", partition_column).option("lowerBound", bounds[0])
+    return sliced.option("upperBound", bounds[1]).option("numPartitions", partitions).load()
 
 
 def register_views(
