@@ -122,7 +122,7 @@ def amendment_profile(
     # Versions without a number are originals and sort first. One decimal holds number and whole-numbered
     # row id, since an order of two fields would keep the aggregation from hashing.
     wide = "decimal(38,0)"
-    order = F.coalesce(number, F.lit(-1)).cast(wide) * F.lit(10**19).cast("decimal(20,0)") + F.col(row_id).cast(wide)
+    order = F.coalesce(number, F.lit(-1)).cast(wide) * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(row_id).cast(wide)
     order = order.cast(wide)
     return (
         df.groupBy(*keys)
