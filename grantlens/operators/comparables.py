@@ -203,48 +203,44 @@ def match_comparables(
     dept = _short_list(described.filter(F.col("department").isNotNull()), ["department"], serve)
     by_dept = _collect(dept, ["department"], "dept_list")
 
-    s = sources.withColumn("bound", _times("value", "1.5"))
-    s = (
-        s.join(by_dept, "department", "left")
-        .join(by_year.withColumnRenamed("source_year", "year"), ["program", "year"], "left")
-        .join(at_bound, ["program", "bound"], "left")
-        .join(crowded, "ref", "left")
-    )
     low = _times("value", "0.5")
+    own = F.col("ref")
 
     def shaped(items: Column, tier: int, value) -> Column:
-        return F.transform(
+        made = F.transform(
             items,
-            lambda m: F.struct(
-                m["id"].alias("id"), m["ref"].alias("ref"), value(m).cast(WIDE).alias("value"),
-                F.lit(tier).alias("tier"),
-            ),
+            lambda m: F.struct(m["id"].alias("id"), m["ref"].alias("ref"), value(m).cast(WIDE).alias("value"), F.lit(tier).alias("tier")),
         )
-
-    own = F.col("ref")
-    near_value = F.filter(
-        F.coalesce("crowded_members", "members"), lambda m: (m["ref"] != own) & (m["value"] >= low)
-    )
-    first = F.slice(near_value, 1, k)
+        return F.coalesce(made, F.array().cast(f"array<struct<id:{ids},ref:{refs},value:{WIDE},tier:int>>"))
 
     def in_band(m) -> Column:
         v = -m["neg_value"]
         return F.coalesce(v.between(low, F.col("bound")), F.lit(False))
 
+    def filled(df: DataFrame, more: Column) -> DataFrame:
+        return df.select(*source_columns, F.slice(F.concat("best", more), 1, k).alias("best"))
+
+    ids, refs = (sources.schema[c].dataType.simpleString() for c in ("id", "ref"))
     same_program = lambda m: F.coalesce(m["program"] == F.col("program"), F.lit(False))
-    second = F.filter("year_list", lambda m: (m["ref"] != own) & ~in_band(m))
-    third = F.filter(
+    s = sources.withColumn("bound", _times("value", "1.5"))
+    source_columns = s.columns
+    # A source with k rows of tier 1 meets no further list; only one still short after tier 2 meets its department's.
+    tiered = s.join(at_bound, ["program", "bound"], "left").join(crowded, "ref", "left").withColumn("best", F.array().cast(
+        f"array<struct<id:{ids},ref:{refs},value:{WIDE},tier:int>>"))
+    near_value = F.filter(F.coalesce("crowded_members", "members"), lambda m: (m["ref"] != own) & (m["value"] >= low))
+    first = stages.add(filled(tiered, shaped(near_value, 1, lambda m: m["value"])))
+    short = first.filter(F.size("best") < k).join(by_year.withColumnRenamed("source_year", "year"), ["program", "year"], "left")
+    in_years = F.filter("year_list", lambda m: (m["ref"] != own) & ~in_band(m))
+    second = stages.add(filled(short, shaped(in_years, 2, lambda m: -m["neg_value"])))
+    still = second.filter(F.size("best") < k).join(by_dept, "department", "left")
+    elsewhere = F.filter(
         "dept_list",
         lambda m: (m["ref"] != own)
         & ~(same_program(m) & (in_band(m) | F.coalesce(F.abs(m["year"] - F.col("year")) <= years, F.lit(False)))),
     )
-    tiers = F.array(
-        shaped(first, 1, lambda m: m["value"]),
-        shaped(second, 2, lambda m: -m["neg_value"]),
-        shaped(third, 3, lambda m: -m["neg_value"]),
-    )
-    ranked = F.flatten(F.filter(tiers, lambda t: t.isNotNull()))
-    return s.select(F.col("ref").alias("source_ref"), F.posexplode(F.slice(ranked, 1, k)).alias("at", "m")).select(
+    third = filled(still, shaped(elsewhere, 3, lambda m: -m["neg_value"]))
+    done = first.filter(F.size("best") == k).unionByName(second.filter(F.size("best") == k)).unionByName(third)
+    return done.select(F.col("ref").alias("source_ref"), F.posexplode("best").alias("at", "m")).select(
         "source_ref", "m.id", "m.ref", "m.value", F.col("m.tier").alias("similarity_tier"), (F.col("at") + 1).alias("position")
     )
 
