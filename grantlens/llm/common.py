@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import reduce_by
@@ -40,6 +40,17 @@ def as_bytes(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*keys, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(ENCODED))
 
 
+def lowest(hashed: Column, n: int, total: Column | int) -> Column:
+    """Whether a 64-bit hash is among the lowest of `total`: true of about 20 n rows, or of all.
+
+    Put before a limit to the first n by hash, it keeps what reaches the limit's one task from growing
+    with the number of tasks.
+    """
+    rows = F.greatest(F.lit(total) if isinstance(total, int) else total, F.lit(1))
+    share = F.least(F.lit(1.0), F.lit(20.0 * n) / rows)
+    return hashed.cast("double") <= F.lit(-2.0**63) + share * F.lit(2.0**64)
+
+
 def forest(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
     """For nodes 0..size-1 and the given edges, the smallest node that each one reaches."""
     label = np.arange(size)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import gru
-from .common import ENCODED
+from .common import ENCODED, lowest
 
 UNDETERMINED = "und"
 WINDOW = 64
@@ -59,8 +59,10 @@ def sample(docs: DataFrame, training: Training, key: str, text: str, lang: str)
     """
     ids = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("id"), F.col(lang).alias("lang"))
+    most = training.documents_per_language
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= training.documents_per_language).select("id").distinct()
+    low = ids.join(ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang").where(lowest(F.xxhash64("id"), most, F.col("rows")))
+    chosen = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("id").distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("b")).join(F.broadcast(chosen), "id", "left_semi")
     starts = F.transform(F.sequence(F.lit(1), F.lit(training.windows_per_document)),
                          lambda k: F.pmod(F.xxhash64("id", k), F.greatest(F.octet_length("b") - WINDOW + 1, F.lit(1))).cast("int") + 1)

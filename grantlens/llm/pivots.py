@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, forest, stage
+from .common import components, discard, forest, lowest, stage
 
 
 class Index(NamedTuple):
@@ -58,7 +58,8 @@ def apart(vectors: np.ndarray, count: int) -> np.ndarray:
 
 def choose_pivots(classes: DataFrame, index: Index) -> dict[int, np.ndarray]:
     """Pivots by dimension, from a bounded sample in the order of a hash."""
-    rows = classes.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(index.sample).collect()
+    hashed = classes.select("vec", F.xxhash64("vec").alias("h"))
+    rows = hashed.where(lowest(F.col("h"), index.sample, classes.count())).orderBy("h", "vec").limit(index.sample).collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r.vec), []).append(r.vec)

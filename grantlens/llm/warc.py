@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import reduce_by
 from ..session import shared_path
-from .common import ENCODED
+from .common import ENCODED, lowest
 
 #: Frame magics of Zstandard and of its dictionary frame in WARC files; an empty skippable frame; the revisit profile.
 FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, 0x184D2A50, 0x184D2A5D
@@ -128,7 +128,9 @@ def with_first(pages: DataFrame, least_bytes: int, key: str, html: str, url: str
 
 def sampled(pages: DataFrame, writing: Writing, key: str, html: str, url: str) -> list[bytes]:
     """A bounded sample of records, each cut to a bounded length at a hashed place of its payload."""
-    ids = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).orderBy(F.xxhash64("key"), "key").limit(writing.sample_records)
+    keys = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("key"))
+    low = keys.where(lowest(F.xxhash64("key"), writing.sample_records, keys.count()))
+    ids = low.orderBy(F.xxhash64("key"), "key").limit(writing.sample_records)
     payload = F.coalesce(html, F.lit("")).cast("binary")
     read = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), payload.alias("p")).join(F.broadcast(ids.distinct()), "key", "left_semi")
     at = F.pmod(F.xxhash64("key"), F.greatest(F.octet_length("p") - writing.sample_bytes + 1, F.lit(1))).cast("int") + 1
