@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import reduce_by
-from ..session import shared_path
+from ..session import shared_path, stages_of
 
 ENCODED = "_payload"
 
@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str = "llm") -> DataFrame:
-    """Write an intermediate below the shared folder and read it back."""
+    """Write an intermediate below the shared folder and read it back. What isn't discarded goes at the end of the program."""
     path = shared_path(df.sparkSession, name)
+    stages_of(df.sparkSession).paths.append(path)
     df.write.parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.staged_at = path
@@ -33,6 +34,7 @@ def discard(*staged: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        stages_of(spark).paths.remove(df.staged_at)
 
 
 def as_bytes(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
