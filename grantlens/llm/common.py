@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import shutil
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +19,29 @@ from ..session import shared_path, stages_of
 ENCODED = "_payload"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it; once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / package.name), "zip", package.parent, package.name)
+        context.addPyFile(packed)
+        _shipped.add(context.applicationId)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, whose first argument is a session, with the package sent ahead."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, lm, oracles, packing, pivots, secrets, simhash, substrings, warc
-from .common import table
+from .common import shipped, table
 
 
 def op1_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -57,16 +57,16 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op2_warc": op2_warc,
-    "op3_simhash_near_dedup": op3_simhash_near_dedup,
-    "op4_language_id": op4_language_id,
-    "op5_embedding_near_dedup": op5_embedding_near_dedup,
-    "op6_secret_scans": op6_secret_scans,
-    "op7_lm_scoring": op7_lm_scoring,
-    "op8_chat_formatting": op8_chat_formatting,
-    "op9_substring_dedup": op9_substring_dedup,
-    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op1_best_fit_packing": shipped(op1_best_fit_packing),
+    "op2_warc": shipped(op2_warc),
+    "op3_simhash_near_dedup": shipped(op3_simhash_near_dedup),
+    "op4_language_id": shipped(op4_language_id),
+    "op5_embedding_near_dedup": shipped(op5_embedding_near_dedup),
+    "op6_secret_scans": shipped(op6_secret_scans),
+    "op7_lm_scoring": shipped(op7_lm_scoring),
+    "op8_chat_formatting": shipped(op8_chat_formatting),
+    "op9_substring_dedup": shipped(op9_substring_dedup),
+    "op10_benchmark_decontamination": shipped(op10_benchmark_decontamination),
 }
 #: The others have no SQL: their results hold token ids, xxHash64 values or a trained model's numbers. tests/llm checks them.
 ORACLES = {

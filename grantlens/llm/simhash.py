@@ -27,9 +27,9 @@ from .common import ENCODED, as_bytes, components, discard, forest, stage
 BITS = 64
 SEED = 42
 #: Pairs of nodes that are stepped down together; more of them wait on a stack.
-WALK = 1 << 19
+WALK = 1 << 17
 #: Fingerprints that a task gathers before it walks their subtries; a group is never cut.
-GATHER = 1 << 17
+GATHER = 1 << 16
 
 
 def fingerprint_of(text: bytes, words: int) -> int:

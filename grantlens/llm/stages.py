@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, packing, secrets, simhash
-from .common import stage, table
+from .common import shipped, stage, table
 
 #: Below this mean probability no language is better than a guess among four.
 LEAST_SCORE = 0.3
@@ -56,9 +56,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", languages),
-    ("simhash_near_dedup", one_per_group),
-    ("benchmark_decontamination", uncontaminated),
-    ("secret_scans", redacted),
-    ("best_fit_packing", packed),
+    ("language_id", shipped(languages)),
+    ("simhash_near_dedup", shipped(one_per_group)),
+    ("benchmark_decontamination", shipped(uncontaminated)),
+    ("secret_scans", shipped(redacted)),
+    ("best_fit_packing", shipped(packed)),
 ]
