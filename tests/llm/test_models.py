@@ -179,3 +179,33 @@ def test_likelihood_is_that_of_the_network():
     ends = [np.array([2, 3, w]) for w in range(12)]
     before = lm.log_likelihoods([np.array([2, 3])], model)[0]
     assert np.exp(lm.log_likelihoods(ends, model) - before).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_vocabulary_counts_every_training_document(spark, monkeypatch):
+    """A word of the documents that the sample leaves out is in the vocabulary, in the place of its count."""
+    monkeypatch.setattr(lm, "HOLD", 3)
+    docs = [(k, "b a b" if k else "rare") for k in range(200)]
+    df = spark.createDataFrame(docs, "key long, text string").selectExpr("key", "key % 5 = 1 AS held", f"CAST(text AS binary) AS {lm.ENCODED}").repartition(3)
+    training = lm.Training(documents=1, classes=2, class_size=2)
+    ids, seen = lm.vocabulary(lm.word_counts(df), training)
+    assert ids == {lm.END: 1, b"b": 2, b"a": 3}
+    assert seen.tolist() == [1, 160, 318, 159]
+    texts = lm.sample(df, lm.Training(documents=50), ids)
+    assert len(texts) == 50 and all(len(t) > 1 and t[-1] == 1 and not inside for t, inside in texts)
+
+
+def test_only_the_end_of_a_document_is_an_end(spark):
+    words = " ".join(f"w{k}" for k in range(400))
+    ids = {lm.END: 1} | {f"w{k}".encode(): k + 2 for k in range(400)}
+    df = spark.createDataFrame([(k, words) for k in range(40)], "key long, text string").selectExpr("key", "false AS held", f"CAST(text AS binary) AS {lm.ENCODED}")
+    texts = lm.sample(df, lm.Training(documents=40, bytes_per_document=300), ids)
+    assert len(texts) == 40 and any(inside for _, inside in texts)
+    for t, _ in texts:
+        assert (t >= 2).all() and (np.diff(t) == 1).all() if t[-1] != 1 else t[-2] == 401
+    assert sum(t[-1] == 1 for t, _ in texts) < 10
+
+
+def test_training_grows_with_the_corpus():
+    small, large = lm.grown(lm.Training(), 1000), lm.grown(lm.Training(), 100 * lm.GROWS_FROM)
+    assert small == lm.Training()
+    assert (large.documents, large.steps) == (10 * small.documents, 10 * small.steps)
