@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, key: str =
     Null and empty texts have fingerprint zero and link like any other. Rows without a key keep their
     row and take part in links; a component without any key has a null id. Repeated rows each keep a
     row. Copies are one fingerprint, so only distinct fingerprints are joined. `with_hash` adds h, the
-    xxhash64 of the text's bytes (null as empty), by which rows of equal key can be told apart.
+    xxhash64 of the text's bytes (null as empty), by which rows of equal key can be told apart, and root,
+    one fingerprint of the component: components whose smallest key is the same keep different roots.
     """
     prints = stage(fingerprints(docs, words, key, text), "prints")
     classes = prints.groupBy("fp").agg(F.min(key).alias("low"))
@@ -187,6 +188,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, key: str =
     roots = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     roots = stage(roots, "roots")
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stage(roots.join(lows, "root").select("fp", "component_id"), "classes")
+    named = stage(roots.join(lows, "root").select("fp", "component_id", *["root"] * with_hash), "classes")
     discard(edges, roots)
-    return prints.join(named, "fp").select(key, F.format_string("%016x", "fp").alias("fingerprint"), "component_id", *["h"] * with_hash)
+    return prints.join(named, "fp").select(key, F.format_string("%016x", "fp").alias("fingerprint"), "component_id", *["h", "root"] * with_hash)

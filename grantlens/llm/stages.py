@@ -24,15 +24,16 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays.
 
-    If several rows of a group have that doc_id, one of them stays. Rows without doc_id all stay.
+    If several rows of a group have that doc_id, one of them stays. Groups that share their smallest
+    doc_id keep a row each. Rows without doc_id all stay.
     """
     found = simhash.near_duplicates(docs, with_hash=True).where(F.col("doc_id") == F.col("component_id"))
-    rows = found.groupBy(F.col("doc_id").alias("_llm_id"), F.col("h").alias("_llm_h")).agg(F.count("*").alias("_llm_n"))
-    kept = stage(rows.groupBy("_llm_id").agg(F.min_by(F.struct("_llm_h", "_llm_n"), "_llm_h").alias("x")).select("_llm_id", "x.*"), "kept")
+    rows = found.groupBy("root", F.col("doc_id").alias("_llm_id"), F.col("h").alias("_llm_h")).agg(F.count("*").alias("_llm_n"))
+    kept = stage(rows.groupBy("root").agg(F.min_by(F.struct("_llm_id", "_llm_h", "_llm_n"), "_llm_h").alias("x")).select("x.*"), "kept")
     hashed = docs.withColumn("_llm_text_h", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
     same = (F.col("doc_id") == F.col("_llm_id")) & (F.col("_llm_text_h") == F.col("_llm_h"))
     once = hashed.join(kept.where("_llm_n = 1"), same, "left_semi")
-    again = hashed.join(kept.where("_llm_n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    again = hashed.join(kept.where("_llm_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_llm_text_h"])
     return once.unionByName(again).drop("_llm_text_h").unionByName(docs.where(F.col("doc_id").isNull()))
 
 

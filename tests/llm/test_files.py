@@ -219,5 +219,14 @@ def test_pipeline_edge_cases(spark, tmp_path):
         assert empty.count() == 0
 
 
+def test_groups_that_share_their_smallest_id_keep_a_row_each(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join("".join(rng.choice("aehinorstu") for _ in range(6)) for _ in range(80)) for _ in range(4))
+    docs = [(51, a), (51, b), (60, b), (61, a), (70, c), (70, d), (70, d), (71, d), (None, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = stages.one_per_group(spark, df, SF_DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(51, a), (51, b), (70, c), (70, d), (None, a)], key=repr)
+
+
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "best_fit_packing"]
