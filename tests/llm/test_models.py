@@ -209,3 +209,8 @@ def test_training_grows_with_the_corpus():
     small, large = lm.grown(lm.Training(), 1000), lm.grown(lm.Training(), 100 * lm.GROWS_FROM)
     assert small == lm.Training()
     assert (large.documents, large.steps) == (10 * small.documents, 10 * small.steps)
+
+
+def test_network_has_sixteen_units():
+    """Twelve were a smaller model for lower figures: held-out log10 likelihood a token on sf0.01 -3.8437 against -3.8058."""
+    assert lm.Training().hidden == 16
