@@ -113,3 +113,42 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
+
+# --- hard negatives ---------------------------------------------------------------------------
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.id % 100 = 0 AND len(a.e) = len(b.e)),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same AND anchor_id <> other
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, n.other AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.other)
+QUALIFY row_number() OVER w <= 5"""
+
+# --- clusters ---------------------------------------------------------------------------------
+
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _centroids(rounds: int = 10, clusters: int = 8) -> str:
+    """One step of SQL per round: long form of the centroids, then of the distances."""
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS c, e AS m
+    FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {clusters}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT vec_id, e, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (e[i] - m[i]) * (e[i] - m[i]))) AS BIGINT) AS distance
+    FROM v, c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (
+        SELECT c, list({_FLOOR} ORDER BY i) AS m FROM (SELECT c, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM d{r}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) n USING (c))""")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d{rounds} JOIN c{rounds} USING (c)"""
+
+
+CENTROIDS = _centroids()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, oracles, packing, pivots, secrets, simhash, substrings, warc
+from ..session import shared_path
+from . import centroids, chat, decontam, langid, lm, negatives, oracles, packing, pivots, secrets, simhash, substrings, token_counts, warc
 from .common import shipped, table
 
 
@@ -56,6 +57,21 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")))
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Labels are wrong on purpose where the id is divisible by 7."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_centroid_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.report(centroids.cluster(table(spark, d, "embeddings")))
+
+
+def op13_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """With a cache of its own, so that a run's results and cost don't hang on earlier ones."""
+    return token_counts.token_counts(table(spark, d, "documents"), shared_path(spark, "token-counts"))
+
+
 QUERIES = {
     "op1_best_fit_packing": shipped(op1_best_fit_packing),
     "op2_warc": shipped(op2_warc),
@@ -67,6 +83,9 @@ QUERIES = {
     "op8_chat_formatting": shipped(op8_chat_formatting),
     "op9_substring_dedup": shipped(op9_substring_dedup),
     "op10_benchmark_decontamination": shipped(op10_benchmark_decontamination),
+    "op11_hard_negatives": shipped(op11_hard_negatives),
+    "op12_centroid_clustering": shipped(op12_centroid_clustering),
+    "op13_token_counts": shipped(op13_token_counts),
 }
 #: The others have no SQL: their results hold token ids, xxHash64 values or a trained model's numbers. tests/llm checks them.
 ORACLES = {
@@ -76,4 +95,6 @@ ORACLES = {
     "op8_chat_formatting": oracles.CHAT,
     "op9_substring_dedup": oracles.SUBSTRINGS,
     "op10_benchmark_decontamination": oracles.BENCHMARK,
+    "op11_hard_negatives": oracles.NEGATIVES,
+    "op12_centroid_clustering": oracles.CENTROIDS,
 }
