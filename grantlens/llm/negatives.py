@@ -110,7 +110,7 @@ def grouped(batches: list[pa.RecordBatch], k: int) -> dict[int, Group]:
         limits = own.column("limits").to_pylist()
         width = max(map(len, limits))
         padded = np.array([line + [NONE] * (width - len(line)) for line in limits], np.int64)
-        vec = own.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.int64)
+        vec = own.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, size).astype(np.int64)
         groups[size] = Group(*(own.column(c).to_numpy() for c in ("number", "id", "label", "least")), vec, Best(padded, k))
     return groups
 
@@ -156,9 +156,10 @@ def scanned(anchors: DataFrame, rows: DataFrame, k: int, same: bool, grid: Grid)
             nonlocal block
             if block:
                 table = pa.Table.from_batches(block).combine_chunks()
-                group = met.get(table.column("size")[0].as_py())
+                size = table.column("size")[0].as_py()
+                group = met.get(size)
                 if group is not None:
-                    vec = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.int64)
+                    vec = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, size).astype(np.int64)
                     meet(group, table.column("id").to_numpy(), table.column("label").to_numpy(), vec, same, grid)
             block = []
 
