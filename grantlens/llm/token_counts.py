@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -94,6 +95,7 @@ def encoded(contents: DataFrame, path: str) -> DataFrame:
     """(content, n_tokens) of a table (content, text as bytes)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine's
         count = counter(path)
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
