@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import prose, provenance, readers, spending
+from .plans import generations, prose, provenance, readers, spending
 
-QUERIES = {**spending.QUERIES, **prose.QUERIES, **provenance.QUERIES, **readers.QUERIES}
-ORACLES = {**spending.ORACLES, **prose.ORACLES, **provenance.ORACLES, **readers.ORACLES}
+QUERIES = {**spending.QUERIES, **prose.QUERIES, **provenance.QUERIES, **readers.QUERIES, **generations.QUERIES}
+ORACLES = {**spending.ORACLES, **prose.ORACLES, **provenance.ORACLES, **readers.ORACLES, **generations.ORACLES}
