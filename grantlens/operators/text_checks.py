@@ -7,13 +7,15 @@ size never has to fit one task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, bind, col
-from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, match_and_sentence, word_count
+from ..functions.text import PHRASE_RULES, PhraseRule, anchor_words, any_phrase, direct_quotes, java_pattern, match_and_sentence, word_count
+from ..session import Stages, stages_of
 from .skew import distinct_keys, reduce_by
 
 # The word limit of a direct quote and the wording of the details reported.
@@ -69,16 +71,29 @@ def no_violations() -> Column:
 def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RULES) -> Column:
     """First hit of every rule in the text, in rule order.
 
-    Most texts are clean, so one scan with all rules together decides whether to look closer.
+    The distinct words of the text are looked up among the words that the rules can't do without, and only
+    rules that have one there run. Rules that name no such word share one scan for all of them.
     """
-    hits = []
-    for rule in rules:
-        pattern = any_phrase((rule,))
-        match, sentence = match_and_sentence(text, pattern)
-        found = violation("CALIBRATION_LEAK", sentence, match, None, F.lit(rule.rewrite))
-        hits.append(F.when(col(text).rlike(pattern), found))
-    listed = F.filter(F.array(*hits), lambda v: v.isNotNull()).cast(f"array<{VIOLATION}>")
-    return F.when(col(text).rlike(any_phrase(tuple(rules))), listed).otherwise(no_violations())
+    anchored, others = [r for r in rules if r.anchors], [r for r in rules if not r.anchors]
+
+    def among(words: Column, anchors: Sequence[str]) -> Column:
+        return F.arrays_overlap(words, F.array(*[F.lit(a) for a in sorted(set(anchors))]))
+
+    def hit(rule: PhraseRule) -> Column:
+        def found(halves: Column) -> Column:
+            match, sentence = match_and_sentence(text, halves)
+            return F.when(F.size(halves) == 2, violation("CALIBRATION_LEAK", sentence, match, None, F.lit(rule.rewrite)))
+
+        return bind(F.split(col(text), java_pattern(rule.pattern), 2), found)
+
+    def checked(words: Column | None) -> Column:
+        hits = [F.when(among(words, rule.anchors), hit(rule)) if rule.anchors else hit(rule) for rule in rules]
+        listed = F.filter(F.array(*hits), lambda v: v.isNotNull()).cast(f"array<{VIOLATION}>")
+        screens = [among(words, [a for r in anchored for a in r.anchors])] if anchored else []
+        screens += [col(text).rlike(any_phrase(others))] if others else []
+        return F.when(functools.reduce(Column.__or__, screens), listed).otherwise(no_violations()) if screens else no_violations()
+
+    return bind(anchor_words(text), checked) if anchored else checked(None)
 
 
 def calibration_sweep(
@@ -202,19 +217,26 @@ def quote_discipline_table(
     text: str = "text",
     citations: str = "citations",
     max_words: int = MAX_QUOTE_WORDS,
+    stages: Stages | None = None,
 ) -> DataFrame:
     """quote_discipline over one row per sentence.
 
-    A use is a reuse when an earlier one exists, so the first use per (brief, source) is enough:
-    a partial aggregate and a join instead of a running count over a possibly huge group.
+    A use is a reuse when an earlier one exists, so the first use per (brief, source) is enough: a partial
+    aggregate and a join instead of a running count over a possibly huge group. Quotes are found once: over-long
+    quotes and uses leave the sentences as one table of tagged rows, which all later steps read.
     """
+    stages = stages or stages_of(sentences.sparkSession)
     quotes = sentences.select(brief, *order, text, citations, F.posexplode(direct_quotes(text)).alias("quote_no", "quote"))
-    long = quotes.filter(word_count("quote") > max_words).select(
-        brief, *order, "quote_no", F.inline(F.array(_too_long(F.col(text), F.col("quote"), max_words)))
-    )
-    uses = quotes.select(brief, *order, text, "quote_no", "quote", F.posexplode(citations).alias("cit_no", "source_id"))
+    # One row for the quote itself (cit_no -1) if it is over-long, and one per citation.
+    use = F.transform(present(F.col(citations)), lambda c, at: F.struct(at.alias("cit_no"), c.alias("source_id")))
+    own = F.array(F.struct(F.lit(-1).alias("cit_no"), F.lit(None).cast("string").alias("source_id")))
+    tags = F.concat(F.when(word_count("quote") > max_words, own).otherwise(F.slice(own, 1, 0)), use)
+    tagged = stages.add(quotes.select(brief, *order, text, "quote_no", "quote", F.inline(tags)))
+    shown = [brief, *order, "quote_no"]
+    long = tagged.filter("cit_no < 0").select(*shown, F.inline(F.array(_too_long(F.col(text), F.col("quote"), max_words))))
+    uses = tagged.filter("cit_no >= 0 AND source_id IS NOT NULL")
     place = F.struct(*order, "quote_no", "cit_no")
     firsts = reduce_by(uses, [brief, "source_id"], F.min(place).alias("first_use"))
     again = uses.join(firsts, [brief, "source_id"]).filter(place > F.col("first_use"))
-    reused = again.select(brief, *order, "quote_no", F.inline(F.array(_reused(F.col(text), F.col("quote"), F.col("source_id")))))
+    reused = again.select(*shown, F.inline(F.array(_reused(F.col(text), F.col("quote"), F.col("source_id")))))
     return long.unionByName(reused).drop("rewrite")

@@ -167,11 +167,33 @@ def test_any_rule_finds_what_its_pattern_finds(spark, pattern, hits):
     assert {r.text for r in both} == want | {"fraud"}
 
 
-def test_opening_letters_lose_no_hit(spark):
-    """Every rule's own phrases, alone, capitalised and inside other words: the same hits with and without its letters."""
+def test_anchor_words_lose_no_hit(spark):
+    """Every rule's own phrases, alone, capitalised, inside other words and beside other alphabets: the same hits with and without its anchors."""
     phrases = [p for r in tc.PHRASE_RULES for p in re.findall(r"[a-z][a-z -]*[a-z]", r.pattern)]
-    texts = [f(p) for p in phrases for f in (str, str.upper, "x{}".format, "so {} x".format, "{} grant".format, "é{}.".format)] + FLAGGED + CLEAN
+    texts = [f(p) for p in phrases for f in (str, str.upper, "x{}".format, "so {} x".format, "{} grant".format, "é{}.".format, "İ{}İ\u0307".format, "K\n{}\u2028s".format)] + FLAGGED + CLEAN
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    plain = tuple(dataclasses.replace(r, opens="") for r in tc.PHRASE_RULES)
+    plain = tuple(dataclasses.replace(r, anchors=()) for r in tc.PHRASE_RULES)
     hits = [sorted((r.text, r.match, r.rewrite) for r in tc.calibration_sweep(df, "text", ["text"], rules=rules).collect()) for rules in (tc.PHRASE_RULES, plain)]
     assert hits[0] == hits[1] and len(hits[0]) > 100
+
+
+def test_anchors_are_in_every_alternative():
+    """Every way through a rule's pattern, optional parts with and without, holds one of its anchors as a whole word."""
+    def ways(pattern):
+        pattern = pattern.replace("[^.]{0,80}", " x ").replace("\\b", "").replace("(?:", "(").replace("[- ]", "( |-)")
+        pattern = re.sub(r"([a-z])\?", r"(\1|)", pattern)
+        pattern = re.sub(r"\(([^()]*)\)\?", r"(\1|)", pattern)
+        out = {pattern}
+        while any("(" in p for p in out):
+            new = set()
+            for p in out:
+                m = re.search(r"\(([^()]*)\)", p)
+                new |= {p[:m.start()] + part + p[m.end():] for part in m[1].split("|")} if m else {p}
+            out = new
+        return out
+
+    for rule in tc.PHRASE_RULES:
+        assert rule.anchors
+        for way in ways(rule.pattern):
+            assert re.search(rule.pattern, way), way
+            assert set(re.findall("[a-z]+", way)) & set(rule.anchors), way
