@@ -89,11 +89,34 @@ def clean_payments(
     recipient: str = "recipient",
     null_safe: bool = False,
 ) -> DataFrame:
-    """Roll-ups out, exact duplicates out, reversal pairs reduced to their positive half."""
-    kept = exclude_rollups(df, recipient)
-    kept = dedupe_exact(kept, [*keys, amount], [F.col(row_id)])
-    flagged = flag_reversals(kept, keys, amount, null_safe)
-    return flagged.filter(~F.col("has_reversal_pair") | (F.col(amount) > 0))
+    """Roll-ups out, exact duplicates out, reversal pairs reduced to their positive half, which has_reversal_pair marks.
+
+    Rows of equal keys and equal absolute amount are one group, of which only the smallest id of each sign
+    can stay: one aggregate finds both, combined before its only shuffle. An amount of zero or NULL has no twin.
+    """
+    others = [c for c in df.columns if c not in (*keys, amount, row_id)]
+    negative = F.coalesce(F.col(amount) < 0, F.lit(False))
+
+    def first(of_sign: Column) -> Column:
+        at = F.when(of_sign, F.col(row_id))
+        return F.min_by(F.struct(row_id, *others), at) if others else F.min(at)
+
+    kept = exclude_rollups(df, recipient).groupBy(*keys, F.abs(F.col(amount)).alias("_size"))
+    groups = kept.agg(first(~negative).alias("_plus"), first(negative).alias("_minus"))
+    twins = F.col("_plus").isNotNull() & F.col("_minus").isNotNull()
+    if not null_safe:
+        for k in keys:
+            twins = twins & F.col(k).isNotNull()
+    kind = df.schema[amount].dataType
+
+    def side(row: str, value: Column) -> Column:
+        told = [F.col(row)[c].alias(c) for c in (row_id, *others)] if others else [F.col(row).alias(row_id)]
+        return F.struct(value.cast(kind).alias(amount), *told, twins.alias("has_reversal_pair"))
+
+    plus = F.when(F.col("_plus").isNotNull(), side("_plus", F.col("_size")))
+    minus = F.when(F.col("_minus").isNotNull() & ~twins, side("_minus", -F.col("_size")))
+    rows = groups.select(*keys, F.explode(F.array_compact(F.array(plus, minus))).alias("_row"))
+    return rows.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in (*df.columns, "has_reversal_pair")])
 
 
 def recipient_totals(

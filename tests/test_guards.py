@@ -1,5 +1,6 @@
 """Guards, scores and audits on small fixtures."""
 
+import random
 from datetime import date
 from decimal import Decimal as D
 
@@ -61,6 +62,26 @@ def test_clean_payments_golden(spark):
     assert sorted(r.id for r in safe.collect()) == [1, 3, 6, 8, 9]
 
 
+def test_payments_shuffle_once(spark):
+    plan = guards.clean_payments(payments(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_payments_with_more_columns(spark):
+    """Two windows, written out here, and the one aggregate agree, other columns and their order included."""
+    rng = random.Random(2)
+    rows = [(k, f"note {k}", rng.choice(["M", None]), rng.choice(["b", "c"]), rng.choice(["R", "S", None]), "p", rng.choice([1, -1, 2, -2, 0, None]), rng.choice(["2024-01-01", None]))
+            for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, note string, ministry string, business_unit_name string, recipient string, program string, amount int, payment_date string")
+    for null_safe in (False, True):
+        kept = guards.dedupe_exact(guards.exclude_rollups(df), [*guards.PAYMENT_KEYS, "amount"], [F.col("id")])
+        flagged = guards.flag_reversals(kept, null_safe=null_safe)
+        want = flagged.filter("NOT has_reversal_pair OR amount > 0")
+        got = guards.clean_payments(df, null_safe=null_safe)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_every_positive_row_survives(spark):
     deduped = guards.dedupe_exact(guards.exclude_rollups(payments(spark)), [*guards.PAYMENT_KEYS, "amount"], [F.col("id")])
     positive = {r.id for r in deduped.filter("amount > 0").collect()}
