@@ -31,8 +31,12 @@ from ..session import Stages, stages_of
 from .guards import current_version, first_per_key
 from .skew import SPREAD, distinct_keys, reduce_by, spread
 
-# Cells per unit of the natural logarithm when positions are counted; only affects task sizes.
-CELLS = 400
+# Rows of one program that positions are counted over in one go, as far as the sketch of its values is exact, the
+# most cells of a program (a power of two), and the sketch's size. Of n rows in c cells a cell gets at most
+# n / c + 2 n x 0.0002 and the rows of one value more. These only affect task sizes.
+CELL_ROWS = 1 << 16
+MOST_CELLS = 1 << 12
+SKETCH = 1 << 15
 
 
 # Exact for any amount of 18 digits and its half or one and a half.
@@ -104,18 +108,42 @@ def pick_sources(rows: DataFrame, source_refs: DataFrame | None = None) -> DataF
     return first_per_key(rows, ["ref"], _best_first())
 
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """(program, cuts): ascending values that cut a program's rows into parts of about equal size; no cuts for small programs."""
+    sketched = reduce_by(rows, ["program"], F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(SKETCH)).alias("sketch"), F.count("*").alias("n"))
+    cells = F.least(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / CELL_ROWS))), F.lit(MOST_CELLS)).cast("int")
+    # The function takes constant ranks only: the finest are asked for, and as many kept as the program needs.
+    ranks = F.split(F.lit(",".join(str(j / MOST_CELLS) for j in range(1, MOST_CELLS))), ",").cast("array<double>")
+    large = sketched.filter(F.col("n") > CELL_ROWS).withColumn("stride", F.lit(MOST_CELLS) / cells)
+    kept = F.filter(F.kll_sketch_get_quantile_double("sketch", ranks), lambda _, at: (at + 1) % F.col("stride") == 0)
+    return large.select("program", F.array_distinct(kept).alias("cuts"))
+
+
+def _cell(value: Column, cuts: Column) -> Column:
+    """How many of the ascending cuts a value reaches, by halving."""
+    steps = F.array(*[F.lit(MOST_CELLS >> n) for n in range(MOST_CELLS.bit_length())])
+    reaches = lambda at: F.coalesce(F.get(cuts, at - 1) <= value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reaches(at + step), at + step).otherwise(at))
+
+
+def _celled(rows: DataFrame, stages: Stages) -> DataFrame:
+    """Rows of a table of the shared folder with the cell of their value within their program."""
+    cuts = stages.add(_cuts(rows))
+    cell = F.when(F.col("cuts").isNull(), 0).otherwise(_cell(F.col("value").cast("double"), F.col("cuts")))
+    return rows.join(cuts, "program", "left").withColumn("cell", cell).drop("cuts")
+
+
 def _value_positions(cands: DataFrame, bounds: DataFrame, stages: Stages) -> DataFrame:
     """Rank candidates by (value, id descending) within a program, and place the bounds among them.
 
-    A program may hold a third of the table, so ranks are counted inside value cells and the cell
-    totals (few per program) give each cell its offset.
+    A program may hold a third of the table, so ranks are counted inside cells and the cell totals (few per
+    program) give each cell its offset. Cells are cut at quantiles of the program's own values, so values
+    that crowd into a narrow range get as many cells as any others.
     """
     rows = cands.select(
         "program", "value", F.lit(0).alias("kind"), "id", "ref", "year"
     ).unionByName(bounds.select("program", "value", F.lit(1).alias("kind")), allowMissingColumns=True)
-    cell = F.floor(F.log(F.col("value").cast("double") + 1) * CELLS)
-    rows = rows.withColumn("cell", cell)
-    rows = stages.add(rows)
+    rows = _celled(stages.add(rows), stages)
     is_cand = F.when(F.col("kind") == 0, 1).otherwise(0)
     totals = rows.groupBy("program", "cell").agg(F.sum(is_cand).alias("in_cell"))
     before = Window.partitionBy("program").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

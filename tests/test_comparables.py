@@ -5,7 +5,9 @@ from decimal import Decimal
 
 import pytest
 
+from grantlens.operators import comparables
 from grantlens.operators.comparables import match_comparables, pick_sources
+from grantlens.session import Stages
 
 SCHEMA = "id bigint, ref string, program string, department string, value decimal(18,2), year int, described boolean"
 
@@ -73,3 +75,26 @@ def test_matches_pairwise_definition(spark, case):
     for r in match_comparables(df, pick_sources(df), k).orderBy("source_ref", "position").collect():
         got.setdefault(r.source_ref, []).append((r.similarity_tier, r.id))
     assert got == brute_force(rows, k)
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_small_cells_change_nothing(spark, monkeypatch, case):
+    monkeypatch.setattr(comparables, "CELL_ROWS", 7)
+    test_matches_pairwise_definition(spark, case)
+
+
+def test_crowded_values_are_cut_evenly(spark, monkeypatch):
+    """Nine in ten values lie within one per cent of each other; one value repeats; a second program is small."""
+    monkeypatch.setattr(comparables, "CELL_ROWS", 500)
+    rng = random.Random(9)
+    values = [1_000_000 + rng.randrange(10_000) for _ in range(18_000)] + [rng.randrange(10**9) for _ in range(2_000)] + [1_004_000] * 40
+    rows = spark.createDataFrame([("P", Decimal(v)) for v in values] + [("Q", Decimal(v)) for v in range(300)], "program string, value decimal(24,4)")
+    with Stages(spark) as stages:
+        celled = comparables._celled(stages.add(rows), stages)
+        sizes = {(r.program, r.cell): (r["count"], r.low, r.high) for r in celled.selectExpr("*", "value AS v").groupBy("program", "cell").agg(
+            *[f.alias(a) for f, a in ((comparables.F.count("*"), "count"), (comparables.F.min("v"), "low"), (comparables.F.max("v"), "high"))]).collect()}
+    n, cells = len(values), 64
+    assert sizes.pop(("Q", 0))[0] == 300
+    assert len(sizes) == cells and max(c for c, _, _ in sizes.values()) <= n / cells + 2 * n * 0.0002 + 42
+    ends = [sizes["P", c][1:] for c in range(cells)]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))  # cells follow the values
