@@ -194,7 +194,7 @@ def first_numeric_evidence(evidence: ColumnLike) -> Column:
 
 def whole_dollars(c: ColumnLike) -> Column:
     """Whole-dollar currency text, halves rounded away from zero."""
-    rounded = F.round(F.abs(col(c)).cast("decimal(28,6)"), 0).cast("decimal(28,0)")
+    rounded = F.round(F.abs(col(c)).cast("decimal(38,6)"), 0).cast("decimal(38,0)")
     sign = F.when(col(c) < 0, F.lit("-$")).otherwise(F.lit("$"))
     return F.concat(sign, F.format_number(rounded, 0))
 

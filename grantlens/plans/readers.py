@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.provenance import evidence_hash, token_seal
 from ..operators import briefs, dossier
 from ..session import shared_path
 from ..sources import documents
@@ -35,6 +36,37 @@ def findings_scan(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("proofToken")["proofId"].alias("proof_id"), "indicatorCount", first["row_id"].alias("row_id"), first["value_num"].cast("double").alias("value_num"))
 
 
+# Eight decimals, an exponent, more digits than a decimal holds, or a text, as a document writes them.
+WRITTEN = ("CASE WHEN o_orderpriority = '1-URGENT' THEN concat('\"', o_orderstatus, ' 1.50\"') WHEN o_orderpriority = '5-LOW' THEN concat(cast(o_orderkey % 9 + 1 AS string), 'e23')"
+           " WHEN o_orderpriority = '2-HIGH' THEN concat(cast(o_orderkey + 1 AS string), '000000000000000000000000000000')"
+           " ELSE concat(cast(o_orderkey + 1 AS string), '.', lpad(cast(o_custkey * 7919 % 100000000 AS string), 8, '0')) END")
+HEAD = "concat('{\"proofId\":\"ppm-', cast(o_orderkey AS string), '\"')"
+
+
+def exact_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Finding cards whose evidence numbers no double or short decimal holds, read back, hashed and sealed."""
+    path = shared_path(spark, "findings")
+    line = f"""concat('{{"proofToken":', {HEAD}, ',"evidence":[{{"source":"orders","rowId":', cast(o_orderkey AS string), ',"value":', {WRITTEN},
+        '}}],"tiers":{{"audit":{{"tier":4,"tokenHash":"sha256:x"}}}}}},"indicatorCount":1}}')"""
+    i.table(spark, d, "orders").selectExpr(f"{line} AS value").write.text(path)
+    token = F.col("proofToken")
+    back = documents.read_findings(spark, path, one_per_line=True)
+    first = token["evidence"][0]
+    return back.select(
+        token["proofId"].alias("proof_id"), first["value_raw"].alias("value_raw"), first["value_str"].alias("value_str"),
+        first["value_num"].cast("string").alias("value_num"), evidence_hash(token["evidence"]).alias("evidence_hash"), token_seal("proofToken").alias("seal"))
+
+
+EXACT_SQL = f"""WITH w AS (SELECT {HEAD} AS head, concat('ppm-', o_orderkey) AS proof_id, o_orderkey, {WRITTEN.replace('AS string', 'AS varchar')} AS written FROM orders),
+    n AS (SELECT *, CASE WHEN written LIKE '"%' THEN trim(written, '"') END AS value_str, CASE WHEN written NOT LIKE '"%' THEN written END AS value_raw,
+        CASE WHEN written LIKE '%e23' THEN concat(left(written, 1), repeat('0', 23), '.', repeat('0', 10)) WHEN written LIKE '%.%' AND written NOT LIKE '"%' THEN concat(written, '00') END AS value_num FROM w),
+    e AS (SELECT *, concat('[{{"source":"orders","row_id":"', o_orderkey, '","field":null,"value_str":', coalesce('"' || value_str || '"', 'null'),
+        ',"value_num":', coalesce(value_num, 'null'), ',"value_raw":', coalesce('"' || value_raw || '"', 'null'), ',"as_of":null}}]') AS ev FROM n)
+    SELECT proof_id, value_raw, value_str, value_num, sha256(ev) AS evidence_hash, concat('sha256:', sha256(concat(head,
+        ',"version":null,"issuedAt":null,"issuedBy":null,"finding":null,"evidence":', ev, ',"tiers":{{"input":null,"contextual":null,"output":null,"audit":{{"passed":null,"tier":4,',
+        '"tokenHash":"","previousTokenHash":null,"humanReviewed":null,"humanReviewer":null,"operatorAgent":null,"logRef":null}}}},"disclaimers":null,"rerunUrl":null}}'))) AS seal FROM e"""
+
+
 def register_scan(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "register")
     i.register(spark, d).write.json(path)
@@ -65,13 +97,14 @@ def number_root_join(spark: SparkSession, d: str) -> DataFrame:
     return matched.select("entity_id", "_id", scalar.bn_root("recipient_business_number").alias("root"))
 
 
-QUERIES = {f.__name__: f for f in (qualified_tables, findings_scan, register_scan, date_display, link_coding, number_root_join)}
+QUERIES = {f.__name__: f for f in (qualified_tables, findings_scan, exact_evidence, register_scan, date_display, link_coding, number_root_join)}
 
 ORACLES = {
     "qualified_tables": """SELECT c_mktsegment, count(*) AS orders, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "findings_scan": f"""SELECT proof_id, cast(length(summary) AS int) AS "indicatorCount", cast(custkey AS varchar) AS row_id, cast(headline_value AS double) AS value_num
         FROM ({i.TOKENS_SQL}) WHERE updated_nation <> 14 AND proof_id IS NOT NULL""",
+    "exact_evidence": EXACT_SQL,
     "register_scan": f"""SELECT "aiaId", department, "impactLevel", "mitigationScore" FROM ({i.REGISTER_SQL})""",
     "date_display": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS utc,
         strftime(ts, '%Y') AS year, strftime(ts, '%Y-%m-%d') AS day FROM events""",

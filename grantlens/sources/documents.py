@@ -11,21 +11,27 @@ from . import schemas
 
 
 def split_evidence(evidence: Column) -> Column:
-    """Evidence read with a variant value -> separate text and number fields."""
-    def row(e: Column) -> Column:
-        kind = F.schema_of_variant(e["value"])
-        is_text = kind == "STRING"
-        text = F.try_variant_get(e["value"], "$", "string")
+    """Evidence rows as JSON text -> separate text and number fields, a number also with its digits as written.
+
+    Parsed as a string or a variant, 1e23 would come back as 9.999999999999999E22 and 1.50 as 1.5.
+    """
+    def read(e: Column) -> Column:
+        return F.struct(F.from_json(e, schemas.EVIDENCE_ROW).alias("row"), F.regexp_extract(e, schemas.EVIDENCE_VALUE, 1).alias("value"))
+
+    def row(read: Column) -> Column:
+        e, value = read["row"], read["value"]
+        digits = F.when(value.rlike("^[-0-9tf]"), value)
         return F.struct(
             e["source"].alias("source"),
             e["rowId"].alias("row_id"),
             e["field"].alias("field"),
-            F.when(is_text, text).alias("value_str"),
-            F.when(~is_text, F.try_variant_get(e["value"], "$", "decimal(28,6)")).alias("value_num"),
+            F.when(value == '"', e["value"]).alias("value_str"),
+            digits.try_cast("decimal(38,10)").alias("value_num"),
+            digits.alias("value_raw"),
             e["asOf"].alias("as_of"),
         )
 
-    return F.transform(evidence, row)
+    return F.transform(F.transform(evidence, read), row)
 
 
 def _typed_token(token: Column) -> Column:

@@ -4,11 +4,15 @@ from pyspark.sql.types import DataType, StructType
 
 SUBJECT = "struct<entityId:string,canonicalName:string,bnRoot:string,datasetCoverage:array<string>>"
 
-# An evidence value is a number or a text; the two are kept in separate fields.
-EVIDENCE = "struct<source:string,row_id:string,field:string,value_str:string,value_num:decimal(28,6),as_of:string>"
-
-# Evidence as it stands in a JSON file, before the value is split.
-RAW_EVIDENCE = "struct<source:string,rowId:string,field:string,value:variant,asOf:string>"
+# An evidence value is a number or a text, kept in separate fields. A number also keeps the digits that the
+# document has, since hashes are taken over these: value_num is rounded beyond ten decimals and NULL from 10^28 on.
+EVIDENCE = "struct<source:string,row_id:string,field:string,value_str:string,value_num:decimal(38,10),value_raw:string,as_of:string>"
+
+# Evidence as it stands in a JSON file: the text of each row, its fields, and what its value begins with, which is
+# a quote for a text and else the whole number. Rows are flat objects.
+RAW_EVIDENCE = "string"
+EVIDENCE_ROW = "struct<source:string,rowId:string,field:string,value:string,asOf:string>"
+EVIDENCE_VALUE = r'"value"\s*:\s*("|[^\s",}\]]+)'
 
 INPUT_TIER = (
     "struct<passed:boolean,tier:int,filtersApplied:array<string>,"

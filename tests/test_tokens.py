@@ -1,6 +1,7 @@
 """Tokens, briefs and document files."""
 
 import json
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,20 @@ def test_read_findings_splits_evidence(spark, folder):
     assert {r.source for r in tokens.evidence_source_audit(df, known).collect()} == {"fed.missing"}
 
 
+def test_numbers_are_hashed_as_written(spark, tmp_path):
+    written = ["0.12345678", "1e23", "-0", "1.50", "1.5", '"1.50"', "null", "123456789012345678901234567890123456789012.25", "1E-30", "true", '"\\\\\\"value\\\\\\": 7"']
+    rows = [{"proofToken": {"proofId": f"ppm-{k}", "evidence": [{"source": "s", "rowId": k}, None]}} for k in range(len(written))]
+    lines = [json.dumps(r).replace(f'"rowId": {k}', f'"rowId": {k}, "value": {w}') for k, (r, w) in enumerate(zip(rows, written))]
+    (tmp_path / "f.json").write_text("\n".join(lines))
+    df = documents.read_findings(spark, str(tmp_path / "f.json"), one_per_line=True)
+    got = {int(r.proofToken.proofId[4:]): (r.proofToken.evidence[0], r.h) for r in df.withColumn("h", fp.evidence_hash("proofToken.evidence")).collect()}
+    assert [got[k][0].value_raw for k in range(len(written))] == [None if w[0] in 'n"' else w for w in written]
+    assert got[5][0].value_str == "1.50" and got[0][0].value_num == D("0.1234567800") and got[1][0].value_num == D(10**23)
+    assert len({h for _, h in got.values()}) == len(written)  # 1.5, 1.50 and "1.50" are three pieces of evidence
+    one = json.loads(df.select(fp.canonical_json("proofToken.evidence").alias("j"), "proofToken.proofId").filter("proofId = 'ppm-7'").first().j)
+    assert one[0]["value_raw"] == written[7] and one[0]["value_num"] is None
+
+
 def test_read_and_validate_briefs(spark, folder):
     df = documents.read_briefs(spark, str(folder / "briefs"))
     assert {r.slug for r in df.collect()} == {"alpha", "beta"}
