@@ -67,16 +67,25 @@ def entity_agreements(entities: DataFrame, grants: DataFrame) -> DataFrame:
     return current_version(match_grants(entities, grants), keys=keys).select("entity_id", *AGREEMENT_FIELDS)
 
 
-def _distinct(c: str) -> Column:
-    return F.sort_array(F.collect_set(c))
+# The distinct values that a summary tells, by the name of their list.
+LISTS = {"departments": "owner_org_title", "programs": "prog_name_en", "countries": "recipient_country", "provinces": "recipient_province"}
+# Registers of the distinct-count sketch, as a power of two: counts up to some 300 come out exact, larger
+# ones with a standard error of 1.04 / sqrt(4096), that is 1.6 %. A sketch has at most 4 KB.
+SKETCH_BITS = 12
 
 
-def fed_summary(agreements: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
-    """Totals, date span and distinct values over agreements that carry a value; rows counts all of them."""
+def fed_summary(agreements: DataFrame, by: Sequence[str] = ("entity_id",), lists: bool = True) -> DataFrame:
+    """Totals, date span and distinct values over agreements that carry a value; rows counts all of them.
+
+    Without lists each of them is a count of its distinct values from a sketch, so that a row's size is fixed;
+    the values themselves are then rows of value_pages.
+    """
     def valued(c: str) -> Column:
         return F.when(F.col("agreement_value").isNotNull(), F.col(c))
 
     def distinct(c: str) -> Column:
+        if not lists:
+            return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(valued(c), SKETCH_BITS)), F.lit(0))
         return F.sort_array(F.collect_set(valued(c)))
 
     grouped = agreements.groupBy(*by).agg(
@@ -85,15 +94,28 @@ def fed_summary(agreements: DataFrame, by: Sequence[str] = ("entity_id",)) -> Da
         F.count("agreement_value").alias("agreement_count"),
         F.min(valued("agreement_start_date")).alias("earliest_start"),
         F.max(valued("agreement_end_date")).alias("latest_end"),
-        distinct("owner_org_title").alias("departments"),
-        distinct("prog_name_en").alias("programs"),
-        distinct("recipient_country").alias("countries"),
-        distinct("recipient_province").alias("provinces"),
+        *[distinct(c).alias(name) for name, c in LISTS.items()],
     )
     fields = F.struct(*[c for c in grouped.columns if c not in (*by, "rows")])
     return grouped.select(*by, "rows", F.when(F.col("agreement_count") > 0, fields).alias("fed_summary"))
 
 
+def value_pages(agreements: DataFrame, by: Sequence[str] = ("entity_id",), page_values: int = 1000) -> DataFrame:
+    """(by, list, page, values): the distinct values of each summary list, about page_values a row at most, sorted inside a page.
+
+    Exact at any number of values. A value's page follows from its hash, so no list is ever held whole.
+    """
+    told = F.array(*[F.struct(F.lit(name).alias("list"), F.col(c).cast("string").alias("value")) for name, c in LISTS.items()])
+    rows = agreements.filter(F.col("agreement_value").isNotNull()).select(*by, F.inline(told)).filter(F.col("value").isNotNull())
+    rows = distinct_keys(rows, *by, "list", "value")
+    key = [*by, "list"]
+    large = reduce_by(rows, key, F.ceil(F.count("*") / page_values).cast("int").alias("pages")).filter("pages > 1")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = salted.join(large, [*key, "salt"], "left").withColumn("page", F.pmod(F.xxhash64("value", F.lit(1)), F.coalesce("pages", F.lit(1))).cast("int"))
+    return placed.groupBy(*key, "page").agg(F.sort_array(F.collect_list("value")).alias("values"))
+
+
 def top_loops(entities: DataFrame, loops: DataFrame, k: int = 5) -> DataFrame:
     """Loops of each entity by score, the k highest."""
     e = entities.filter(F.col("bn_root").isNotNull()).select(F.col("id").alias("entity_id"), F.col("bn_root").alias("bn"))
@@ -118,19 +140,21 @@ def entity_dossier(
     keep_empty: bool = False,
     page_rows: int = 10_000,
     stages: Stages | None = None,
+    lists: bool = True,
 ) -> Dossiers:
     """Dossier of each entity as two tables that have the same shape at every size.
 
     heads has entity_id, entity, fed_summary, violations, loops and the number of pages; pages has
     entity_id, page and agreements, about page_rows of them at most, so no row or group grows with the
     table. An entity without any agreement has a head with no page, and that only with keep_empty.
-    stages owns the tables of agreements and heads, which several readers share.
+    stages owns the tables of agreements and heads, which several readers share. Without lists, heads have a
+    fixed size whatever the number of distinct departments or programs, and value_pages has the values.
     """
     if ids is not None:
         entities = entities.join(distinct_keys(ids, "id"), "id", "left_semi")
     stages = stages or stages_of(entities.sparkSession)
     agreements = stages.add(entity_agreements(entities, grants))
-    summary = fed_summary(agreements).withColumn("pages", F.ceil(F.col("rows") / page_rows).cast("int")).drop("rows")
+    summary = fed_summary(agreements, lists=lists).withColumn("pages", F.ceil(F.col("rows") / page_rows).cast("int")).drop("rows")
     return Dossiers(stages.add(_heads(entities, summary, violations, loops, keep_empty)), _pages(agreements, page_rows))
 
 
@@ -195,37 +219,52 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))))
 
 
-def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = None, by_root: bool = False) -> DataFrame:
-    """Rows whose name contains a seed's name (any case, % and _ match as in LIKE) or whose number equals the seed's.
+def name_matches(names: DataFrame, seeds: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """(name, seed) wherever a lower-case name of the one column of names contains a seed, % and _ matching as in LIKE.
 
-    seeds(name, bn) may be of any length. Numbers meet by equality. A name that contains a pattern also
-    contains each three-letter part of the pattern's longest literal, so the two meet on the one of
-    these that fewest rows have, and LIKE confirms. Shorter literals use all they have.
+    A posting list holds (part, name's hash): the three-letter parts of every distinct name. A name that
+    contains a seed also contains each part of the seed's longest literal, so the two meet on the one of these
+    that fewest names have. The parts so chosen filter the posting list before it is shuffled, and LIKE
+    confirms. Seeds whose literal is shorter than three letters use all they have.
     """
-    wanted = seeds.select(F.col("name").alias("seed"), matching_number("bn", by_root).alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
-    text = F.lower(F.col(name))
+    stages = stages or stages_of(names.sparkSession)
+    column = names.columns[0]
+    names = stages.add(distinct_keys(names.filter(F.col(column).isNotNull()).select(F.col(column).alias("name")), "name")
+                       .select("name", F.xxhash64("name").alias("h")))
+    wanted = distinct_keys(seeds.select(F.col("name").alias("seed")).filter(F.col("seed").isNotNull()), "seed")
     sized = wanted.withColumn("_literal", _literal("seed")).withColumn("_size", F.least(F.length("_literal"), F.lit(GRAM)))
     sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())  # at most GRAM + 1 of them
     if not sizes:
-        return df.limit(0).withColumn("seed", F.lit(None).cast("string"))
-    grams = F.array_distinct(F.concat(*[_grams(text, n) for n in sizes]))
-    rows = df.filter(F.col(name).isNotNull())
-    common = rows.select(F.explode(grams).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_rows"))
+        return names.limit(0).select("name", F.col("name").alias("seed"))
+    posted = names.select("h", F.explode(F.array_distinct(F.concat(*[_grams(F.col("name"), n) for n in sizes]))).alias("part"))
     own = F.concat(*[F.when(F.col("_size") == n, _grams(F.col("_literal"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
-    asked = sized.select("seed", "_seed_bn", F.explode(own).alias("_gram"))
-    # A part that no row has rules its seed out.
-    rare = asked.join(common, "_gram", "left").groupBy("seed", "_seed_bn", spread("seed", "_seed_bn")).agg(
-        F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_least")
-    )
-    keyed = rare.filter("_least.n > 0").select("seed", "_seed_bn", F.col("_least.g").alias("_gram"))
-    like = F.like(text, F.lower(F.concat(F.lit("%"), "seed", F.lit("%"))))
-    named = rows.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").filter(like)
+    asked = sized.select("seed", F.explode(own).alias("part"))
+    common = posted.groupBy("part").agg(F.count("*").alias("n"))
+    # A part that no name has rules its seed out.
+    rare = asked.join(common, "part", "left").groupBy("seed", spread("seed")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("part").alias("part"))).alias("least"))
+    keyed = stages.add(rare.filter("least.n > 0").select("seed", F.col("least.part").alias("part")))
+    near = posted.join(keyed, "part").select("h", "seed").join(names, "h")
+    like = F.like(F.col("name"), F.lower(F.concat(F.lit("%"), "seed", F.lit("%"))))
+    return stages.add(near.filter(like).select("name", "seed").distinct())
+
+
+def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = None, by_root: bool = False,
+                matches: DataFrame | None = None, stages: Stages | None = None) -> DataFrame:
+    """Rows whose name contains a seed's name (any case, % and _ match as in LIKE) or whose number equals the seed's.
+
+    seeds(name, bn) may be of any length. Names meet on the matches of name_matches, which several tables may
+    share; numbers meet by equality. Whole rows take part in nothing but these two equi-joins.
+    """
+    if matches is None:
+        matches = name_matches(df.select(F.lower(F.col(name)).alias("name")), seeds, stages)
+    wanted = seeds.select(F.col("name").alias("seed"), matching_number("bn", by_root).alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
+    by_name = matches.select(F.col("name").alias("_name"), "seed").join(wanted, "seed")
     if bn is None:
-        return named.drop("_gram", "_seed_bn")
+        return df.join(by_name, F.lower(F.col(name)) == F.col("_name")).drop("_name", "_seed_bn")
     same = matching_number(bn, by_root) == F.col("_seed_bn")
-    other = ~F.coalesce(same, F.lit(False))
+    named = df.join(by_name, F.lower(F.col(name)) == F.col("_name")).filter(~F.coalesce(same, F.lit(False))).drop("_name")
     numbered = df.join(wanted.filter(F.col("_seed_bn").isNotNull()), same)
-    return numbered.unionByName(named.filter(other).drop("_gram")).drop("_seed_bn")
+    return numbered.unionByName(named).drop("_seed_bn")
 
 
 def _top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -240,16 +279,24 @@ def seed_dossiers(
     violations: DataFrame,
     loops: DataFrame,
     limits: dict[str, int] = SEED_LIMITS,
+    stages: Stages | None = None,
 ) -> dict[str, DataFrame]:
-    """For every row of seeds(name, bn): matching entities, their loops and violations, and matching current agreements."""
-    golden = _top(match_seeds(entities, seeds, "canonical_name", "bn_root"), [F.col("id")], limits["golden"])
-    named = match_seeds(entities.filter(F.col("bn_root").isNotNull()), seeds, "canonical_name").select("seed", F.col("bn_root").alias("bn"))
+    """For every row of seeds(name, bn): matching entities, their loops and violations, and matching current agreements.
+
+    The names of both tables make one list of distinct names that meets the seeds once.
+    """
+    stages = stages or stages_of(entities.sparkSession)
+    known = entities.select(F.lower("canonical_name").alias("name")).unionByName(grants.select(F.lower("recipient_legal_name").alias("name")))
+    matches = name_matches(known, seeds, stages)
+    golden = _top(match_seeds(entities, seeds, "canonical_name", "bn_root", matches=matches), [F.col("id")], limits["golden"])
+    named = match_seeds(entities.filter(F.col("bn_root").isNotNull()), seeds, "canonical_name", matches=matches).select("seed", F.col("bn_root").alias("bn"))
+    named = stages.add(named)
     loop_rows = _top(
         loops.select(*LOOP_FIELDS).join(named, "bn"),
         [F.col("score").desc_nulls_last(), F.col("total_loops").desc_nulls_last(), F.col("bn"), F.col("legal_name")],
         limits["loops"],
     )
-    found = match_seeds(grants, seeds, "recipient_legal_name", "recipient_business_number")
+    found = match_seeds(grants, seeds, "recipient_legal_name", "recipient_business_number", matches=matches)
     keys = [F.col("seed"), F.col("ref_number"), recipient_partition_key("recipient_business_number", "recipient_legal_name", "_id")]
     agreements = _top(
         current_version(found, keys=keys),
