@@ -16,50 +16,52 @@ from .scalar import SPACE, ColumnLike, col, js_trim
 class PhraseRule:
     """anchors may list words (ASCII, lower case) of which every match holds at least one, as a whole word.
 
-    They only save time: a rule runs where a text has one of its anchors, a rule without any runs everywhere.
+    opens may list the letters (lower case) with which every match begins, at the start of a word. Both only save
+    time: a rule runs where a text has one of its anchors, a rule without any runs everywhere.
     """
 
     kind: str
     pattern: str
     rewrite: str
     anchors: tuple[str, ...] = ()
+    opens: str = ""
 
 
 # Forbidden phrase patterns (matched without regard to case) and the advice given.
 PHRASE_RULES = (
     PhraseRule("absolute", r"\b(fraud|fraudulent|corrupt(?:ion)?|crime|criminal|illegal(?:ly)?)\b",
                "(drop the editorial verdict; use 'pattern consistent with…' or cite the specific source making the claim)",
-               ("fraud", "fraudulent", "corrupt", "corruption", "crime", "criminal", "illegal", "illegally")),
+               ("fraud", "fraudulent", "corrupt", "corruption", "crime", "criminal", "illegal", "illegally"), "fci"),
     PhraseRule("absolute", r"\b(should have|ought to have|was supposed to)\b",
                "Use 'comparable filings typically state…' or 'records do not contain…'",
-               ("should", "ought", "supposed")),
+               ("should", "ought", "supposed"), "sow"),
     PhraseRule("absolute", r"\b(proves?|proven|definitely|certainly|clearly shows?)\b",
                "Use 'records indicate…' or 'the dataset shows…'",
-               ("prove", "proves", "proven", "definitely", "certainly", "clearly")),
+               ("prove", "proves", "proven", "definitely", "certainly", "clearly"), "pdc"),
     PhraseRule("absolute", r"\b(failed to|refused to|deliberately|intentionally|knowingly)\b",
                "Use 'the dataset does not show…' or 'public records do not contain…'",
-               ("failed", "refused", "deliberately", "intentionally", "knowingly")),
+               ("failed", "refused", "deliberately", "intentionally", "knowingly"), "frdik"),
     PhraseRule("absolute", r"\b(coverups?|cover[- ]ups?|schemes?|scams?)\b",
                "Drop the editorial framing; describe the documented pattern",
-               ("coverup", "coverups", "cover", "scheme", "schemes", "scam", "scams")),
+               ("coverup", "coverups", "cover", "scheme", "schemes", "scam", "scams"), "cs"),
     PhraseRule("absolute", r"\b(stunning|shocking|egregious|alarming|massive amounts? of public money|astronomical)\b",
                "Drop the superlative; let the number speak",
-               ("stunning", "shocking", "egregious", "alarming", "massive", "astronomical")),
+               ("stunning", "shocking", "egregious", "alarming", "massive", "astronomical"), "seam"),
     PhraseRule("absolute", r"\b(allegedly|reportedly|sources say|many believe|it is widely known)\b",
                "Drop the hedge and cite the specific source by name",
-               ("allegedly", "reportedly", "say", "believe", "widely")),
+               ("allegedly", "reportedly", "say", "believe", "widely"), "arsmi"),
     PhraseRule("causal", r"\bbecause of\b[^.]{0,80}\b(grant|contract|funding|donation|lobbying)\b",
                "Use temporal description: 'X occurred N days before Y'",
-               ("because",)),
+               ("because",), "b"),
     PhraseRule("causal", r"\b(caused|led to|resulted in)\b[^.]{0,80}\b(grant|contract|funding)\b",
                "Replace causal verb with 'preceded' / 'followed' or cite the source asserting the causation",
-               ("caused", "led", "resulted")),
+               ("caused", "led", "resulted"), "clr"),
     PhraseRule("causal", r"\bin (?:exchange|return) for\b",
                "Drop. This phrasing is a quid-pro-quo claim and is unsupported.",
-               ("exchange", "return")),
+               ("exchange", "return"), "i"),
     PhraseRule("causal", r"\b(this raises serious questions|warrants investigation|warrants further investigation|the public deserves answers|officials should explain)\b",
                "Drop. The reader-direction is the reader's call, not ours.",
-               ("raises", "warrants", "deserves", "explain")),
+               ("raises", "warrants", "deserves", "explain"), "two"),
 )
 
 # Fixed value: credential-shaped text.
@@ -82,8 +84,13 @@ def java_pattern(pattern: str) -> str:
 
 
 def any_phrase(rules: Sequence[PhraseRule] = PHRASE_RULES) -> str:
-    """One pattern that hits wherever any of the rules does, case ignored."""
-    return java_pattern("|".join(f"(?:{r.pattern})" for r in rules))
+    """One pattern that hits wherever any of the rules does, case ignored.
+
+    If all rules tell how their matches begin, that is tested first, once per position.
+    """
+    opens = "".join(sorted({c for r in rules for c in r.opens})) if all(r.opens for r in rules) else ""
+    screen = f"(?=[{opens}])(?<!{WORD})" if opens else ""
+    return java_pattern(screen + "(?:" + "|".join(f"(?:{r.pattern})" for r in rules) + ")")
 
 
 def anchor_words(text: ColumnLike) -> Column:

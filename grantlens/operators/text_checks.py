@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, bind, col
-from ..functions.text import PHRASE_RULES, PhraseRule, anchor_words, any_phrase, direct_quotes, java_pattern, match_and_sentence, word_count
+from ..functions.text import PHRASE_RULES, PhraseRule, anchor_words, any_phrase, direct_quotes, match_and_sentence, word_count
 from ..session import Stages, stages_of
 from .skew import distinct_keys, reduce_by
 
@@ -79,21 +79,24 @@ def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RUL
     def among(words: Column, anchors: Sequence[str]) -> Column:
         return F.arrays_overlap(words, F.array(*[F.lit(a) for a in sorted(set(anchors))]))
 
-    def hit(rule: PhraseRule) -> Column:
+    def hit(whole: Column, rule: PhraseRule) -> Column:
         def found(halves: Column) -> Column:
-            match, sentence = match_and_sentence(text, halves)
+            match, sentence = match_and_sentence(whole, halves)
             return F.when(F.size(halves) == 2, violation("CALIBRATION_LEAK", sentence, match, None, F.lit(rule.rewrite)))
 
-        return bind(F.split(col(text), java_pattern(rule.pattern), 2), found)
+        return bind(F.split(whole, any_phrase((rule,)), 2), found)
 
-    def checked(words: Column | None) -> Column:
-        hits = [F.when(among(words, rule.anchors), hit(rule)) if rule.anchors else hit(rule) for rule in rules]
+    def checked(whole: Column, words: Column | None) -> Column:
+        hits = [F.when(among(words, rule.anchors), hit(whole, rule)) if rule.anchors else hit(whole, rule) for rule in rules]
         listed = F.filter(F.array(*hits), lambda v: v.isNotNull()).cast(f"array<{VIOLATION}>")
         screens = [among(words, [a for r in anchored for a in r.anchors])] if anchored else []
-        screens += [col(text).rlike(any_phrase(others))] if others else []
+        screens += [whole.rlike(any_phrase(others))] if others else []
         return F.when(functools.reduce(Column.__or__, screens), listed).otherwise(no_violations()) if screens else no_violations()
 
-    return bind(anchor_words(text), checked) if anchored else checked(None)
+    def screened(whole: Column) -> Column:
+        return bind(anchor_words(whole), lambda words: checked(whole, words)) if anchored else checked(whole, None)
+
+    return bind(col(text), screened)  # a text put together from parts is put together once
 
 
 def calibration_sweep(
