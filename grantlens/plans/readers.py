@@ -10,7 +10,7 @@ from ..functions.provenance import evidence_hash, token_seal
 from ..operators import briefs, dossier
 from ..session import shared_path
 from ..sources import documents
-from ..sources.tables import register_views
+from ..sources.tables import load_and_gate, register_schemas, register_views
 from . import inputs as i
 from .spending import BASE
 
@@ -23,6 +23,26 @@ def qualified_tables(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("c_mktsegment").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+def schema_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables named as their owner names them: one by schema and table, one through the search path. The session's current schema stays."""
+    where = shared_path(spark, "tables")
+    for name in ("orders", "customer"):
+        i.table(spark, d, name).write.parquet(f"{where}/lens_fed/{name}.parquet")
+    i.table(spark, d, "nation").write.parquet(f"{where}/lens_cra/nation.parquet")
+    register_schemas(spark, where, ("lens_fed.orders", "lens_fed.customer", "lens_cra.nation"), search_path=("lens_fed", "lens_cra"))
+    return spark.sql("""SELECT n_name, count(*) AS orders, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total
+        FROM lens_fed.orders JOIN customer ON o_custkey = c_custkey JOIN lens_cra.nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+
+
+# Tables loaded and the rows a complete load has at least; one of them falls short.
+LOADED = {"orders": 1000, "lineitem": 1000, "customer": 100, "part": 100, "supplier": 10, "region": 6}
+
+
+def load_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Six tables loaded, each gated by the rows that its own write counted."""
+    return load_and_gate({name: i.table(spark, d, name) for name in LOADED}, shared_path(spark, "loaded"), LOADED)[1]
+
+
 def findings_scan(spark: SparkSession, d: str) -> DataFrame:
     """Finding cards written one per line and read in bulk, their evidence split again; highest indicator count first."""
     path = shared_path(spark, "findings")
@@ -97,11 +117,15 @@ def number_root_join(spark: SparkSession, d: str) -> DataFrame:
     return matched.select("entity_id", "_id", scalar.bn_root("recipient_business_number").alias("root"))
 
 
-QUERIES = {f.__name__: f for f in (qualified_tables, findings_scan, exact_evidence, register_scan, date_display, link_coding, number_root_join)}
+QUERIES = {f.__name__: f for f in (qualified_tables, schema_tables, load_gate, findings_scan, exact_evidence, register_scan, date_display, link_coding, number_root_join)}
 
 ORACLES = {
     "qualified_tables": """SELECT c_mktsegment, count(*) AS orders, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+    "schema_tables": """SELECT n_name, count(*) AS orders, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+    "load_gate": " UNION ALL ".join(f"SELECT '{name}' AS label, count(*) AS n, cast({least} AS bigint) AS expected_at_least, count(*) >= {least} AS passed FROM {name}"
+                                    for name, least in LOADED.items()),
     "findings_scan": f"""SELECT proof_id, cast(length(summary) AS int) AS "indicatorCount", cast(custkey AS varchar) AS row_id, cast(headline_value AS double) AS value_num
         FROM ({i.TOKENS_SQL}) WHERE updated_nation <> 14 AND proof_id IS NOT NULL""",
     "exact_evidence": EXACT_SQL,

@@ -256,6 +256,20 @@ PAGES_SQL = BASE + f""", {ENTITY_CURRENT},
     SELECT e.id AS entity_id, cast(coalesce(ceil(n / {PAGE_ROWS}), 0) AS int) AS pages, coalesce(ids, '') AS agreement_ids, coalesce(loop_ids, '') AS loop_ids
     FROM entities e LEFT JOIN a ON a.entity_id = e.id LEFT JOIN five f ON f.entity_id = e.id"""
 
+def dossier_values(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values in pages of two or so, taken apart again, beside their count in heads of fixed size."""
+    heads = _dossiers(spark, d, lists=False).heads
+    agreements = dossier.entity_agreements(i.entities(spark, d), i.grants(spark, d))
+    counted = heads.select("entity_id", F.inline(F.array(*[F.struct(F.lit(n).alias("list"), F.col("fed_summary")[n].alias("counted")) for n in dossier.LISTS])))
+    values = dossier.value_pages(agreements, page_values=2).select("entity_id", "list", F.explode("values").alias("value"))
+    return values.join(counted, ["entity_id", "list"])
+
+
+VALUES_SQL = BASE + f""", {ENTITY_CURRENT},
+    v AS (SELECT DISTINCT entity_id, list, value FROM (""" + " UNION ALL ".join(
+    f"SELECT entity_id, '{name}' AS list, {column} AS value FROM ac WHERE agreement_value IS NOT NULL AND {column} IS NOT NULL" for name, column in dossier.LISTS.items()
+) + """)) SELECT *, count(*) OVER (PARTITION BY entity_id, list) AS counted FROM v"""
+
 DOSSIER_SQL = BASE + f""", {ENTITY_CURRENT},
     s AS (SELECT entity_id, sum(agreement_value) AS total, count(*) AS n, min(agreement_start_date) AS a, max(agreement_end_date) AS b,
         list_sort(list(DISTINCT owner_org_title)) AS dep, list_sort(list(DISTINCT prog_name_en)) AS prog,
@@ -409,7 +423,7 @@ QUERIES = {
     for f in (
         current_version_orders, current_version_lineitem, recipient_totals, findings_feed, entity_scores, score_label_dist,
         exact_dedupe, reversal_flags, clean_payments, omitted_rollup, amendment_profile, description_gaps, comparable_grants,
-        comparable_parts, comparable_tier_counts, or_key_join, entity_dossier, dossier_pages, seed_dossiers, postal_rollup, postal_totals,
+        comparable_parts, comparable_tier_counts, or_key_join, entity_dossier, dossier_pages, dossier_values, seed_dossiers, postal_rollup, postal_totals,
         postal_lookup, fiscal_years, table_gate, impact_gate, label_audit, rescore_sensitivity,
     )
 }
@@ -442,6 +456,7 @@ ORACLES = {
     "comparable_tier_counts": COMPARABLE_SQL + " SELECT source_ref, similarity_tier AS tier, count(*) AS grants FROM best GROUP BY 1, 2",
     "or_key_join": BASE + f" SELECT entity_id, _id, ref_number FROM ({OR_JOIN})",
     "entity_dossier": DOSSIER_SQL,
+    "dossier_values": VALUES_SQL,
     "dossier_pages": PAGES_SQL,
     "seed_dossiers": SEEDS_SQL,
     "postal_rollup": BASE + f""", {FUNDED} SELECT * FROM (SELECT id, canonical_name, bn_root, cast(funding AS double) AS total_external_funding,

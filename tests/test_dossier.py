@@ -75,6 +75,39 @@ def test_large_entities_come_in_pages(spark, data):
     assert dossier.nest_dossiers(dossier.Dossiers(heads, pages)).count() == 6
 
 
+def test_values_come_in_pages_and_heads_stay_small(spark):
+    """5,000 programs of one entity: exact pages, a head without lists, a count within five standard errors."""
+    rows = spark.range(20_000).selectExpr(
+        "'e' AS entity_id", "cast(IF(id = 7, NULL, 1) AS decimal(18,2)) AS agreement_value", "date'2024-01-01' AS agreement_start_date", "date'2024-01-01' AS agreement_end_date",
+        "IF(id = 7, 'unvalued', concat('d', id % 3)) AS owner_org_title", "concat('p', id % 5000) AS prog_name_en", "'CA' AS recipient_country", "cast(NULL AS string) AS recipient_province")
+    pages = dossier.value_pages(rows, page_values=100).collect()
+    listed = {}
+    for r in pages:
+        assert r["values"] == sorted(r["values"])
+        listed.setdefault(r["list"], []).extend(r["values"])
+    assert {k: len(v) for k, v in listed.items()} == {"departments": 3, "programs": 5000, "countries": 1}
+    assert set(listed["programs"]) == {f"p{k}" for k in range(5000)} and max(len(r["values"]) for r in pages) < 200
+    summary = dossier.fed_summary(rows, lists=False).first().fed_summary
+    assert (summary.departments, summary.countries, summary.provinces) == (3, 1, 0)
+    assert abs(summary.programs - 5000) < 5 * 5000 * 1.04 / 64
+    assert dossier.value_pages(rows.limit(0)).count() == 0
+
+
+def test_names_are_posted_as_ids_and_parts(spark):
+    """Names leave the posting list as hash and part, and whole rows take part in the last joins only."""
+    df = spark.createDataFrame([(k, f"Name {k % 40}", "x" * 50) for k in range(400)], "id int, name string, wide string")
+    seeds = spark.createDataFrame([("name 1", None), ("E 39", "7")], "name string, bn string")
+    with dossier.Stages(spark) as stages:
+        seen = []
+        add = stages.add
+        stages.add = lambda made: seen.append(made._jdf.queryExecution().optimizedPlan().toString()) or add(made)
+        got = dossier.match_seeds(df, seeds, "name", stages=stages)
+        assert got.count() == 11 * 10 + 10
+    exploded = [line for plan in seen for line in plan.splitlines() if "Generate explode" in line]
+    assert exploded and not any("wide" in plan for plan in seen)
+    assert any(re.search(r"\[[\d, ]+\], false, \[part#", line) for line in exploded)  # the name itself goes no further
+
+
 def test_seeds(spark, data):
     entities, grants, violations, loops = data
     seeds = spark.createDataFrame([("alpha", "b7"), ("nobody", None), (None, "b1")], "name string, bn string")
