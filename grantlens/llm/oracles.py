@@ -45,6 +45,27 @@ def _places(pattern: str) -> str:
         FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS gaps FROM d) q, unnest(range(1, len(m) + 1)) u(i)"""
 
 
+def _allowed(m: str) -> str:
+    """The allow-list for a candidate, with the part lists of it worked out where they are used."""
+    def readable(p: str) -> str:
+        spaced = f"regexp_replace(regexp_replace(regexp_replace({p}, '[0-9]+$', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+        known = ", ".join(map(_text, secrets.KNOWN))
+        odd = f"len(list_filter(string_split({spaced}, ' '), lambda o: NOT (lower(o) IN ({known}) OR (length(o) >= 3 AND regexp_matches(o, {_text(secrets.READABLE)})))))"
+        pieces = f"len(string_split({spaced}, ' '))"
+        return f"(5 * {odd} <= {pieces} AND 10 * length(replace({spaced}, ' ', '')) >= 33 * {pieces})"
+
+    def part(p: str) -> str:
+        return f"(regexp_matches({p}, {_text(secrets.PLAIN)}) OR (regexp_matches({p}, {_text(secrets.JOINED)}) AND {readable(p)}))"
+
+    parts = f"list_filter(string_split_regex({m}, {_text(secrets.BETWEEN)}), lambda e: e <> '')"
+    others = lambda listed: f"len(list_filter({listed}, lambda p: NOT {part('p')})) = 0"
+    first = f"{parts}[1]"
+    alone = f"(regexp_matches({first}, {_text(secrets.ALONE)}) OR (regexp_matches({first}, '^[A-Za-z]+$') AND {readable(first)}))"
+    example = f"(regexp_matches({m}, '[A-Za-z0-9]=*$') AND regexp_matches({parts}[-1], 'EXAMPLE|example') AND {others(f'{parts}[:-2]')})"
+    return f"""(regexp_full_match({m}, {_text('|'.join(secrets.ALLOWED))}) OR len({parts}) = 0 OR (len({parts}) = 1 AND {alone}) OR (len({parts}) > 1 AND {others(parts)})
+        OR coalesce({example}, false))"""
+
+
 def _shapes() -> str:
     found = []
     for rank, s in enumerate(secrets.SHAPES):
@@ -54,7 +75,7 @@ def _shapes() -> str:
         w = secrets.WINDOW
         hot = f"""list_filter(range(0, length(match) - {w} + 1), lambda k: list_aggregate(string_split(substr(match, CAST(k + 1 AS BIGINT), {w}), ''), 'entropy') >= {c.bits} - 1e-9)"""
         found.append(f"""SELECT doc_id, CAST(a + hot[1] AS BIGINT) AS a, {rank} AS rank, '{c.kind}' AS kind, CAST(a + hot[-1] + {w} AS BIGINT) AS b
-            FROM (SELECT *, {hot} AS hot FROM ({_places(f'[{c.characters}]{{{w},}}')}) x WHERE NOT regexp_full_match(match, {_text('|'.join(secrets.ALLOWED))})) y
+            FROM (SELECT *, {hot} AS hot FROM ({_places(f'[{c.characters}]{{{w},}}')}) x WHERE NOT {_allowed('match')}) y
             WHERE len(hot) > 0""")
     return " UNION ALL ".join(found)
 

@@ -1,9 +1,11 @@
 """Secret scans in SQL functions: credential shapes, and sliding-window entropy over candidate strings.
 
 Candidates are runs of one character class (hexadecimal digits, base64 characters). A window slides
-over each; it keeps the count of every character and the sum of n * log2(n), both changed only by the
+over each; it keeps the count of every character and the sum of n * log2(n), both changed only at the
 character that enters and the one that leaves, so its Shannon entropy costs the same at any width.
-Candidates on the allow-list (plain words, numbers, paths of such, UUIDs, marked examples) are passed over.
+Candidates on the allow-list (words, numbers and any number of them joined, UUIDs, marked examples) are
+passed over. Words run together by capitals are words if they can be read: few pieces that are neither
+known nor hold a vowel, and pieces of 3.3 letters on average.
 The bound of a class is a share of what random characters reach in a window, so that chance repeats in a
 short random token do not hide it; what keeps text out is the allow-list.
 """
@@ -56,18 +58,17 @@ CLASSES = (
     CharacterClass("entropy_hex", "0123456789abcdefABCDEF", "0-9a-fA-F", LEAST_SHARE * reach(16, WINDOW)),
     CharacterClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "A-Za-z0-9+/_=-", LEAST_SHARE * reach(32, WINDOW)),
 )
-#: Of one case, capitalised, or such words of four letters and more run together.
-_WORD = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{3,})*|[A-Z]+)"
-_PART = f"(?:{_WORD}[0-9]{{0,4}}|[0-9]+)"
-_BETWEEN = "[/_=+-]+"
-ALLOWED = (
-    "[0-9_=-]+",
-    f"{_WORD}[/_=+-]*",
-    f"[/_=+-]*{_PART}(?:{_BETWEEN}{_PART}){{1,200}}[/_=+-]*",
-    "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    f"(?:{_PART}{_BETWEEN}){{0,20}}[A-Za-z0-9]*(?:EXAMPLE|example)[A-Za-z0-9]*=*",
-    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
-)
+#: What joins parts, a part read at once (one case or capitalised, up to four digits, or a number), and one that needs a closer look.
+BETWEEN = "[/_=+-]+"
+PLAIN = "^(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)$"
+JOINED = "^[A-Za-z]+[0-9]{0,4}$"
+ALONE = "^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"
+#: Short words and abbreviations that names are made of; all other pieces need three letters and a vowel.
+KNOWN = ("a", "an", "as", "at", "be", "by", "do", "go", "he", "id", "if", "in", "io", "is", "it", "me", "my", "no", "of", "ok", "on", "or", "so", "to", "ui",
+         "up", "us", "we", "css", "html", "http", "sql", "ssh", "tcp", "xml")
+READABLE = "^(?:[A-Z]{3,5}|[A-Z]?[a-z]*[aeiouy][a-z]*|[AEIOUY][a-z]+)$"
+#: Other candidates that are no secrets.
+ALLOWED = ("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
 SPAN = "struct<start:bigint,rank:int,kind:string,stop:bigint>"
 
 
@@ -76,14 +77,25 @@ def _quoted(text: str) -> str:
         'r"\'"' if part == "'" else f"r'{part}'" for part in text.replace("'", "\0'\0").split("\0") if part) + ")"
 
 
+def _sums(numbers: str, start: str) -> str:
+    """SQL for what each number of an array has before it, from `start`."""
+    return f"""aggregate({numbers}, named_struct('at', {start}, 'out', array_repeat(0L, 0)),
+        (s, n) -> named_struct('at', s.at + n, 'out', concat(s.out, array(s.at))), s -> s.out)"""
+
+
 def _located(text: str, pattern: str) -> str:
-    """SQL for [(start, match)] of all matches. Matches and the pieces between them alternate, so lengths add up to places."""
+    """SQL for [(start, match)] of all matches. Matches and the pieces between them alternate, so lengths add up to places.
+
+    They are added up in blocks of about the square root of their number, since an array that grows is copied each time.
+    """
     p = _quoted(pattern)
-    return f"""aggregate(arrays_zip(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0)))),
-        named_struct('at', 0L, 'found', array_repeat(named_struct('start', 0L, 'match', ''), 0)),
-        (acc, x) -> named_struct('at', acc.at + length(x.`1`) + length(x.`0`),
-            'found', concat(acc.found, array(named_struct('start', acc.at + length(x.`1`), 'match', x.`0`)))),
-        acc -> acc.found)"""
+    block = "CAST(ceil(sqrt(greatest(size(h.l), 1))) AS int)"
+    blocks = f"transform(sequence(0, greatest(CAST(ceil(size(h.l) / {block}) AS int) - 1, 0)), k -> slice(h.l, k * {block} + 1, {block}))"
+    totals = "transform(b, c -> aggregate(c, 0L, (t, n) -> t + n))"
+    before = f"transform(array({blocks}), b -> flatten(transform(arrays_zip(b, {_sums(totals, '0L')}), c -> {_sums('c.b', 'c.`1`')})))[0]"
+    held = f"""transform(array(regexp_extract_all({text}, {p}, 0)), f -> named_struct('f', f, 'g', slice(split({text}, {p}, -1), 1, size(f))))"""
+    sized = f"transform({held}, h -> named_struct('f', h.f, 'g', h.g, 'l', transform(h.f, (m, i) -> CAST(length(m) + length(h.g[i]) AS bigint))))"
+    return f"""flatten(transform({sized}, h -> transform(arrays_zip(h.f, h.g, {before}), x -> named_struct('start', x.`2` + length(x.g), 'match', x.f))))"""
 
 
 def _empty() -> str:
@@ -97,24 +109,52 @@ def shape_spans(text: str, rank: int, shape: Shape) -> Column:
     return F.expr(f"CASE WHEN {text} RLIKE {_quoted(shape.pattern)} THEN {body} ELSE {_empty()} END")
 
 
+def readable(part: str) -> str:
+    """SQL for whether letters (digits after them left out) are words run together by capitals."""
+    pieces = f"split(regexp_replace(regexp_replace(regexp_replace({part}, '[0-9]+$', ''), '([a-z])([A-Z])', '$1 $2'), '([A-Z])([A-Z][a-z])', '$1 $2'), ' ')"
+    known = ", ".join(f"'{w}'" for w in KNOWN)
+    odd = f"filter(w, o -> NOT (lower(o) IN ({known}) OR (length(o) >= 3 AND o RLIKE '{READABLE}')))"
+    return f"transform(array({pieces}), w -> 5 * size({odd}) <= size(w) AND 10 * length(array_join(w, '')) >= 33 * size(w))[0]"
+
+
+def benign(match: str, allowed: tuple[str, ...]) -> str:
+    """SQL for whether a candidate is on the allow-list. Parts are judged one by one, so their number has no bound."""
+    def part(p: str) -> str:
+        return f"({p} RLIKE '{PLAIN}' OR ({p} RLIKE '{JOINED}' AND {readable(p)}))"
+
+    alone = f"(q[0] RLIKE '{ALONE}' OR (q[0] RLIKE '^[A-Za-z]+$' AND {readable('q[0]')}))"
+    example = f"({match} RLIKE '[A-Za-z0-9]=*$' AND q[size(q) - 1] RLIKE 'EXAMPLE|example' AND forall(slice(q, 1, size(q) - 1), p -> {part('p')}))"
+    plain = f"CASE WHEN size(q) = 0 THEN true WHEN size(q) = 1 AND {alone} THEN true WHEN size(q) > 1 AND forall(q, p -> {part('p')}) THEN true ELSE {example} END"
+    parts = f"filter(split({match}, '{BETWEEN}'), p -> p <> '')"
+    others = _quoted("^(?:" + "|".join(allowed) + ")$") if allowed else "'^$'"
+    return f"({match} RLIKE {others} OR transform(array({parts}), q -> {plain})[0])"
+
+
 def entropy_spans(text: str, rank: int, kind: CharacterClass, window: int, allowed: tuple[str, ...]) -> Column:
-    """From the first to the last window of each candidate that reaches the class's entropy."""
+    """From the first to the last window of each candidate that reaches the class's entropy.
+
+    Counts are a string with a character per character of the class, of code 64 and the count, so that a step
+    reads and changes two places of it and no others.
+    """
     pattern = f"[{kind.characters}]{{{window},}}"
-    logs = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2)) + ")"
-    codes = f"transform(split(x.match, ''), c -> instr('{kind.alphabet}', c) - 1)"
-    # counts[k] is how often the class's character k stands in the window; total is the sum of n * log2(n).
-    change = f"""CASE WHEN y.`0` = y.`1` THEN acc.total ELSE acc.total
-        + {logs}[acc.counts[y.`0`] + 1] - {logs}[acc.counts[y.`0`]]
-        + IF(y.`1` < 0, 0D, {logs}[acc.counts[y.`1`] - 1] - {logs}[acc.counts[y.`1`]]) END"""
+    logs = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    gain = "array(" + ", ".join(f"{b - a!r}D" for a, b in zip(logs, logs[1:])) + ")"
+    codes = f"transform(split(x.match, ''), c -> instr('{kind.alphabet}', c))"
+
+    def step(acc: str, code: str, by: int) -> str:
+        """counts and total with one character more or less."""
+        held = f"ascii(substring({acc}.counts, {code}, 1))"
+        change = f"+ {gain}[{held} - 64]" if by > 0 else f"- {gain}[{held} - 65]"
+        return f"named_struct('counts', overlay({acc}.counts PLACING char({held} + {by}) FROM {code} FOR 1), 'total', {acc}.total {change})"
+
+    both = "named_struct('counts', acc.counts, 'total', acc.total)"
+    into = f"transform(array({step('acc', 'y.`0`', 1)}), e -> IF(y.`1` < 0, e, {step('e', 'y.`1`', -1)}))[0]"
+    hot = f"y.`2` >= {window} AND {math.log2(window)!r}D - m.total / {window} >= {kind.bits!r}D"
     slid = f"""aggregate(arrays_zip({codes}, concat(array_repeat(-1, {window}), {codes}), sequence(1, length(x.match))),
-        named_struct('counts', array_repeat(0, {len(kind.alphabet)}), 'total', 0D, 'first', -1, 'last', -1),
-        (acc, y) -> CASE WHEN y.`2` IS NULL THEN acc ELSE named_struct(
-            'counts', transform(acc.counts, (n, k) -> n + CAST(k = y.`0` AS int) - CAST(k = y.`1` AS int)),
-            'total', {change},
-            'first', IF(acc.first < 0 AND y.`2` >= {window} AND {math.log2(window)!r}D - ({change}) / {window} >= {kind.bits!r}D, y.`2` - {window}, acc.first),
-            'last', IF(y.`2` >= {window} AND {math.log2(window)!r}D - ({change}) / {window} >= {kind.bits!r}D, y.`2`, acc.last)) END)"""
-    benign = "^(?:" + "|".join(allowed) + ")$"
-    body = f"""transform(filter(transform(filter({_located(text, pattern)}, x -> NOT x.match RLIKE {_quoted(benign)}),
+        named_struct('counts', repeat('@', {len(kind.alphabet)}), 'total', 0D, 'first', -1, 'last', -1),
+        (acc, y) -> CASE WHEN y.`2` IS NULL THEN acc ELSE transform(array(IF(y.`0` = y.`1`, {both}, {into})), m -> named_struct(
+            'counts', m.counts, 'total', m.total, 'first', IF(acc.first < 0 AND {hot}, y.`2` - {window}, acc.first), 'last', IF({hot}, y.`2`, acc.last)))[0] END)"""
+    body = f"""transform(filter(transform(filter({_located(text, pattern)}, x -> NOT {benign('x.match', allowed)}),
             x -> named_struct('at', x.start, 'slid', {slid})), x -> x.slid.first >= 0),
         x -> named_struct('start', x.at + x.slid.first, 'rank', {rank}, 'kind', '{kind.kind}', 'stop', x.at + x.slid.last))"""
     return F.expr(f"CASE WHEN {text} RLIKE {_quoted(pattern)} THEN {body} ELSE {_empty()} END")

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from . import decontam, langid, packing, secrets, simhash
 from .common import shipped, stage, table
 
-#: Below this mean probability no language is better than a guess among four.
-LEAST_SCORE = 0.3
+def least_score(languages: int) -> float:
+    """A fifteenth of the way from a guess among so many languages to certainty: 0.3 among four."""
+    guess = 1 / languages
+    return guess + (1 - guess) / 15
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language go: no letter, or no language above a guess."""
-    found = langid.identify(docs, carry=True)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    """Documents without a determined language go: no letter, or no language beyond a guess among those learned."""
+    training = langid.Training()
+    model = langid.train(langid.sample(docs, training, "doc_id", "text", "lang"), training)
+    found = langid.predict(docs, model, "doc_id", "text", carry=True)
+    bound = least_score(len(model.languages)) - 1e-9 if model else 0.0
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= bound)).select("row.*")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

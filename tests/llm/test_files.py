@@ -156,7 +156,7 @@ def brute_stages(docs, items, languages):
     from test_duplicates import brute_contamination, brute_simhash
     from test_native_text import base_spans, entropy_spans
 
-    docs = [d for d, (name, score) in zip(docs, languages, strict=True) if name != "und" and score >= stages.LEAST_SCORE]
+    docs = [d for d, (name, score) in zip(docs, languages, strict=True) if name != "und" and score >= stages.least_score(len({n for n, _ in languages} - {"und"})) - 1e-9]
     yield docs
     kept, seen = [], set()
     for d, (doc_id, _, low) in zip(docs, brute_simhash([(d[0], d[1]) for d in docs]), strict=True):
@@ -230,3 +230,8 @@ def test_groups_that_share_their_smallest_id_keep_a_row_each(spark):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "best_fit_packing"]
+
+
+def test_language_bound_follows_the_number_of_languages():
+    assert [round(stages.least_score(n), 3) for n in (1, 2, 4, 10)] == [1.0, 0.533, 0.3, 0.16]
+    assert all(1 / n < stages.least_score(n) < 1 for n in range(2, 300))  # above a guess, within reach

@@ -214,3 +214,16 @@ def test_training_grows_with_the_corpus():
 def test_network_has_sixteen_units():
     """Twelve were a smaller model for lower figures: held-out log10 likelihood a token on sf0.01 -3.8437 against -3.8058."""
     assert lm.Training().hidden == 16
+
+
+@pytest.mark.parametrize("count", [2, 10])
+def test_language_stage_with_few_and_many_languages(spark, count):
+    """Texts of the learned languages stay, two or ten of them; a text without a letter goes."""
+    from grantlens.llm import stages
+
+    rng = np.random.default_rng(count)
+    words = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz")[2 * k:2 * k + 6], 5)) for _ in range(40)] for k in range(count)}
+    rows = [(k, " ".join(rng.choice(words[f"l{k % count}"], 60)), f"l{k % count}") for k in range(60 * count)]
+    docs = spark.createDataFrame([*rows, (-1, "123 --- 456", "l0")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in stages.languages(spark, docs, "").collect()}
+    assert -1 not in kept and len(kept) > 0.97 * len(rows)
