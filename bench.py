@@ -30,6 +30,12 @@ HEADLINE = (
 )
 
 
+def cpu_seconds(pid: int) -> float:
+    """CPU time that a process has used so far."""
+    fields = Path(f"/proc/{pid}/stat").read_text().rsplit(")", 1)[1].split()
+    return (int(fields[11]) + int(fields[12])) / os.sysconf("SC_CLK_TCK")
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -38,17 +44,20 @@ def main() -> None:
     spark = local_session(cores=cores, shuffle_partitions=int(cores) if cores.isdigit() else 8,
                           shared_dir=os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-"))
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    session = spark._jvm.java.lang.ProcessHandle.current().pid()
+    seconds, cpu = {}, {}
     for name in only or HEADLINE:
-        laps = []
+        laps, used = [], []
         for _ in range(runs + 1):
-            start = time.perf_counter()
+            start, before = time.perf_counter(), cpu_seconds(session)
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             laps.append(time.perf_counter() - start)
+            used.append(cpu_seconds(session) - before)
         seconds[name] = round(statistics.median(laps[1:]), 3)
+        cpu[name] = round(statistics.median(used[1:]), 2)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({
-        "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds,
+        "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "cpu": cpu,
         "sf": Path(sf_dir).name.removeprefix("sf"),
     }))
     spark.stop()
