@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import comparables, dossier, guards, scoring
-from ..sources.tables import row_count_gate
+from ..operators import comparables, dossier, guards, parameterised, scoring
+from ..session import shared_path
+from ..sources.tables import register_schemas, row_count_gate
 from . import inputs as i
 
 CURRENT = """SELECT * FROM (
@@ -354,6 +355,32 @@ def postal_lookup(spark: SparkSession, d: str) -> DataFrame:
     return dossier.postal_lookup(i.entities(spark, d), "h3 A0b1").drop("dataset_sources").transform(money("total_external_funding"))
 
 
+def _catalogued(spark: SparkSession, d: str) -> None:
+    """The inputs as tables of the schemas that the SQL names."""
+    where = shared_path(spark, "tables")
+    tables = {"general.entity_golden_records": i.entities, "fed.grants_contributions": i.grants, "cra.t3010_impossibilities": i.violations,
+              "cra.loop_universe": i.loops, "ab.ab_grants": i.payments}
+    for name, made in tables.items():
+        made(spark, d).write.parquet(f"{where}/{name.replace('.', '/')}.parquet")
+    register_schemas(spark, where, tables)
+
+
+def findings_feed_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The feed by SQL with named parameters."""
+    _catalogued(spark, d)
+    return parameterised.findings_feed(spark, limit=40, floor=9).drop("dataset_sources").transform(money("fed_total_commitment"))
+
+
+def postal_lookup_sql(spark: SparkSession, d: str) -> DataFrame:
+    _catalogued(spark, d)
+    return parameterised.postal_lookup(spark, "h3 A0b1").drop("dataset_sources").transform(money("total_external_funding"))
+
+
+def clean_payments_sql(spark: SparkSession, d: str) -> DataFrame:
+    _catalogued(spark, d)
+    return _payment_columns(parameterised.clean_payments(spark), "has_reversal_pair")
+
+
 def fiscal_years(spark: SparkSession, d: str) -> DataFrame:
     o = i.table(spark, d, "orders")
     return o.groupBy(
@@ -423,7 +450,7 @@ QUERIES = {
     for f in (
         current_version_orders, current_version_lineitem, recipient_totals, findings_feed, entity_scores, score_label_dist,
         exact_dedupe, reversal_flags, clean_payments, omitted_rollup, amendment_profile, description_gaps, comparable_grants,
-        comparable_parts, comparable_tier_counts, or_key_join, entity_dossier, dossier_pages, dossier_values, seed_dossiers, postal_rollup, postal_totals,
+        findings_feed_sql, postal_lookup_sql, clean_payments_sql, comparable_parts, comparable_tier_counts, or_key_join, entity_dossier, dossier_pages, dossier_values, seed_dossiers, postal_rollup, postal_totals,
         postal_lookup, fiscal_years, table_gate, impact_gate, label_audit, rescore_sensitivity,
     )
 }
@@ -464,6 +491,11 @@ ORACLES = {
     "postal_totals": BASE + f", {FUNDED} SELECT postal_code, count(*) AS entities, cast(sum(funding) AS double) AS total_external_funding FROM funded GROUP BY 1",
     "postal_lookup": BASE + f""", {FUNDED} SELECT id, canonical_name, bn_root, cast(funding AS double) AS total_external_funding
         FROM funded WHERE postal_code = 'H3A0B1' ORDER BY funding DESC, id LIMIT 50""",
+    "postal_lookup_sql": BASE + f""", {FUNDED} SELECT id, canonical_name, bn_root, cast(funding AS double) AS total_external_funding
+        FROM funded WHERE postal_code = 'H3A0B1' ORDER BY funding DESC, id LIMIT 50""",
+    "findings_feed_sql": BASE + f", {SCORED} SELECT {FEED_COLUMNS} FROM scored WHERE composite_score >= 9"
+    " ORDER BY composite_score DESC, fed_total_commitment DESC NULLS LAST, entity_id LIMIT 40",
+    "clean_payments_sql": BASE + f", {PAIRED} SELECT {PAYMENT_SQL}, has_reversal_pair FROM paired WHERE NOT has_reversal_pair OR amount > 0",
     "fiscal_years": """SELECT cast(year(o_orderdate + INTERVAL 9 MONTH) AS int) AS fiscal_year, cast(year(o_orderdate) + 1 AS int) AS coded_year, count(*) AS orders,
         cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total FROM orders GROUP BY 1, 2""",
     "table_gate": " UNION ALL ".join(
