@@ -227,3 +227,10 @@ def test_language_stage_with_few_and_many_languages(spark, count):
     docs = spark.createDataFrame([*rows, (-1, "123 --- 456", "l0")], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in stages.languages(spark, docs, "").collect()}
     assert -1 not in kept and len(kept) > 0.97 * len(rows)
+
+
+@pytest.mark.parametrize("parts", [8, 64, 200])
+def test_own_rows_of_batches_are_spread(parts):
+    """The first batches of many tasks, one each, reach all partitions about evenly, whatever their number."""
+    seen = Counter(lm.home(task << 32, parts) for task in range(100 * parts))
+    assert len(seen) == parts and max(seen.values()) < 160
