@@ -58,13 +58,18 @@ def test_plan_shape(spark, name):
         assert forbidden not in text
 
 
-@pytest.mark.parametrize("name", ["current_version_orders", "exact_dedupe", "clean_payments", "postal_rollup", "find_tokens"])
+@pytest.mark.parametrize("name", ["current_version_orders", "exact_dedupe", "postal_rollup", "find_tokens"])
 def test_ranked_queries_prune_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, str(SF_DIR)))
     partial = text.index("WindowGroupLimit", text.index("Exchange hashpartitioning"))
     assert "Partial" in text[partial:]
 
 
+def test_payments_combine_before_their_only_shuffle(spark):
+    text = plan(QUERIES["clean_payments"](spark, str(SF_DIR)))
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_min" in text[text.index("Exchange hashpartitioning"):]
+
+
 def test_feed_shuffles_entities_once(spark):
     text = plan(QUERIES["entity_scores"](spark, str(SF_DIR)))
     keyed = re.findall(r"Exchange hashpartitioning\(entity_key", text)
