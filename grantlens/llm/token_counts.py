@@ -28,6 +28,10 @@ CACHE = "content binary, n_tokens long, tokenizer string"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters encoded in one call of the library; a longer text is a call of its own.
 AT_ONCE = 1 << 18
+#: Splits that no white space belongs to: what they find in a text they find in its words.
+SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: Words whose counts a worker keeps, and the bytes of the longest of them.
+KEEP, WORD_BYTES = 1 << 19, 64
 #: Missing digests of at most this many bytes travel to every task; more are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -59,6 +63,26 @@ def folds_space(path: str) -> bool:
     return False
 
 
+def counts_by_words(path: str) -> bool:
+    """Whether a text has the tokens of its words, ASCII white space between them.
+
+    So it is where white space is folded and then removed by a split that keeps none of it, so that no token,
+    composed letter or added token reaches across.
+    """
+    if not folds_space(path):
+        return False
+    with open(path, encoding="utf-8") as file:
+        definition = json.load(file)
+    if any(token.get("single_word") for token in definition.get("added_tokens") or []):
+        return False
+    steps = definition.get("pre_tokenizer") or {}
+    first, *rest = steps.get("pretokenizers") or [steps]
+    kept = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern", {}).get("Regex") in SPLITS
+    follow = [step["type"] for step in definition["normalizer"]["normalizers"]]
+    return bool(kept) and set(follow[follow.index("Replace") + 1:]) <= {"Lowercase"} and all(
+        step["type"] == "ByteLevel" and not step["add_prefix_space"] and not step["use_regex"] for step in rest)
+
+
 def version(path: str) -> str:
     """The tokenizer's digest: another file, library version or normal form never meets the counts of this one."""
     if path.endswith(".json"):
@@ -86,6 +110,41 @@ def counter(path: str):
     return lambda texts: [len(ids) for ids in pieces.encode(texts, add_bos=False, add_eos=False, num_threads=1)]
 
 
+def in_calls(count, texts: list) -> list[int]:
+    """The counts of texts, in calls of bounded size."""
+    counts, held, size = [], [], 0
+    for text in texts:
+        if held and size + len(text) > AT_ONCE:
+            counts += count(held)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    return counts + (count(held) if held else [])
+
+
+@lru_cache(maxsize=2)
+def byte_counter(path: str):
+    """The same for texts in UTF-8. Where a text has the tokens of its words, the library gets each word once."""
+    count, known = counter(path), {}
+
+    def by_texts(texts: list[bytes]) -> list[int]:
+        return in_calls(count, [t.decode("utf-8", "replace") for t in texts])
+
+    def by_words(texts: list[bytes]) -> list[int]:
+        words = [t.split() for t in texts]
+        new = list(set().union(*words) - known.keys())
+        known.update(zip(new, by_texts(new), strict=True))
+        counts = [sum(map(known.__getitem__, w)) for w in words]
+        if len(known) > KEEP or any(len(w) > WORD_BYTES for w in new):
+            # The first words of a corpus are its frequent ones.
+            for w in new:
+                if len(known) > KEEP or len(w) > WORD_BYTES:
+                    del known[w]
+        return counts
+
+    return by_words if counts_by_words(path) else by_texts
+
+
 def normalised(text: Column, path: str) -> Column:
     whole = F.coalesce(text, F.lit(""))
     return F.regexp_replace(whole, SPACE, " ") if folds_space(path) else whole
@@ -96,17 +155,9 @@ def encoded(contents: DataFrame, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine's
-        count = counter(path)
+        count = byte_counter(path)
         for batch in batches:
-            texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            counts, held, size = [], [], 0
-            for text in texts:
-                if held and size + len(text) > AT_ONCE:
-                    counts += count(held)
-                    held, size = [], 0
-                held.append(text)
-                size += len(text)
-            counts += count(held) if held else []
+            counts = in_calls(count, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
     return contents.mapInArrow(rows, "content binary, n_tokens long")

@@ -87,3 +87,32 @@ def test_folding_space_changes_no_count():
         text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
         folded = re.sub(tc.SPACE, " ", text)
         assert library.encode(text, add_special_tokens=False).ids == library.encode(folded, add_special_tokens=False).ids, text
+
+
+def test_each_word_is_encoded_once(monkeypatch):
+    rng = random.Random(5)
+    pieces = [" ", "  ", "\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u0301", "\u030a", "a", "W", "\u00c5", "\u03a3", "'s", "'", "<|endoftext|>", "<|", "7", "\u1112", "\u1161", "!", "\u0130"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(3000)] + [t or "" for t in TEXTS] + ["bytes \ufffd"]
+    assert tc.counts_by_words(PATH)
+    asked, library = [], tc.counter(PATH)
+    monkeypatch.setattr(tc, "counter", lambda path: lambda batch: asked.extend(batch) or library(batch))
+    for keep in (1 << 19, 10):
+        monkeypatch.setattr(tc, "KEEP", keep)
+        count = tc.byte_counter.__wrapped__(PATH)
+        got = [c for at in range(0, len(texts), 100) for c in count([t.encode() for t in texts[at:at + 100]])]
+        assert got == want(texts)
+    asked.clear()
+    count = tc.byte_counter.__wrapped__(PATH)
+    monkeypatch.setattr(tc, "KEEP", 100)
+    assert [count([b"one two one"] * 50), count([b"two  one"])] == [[3] * 50, [2]] and sorted(asked) == ["one", "two"]
+    assert count([b"bad \xff\xfe x"]) == want(["bad \ufffd\ufffd x"])
+
+
+def test_words_stand_alone_only_under_a_known_split(tmp_path):
+    import json
+
+    definition = json.loads(open(PATH, encoding="utf-8").read())
+    for change in ({"pre_tokenizer": None}, {"normalizer": None}, {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": r"\s?\p{L}+"}, "behavior": "Removed", "invert": True}}):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(definition | change), encoding="utf-8")
+        assert not tc.counts_by_words(str(path))
