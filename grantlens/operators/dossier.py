@@ -203,7 +203,9 @@ def nest_dossiers(dossiers: Dossiers) -> DataFrame:
 
 # --- seed look-ups ----------------------------------------------------------------------------
 
-GRAM = 3
+# Lengths of the parts by which names are listed. A seed uses the greatest that its longest literal holds, so the parts
+# of a seed say two thirds of the literal and more, and no part is common just because it is short.
+GRAMS = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64)
 
 
 def _literal(pattern: str) -> Column:
@@ -213,39 +215,63 @@ def _literal(pattern: str) -> Column:
 
 
 def _grams(text: Column, size: int) -> Column:
+    """Hashes of the distinct parts of a length; a shorter text has none."""
     if not size:
-        return F.array(F.lit(""))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))))
+        return F.array(F.xxhash64(F.lit("")))
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    hashed = F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.substring(text, at, F.lit(size)))))
+    return F.when(F.length(text) >= size, hashed).otherwise(F.array().cast("array<long>"))
 
 
 def name_matches(names: DataFrame, seeds: DataFrame, stages: Stages | None = None) -> DataFrame:
     """(name, seed) wherever a lower-case name of the one column of names contains a seed, % and _ matching as in LIKE.
 
-    A posting list holds (part, name's hash): the three-letter parts of every distinct name. A name that
-    contains a seed also contains each part of the seed's longest literal, so the two meet on the one of these
-    that fewest names have. The parts so chosen filter the posting list before it is shuffled, and LIKE
-    confirms. Seeds whose literal is shorter than three letters use all they have.
+    A posting list holds (part's hash, name's hash): the parts of every distinct name, of the few lengths that the
+    seeds use. A name that contains a seed also contains each part of the seed's longest literal, so the two meet
+    on the one of these that fewest names have, and LIKE confirms. Parts grow with the literal, for three letters are
+    in a fixed share of the names and would meet names times seeds. A name has at most its length times the lengths used.
     """
     stages = stages or stages_of(names.sparkSession)
     column = names.columns[0]
     names = stages.add(distinct_keys(names.filter(F.col(column).isNotNull()).select(F.col(column).alias("name")), "name")
                        .select("name", F.xxhash64("name").alias("h")))
+    near = _near(names, seeds, stages).join(names, "h")
+    like = F.like(F.col("name"), F.lower(F.concat(F.lit("%"), "seed", F.lit("%"))))
+    plain = ~F.col("seed").rlike(r"[%_\\]")
+    return stages.add(near.filter(F.when(plain, F.contains("name", F.lower("seed"))).otherwise(like)).select("name", "seed").distinct())
+
+
+def _near(names: DataFrame, seeds: DataFrame, stages: Stages) -> DataFrame:
+    """(h, seed) wherever a name of names(name, h) holds the rarest part of a seed."""
     wanted = distinct_keys(seeds.select(F.col("name").alias("seed")).filter(F.col("seed").isNotNull()), "seed")
-    sized = wanted.withColumn("_literal", _literal("seed")).withColumn("_size", F.least(F.length("_literal"), F.lit(GRAM)))
-    sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())  # at most GRAM + 1 of them
+    length = F.length("_literal")
+    held = F.greatest(F.lit(0), *[F.when(length >= n, n) for n in GRAMS])
+    sized = wanted.withColumn("_literal", _literal("seed")).withColumn("_size", held)
+    sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())  # at most GRAMS and 0
     if not sizes:
-        return names.limit(0).select("name", F.col("name").alias("seed"))
-    posted = names.select("h", F.explode(F.array_distinct(F.concat(*[_grams(F.col("name"), n) for n in sizes]))).alias("part"))
-    own = F.concat(*[F.when(F.col("_size") == n, _grams(F.col("_literal"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+        return names.limit(0).select("h", F.col("name").alias("seed"))
+    posted = names.select("h", F.explode(F.concat(*[_grams(F.col("name"), n) for n in sizes])).alias("part"))
+    own = F.concat(*[F.when(F.col("_size") == n, _grams(F.col("_literal"), n)).otherwise(F.array().cast("array<long>")) for n in sizes])
     asked = sized.select("seed", F.explode(own).alias("part"))
     common = posted.groupBy("part").agg(F.count("*").alias("n"))
     # A part that no name has rules its seed out.
     rare = asked.join(common, "part", "left").groupBy("seed", spread("seed")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("part").alias("part"))).alias("least"))
     keyed = stages.add(rare.filter("least.n > 0").select("seed", F.col("least.part").alias("part")))
-    near = posted.join(keyed, "part").select("h", "seed").join(names, "h")
-    like = F.like(F.col("name"), F.lower(F.concat(F.lit("%"), "seed", F.lit("%"))))
-    return stages.add(near.filter(like).select("name", "seed").distinct())
+    return posted.join(keyed, "part").select("h", "seed")
+
+
+def _wanted(seeds: DataFrame, by_root: bool = False) -> DataFrame:
+    return seeds.select(F.col("name").alias("seed"), matching_number("bn", by_root).alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
+
+
+def _by_name(df: DataFrame, matches: DataFrame, name: str) -> DataFrame:
+    """Rows with each seed that their name contains, and what else matches tell."""
+    return df.join(matches.withColumnRenamed("name", "_name"), F.lower(F.col(name)) == F.col("_name")).drop("_name")
+
+
+def _by_number(df: DataFrame, wanted: DataFrame, bn: str, by_root: bool = False) -> DataFrame:
+    """Rows with each seed whose number is theirs."""
+    return df.join(wanted.filter(F.col("_seed_bn").isNotNull()), matching_number(bn, by_root) == F.col("_seed_bn"))
 
 
 def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = None, by_root: bool = False,
@@ -257,14 +283,17 @@ def match_seeds(df: DataFrame, seeds: DataFrame, name: str, bn: str | None = Non
     """
     if matches is None:
         matches = name_matches(df.select(F.lower(F.col(name)).alias("name")), seeds, stages)
-    wanted = seeds.select(F.col("name").alias("seed"), matching_number("bn", by_root).alias("_seed_bn")).filter(F.col("seed").isNotNull()).distinct()
-    by_name = matches.select(F.col("name").alias("_name"), "seed").join(wanted, "seed")
+    wanted = _wanted(seeds, by_root)
+    named = _by_name(df, matches.join(wanted, "seed"), name)
     if bn is None:
-        return df.join(by_name, F.lower(F.col(name)) == F.col("_name")).drop("_name", "_seed_bn")
+        return named.drop("_seed_bn")
     same = matching_number(bn, by_root) == F.col("_seed_bn")
-    named = df.join(by_name, F.lower(F.col(name)) == F.col("_name")).filter(~F.coalesce(same, F.lit(False))).drop("_name")
-    numbered = df.join(wanted.filter(F.col("_seed_bn").isNotNull()), same)
-    return numbered.unionByName(named).drop("_seed_bn")
+    return _by_number(df, wanted, bn, by_root).unionByName(named.filter(~F.coalesce(same, F.lit(False)))).drop("_seed_bn")
+
+
+def _times(df: DataFrame, count: str, most: int) -> DataFrame:
+    """Each row as often as it counts, most times at most."""
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.least(F.col(count), F.lit(most)).cast("int")))).drop("_copy", count)
 
 
 def _top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -283,29 +312,36 @@ def seed_dossiers(
 ) -> dict[str, DataFrame]:
     """For every row of seeds(name, bn): matching entities, their loops and violations, and matching current agreements.
 
-    The names of both tables make one list of distinct names that meets the seeds once.
+    The names of both tables make one list of distinct names that meets the seeds once. Seeds of one name and
+    several numbers count each; they are carried as a number, and only as many copies as a list can hold are made of a row.
     """
     stages = stages or stages_of(entities.sparkSession)
     known = entities.select(F.lower("canonical_name").alias("name")).unionByName(grants.select(F.lower("recipient_legal_name").alias("name")))
     matches = name_matches(known, seeds, stages)
-    golden = _top(match_seeds(entities, seeds, "canonical_name", "bn_root", matches=matches), [F.col("id")], limits["golden"])
-    named = match_seeds(entities.filter(F.col("bn_root").isNotNull()), seeds, "canonical_name", matches=matches).select("seed", F.col("bn_root").alias("bn"))
+    wanted = _wanted(seeds)
+    counted = matches.join(reduce_by(wanted, ["seed"], F.count("*").alias("_seeds")), "seed")
+    by_name = _by_name(entities, counted, "canonical_name")
+    by_number = _by_number(entities, wanted, "bn_root").drop("_seed_bn").withColumn("_name", F.lower("canonical_name"))
+    by_number = by_number.join(matches.withColumnRenamed("name", "_name"), ["_name", "seed"], "left_anti").drop("_name")
+    golden = by_number.withColumn("_seeds", F.lit(1).cast("long")).unionByName(by_name)
+    golden = _top(_times(golden, "_seeds", limits["golden"]), [F.col("id")], limits["golden"])
+    # two entities may share a number: each counts for its loops and violations, as in a plain join
+    named = by_name.filter(F.col("bn_root").isNotNull()).groupBy("seed", F.col("bn_root").alias("bn")).agg(F.sum("_seeds").alias("entities"))
     named = stages.add(named)
     loop_rows = _top(
-        loops.select(*LOOP_FIELDS).join(named, "bn"),
+        _times(loops.select(*LOOP_FIELDS).join(named, "bn"), "entities", limits["loops"]),
         [F.col("score").desc_nulls_last(), F.col("total_loops").desc_nulls_last(), F.col("bn"), F.col("legal_name")],
         limits["loops"],
     )
-    found = match_seeds(grants, seeds, "recipient_legal_name", "recipient_business_number", matches=matches)
+    # a row found by name and by number, or by several numbers, is one row of its group
+    found = _by_name(grants, matches, "recipient_legal_name").unionByName(_by_number(grants, wanted, "recipient_business_number").drop("_seed_bn"))
     keys = [F.col("seed"), F.col("ref_number"), recipient_partition_key("recipient_business_number", "recipient_legal_name", "_id")]
     agreements = _top(
         current_version(found, keys=keys),
         [F.col("agreement_value").desc_nulls_last(), F.col("_id")],
         limits["agreements"],
     )
-    # two entities may share a number: each contributes the number's violations once, as a plain join does
-    shares = named.groupBy("seed", "bn").agg(F.count("*").alias("entities"))
-    counted = violation_counts(violations).join(shares, "bn").select(
+    counted = violation_counts(violations).join(named, "bn").select(
         "seed", "bn", (F.col("arithmetic_violations") * F.col("entities")).alias("arithmetic_violations")
     )
     violation_rows = _top(counted, [F.col("bn")], limits["violations"])

@@ -8,6 +8,7 @@ from decimal import Decimal as D
 import pytest
 
 from grantlens.operators import dossier
+from grantlens.session import Stages
 
 ENTITY = "id string, canonical_name string, bn_root string, dataset_sources array<string>, addresses array<struct<postal_code:string>>, fed_profile string, ab_profile string"
 GRANT = (
@@ -156,3 +157,30 @@ def test_postal(spark, data):
     assert [(r.id, r.total_external_funding) for r in rows] == [("e1", D("7.50")), ("e2", D("0.00"))]
     everywhere = dossier.postal_rollup(entities).orderBy("position").collect()
     assert [(r.postal_code, r.id) for r in everywhere] == [("K1A0A6", "e1"), ("K1A0A6", "e2")]
+
+
+def test_a_seed_meets_few_names_however_many_there_are(spark):
+    """Numbered names share their three-letter parts; each seed must meet the names that hold most of it alone."""
+    names = spark.range(3000).selectExpr("concat('customer#', lpad(cast(id AS string), 9, '0')) AS name").selectExpr("name", "xxhash64(name) AS h")
+    seeds = names.selectExpr("upper(name) AS name", "CAST(NULL AS string) AS bn")
+    with Stages(spark) as stages:
+        assert dossier._near(names, seeds, stages).count() == 3000
+        assert dossier.name_matches(names.select("name"), seeds, stages).count() == 3000
+
+
+def test_seeds_of_one_name_and_many_numbers_count_each(spark):
+    entities = spark.createDataFrame([(f"E{k}", "Alpha", f"b{k}") for k in range(4)] + [("F", "Beta", "b9")], "id string, canonical_name string, bn_root string")
+    grants = spark.createDataFrame(
+        [(1, "r1", None, "b1", "Alpha", 5), (2, "r2", None, "b9", None, 7), (3, "r3", None, "b8", "Gamma", 9)],
+        "_id long, ref_number string, amendment_number string, recipient_business_number string, recipient_legal_name string, agreement_value int")
+    violations = spark.createDataFrame([("b1",), ("b1",)], "bn string")
+    loops = spark.createDataFrame([("b1", "Alpha", 3, 1, 0.0, 0.0), ("b2", "Alpha", 4, 1, 0.0, 0.0)],
+                                  "bn string, legal_name string, score int, total_loops int, max_bottleneck double, total_circular_amt double")
+    seeds = spark.createDataFrame([("alpha", f"b{k}") for k in range(1, 300) if k != 8], "name string, bn string")
+    parts = dossier.seed_dossiers(seeds, entities, grants, violations, loops)
+    assert [r.id for r in parts["golden"].orderBy("position").collect()] == ["E0"] * 5
+    assert [r.bn for r in parts["loops"].orderBy("position").collect()] == ["b2"] * 5
+    assert [r._id for r in parts["agreements"].orderBy("position").collect()] == [2, 1]
+    assert [(r.bn, r.arithmetic_violations) for r in parts["violations"].collect()] == [("b1", 2 * 298)]
+    numbered = dossier.seed_dossiers(seeds.filter("bn = 'b9'"), entities, grants, violations, loops)["golden"]
+    assert [r.id for r in numbered.orderBy("position").collect()] == ["E0", "E1", "E2", "E3", "F"]
