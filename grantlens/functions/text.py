@@ -16,7 +16,8 @@ from .scalar import SPACE, ColumnLike, col, js_trim
 class PhraseRule:
     """anchors may list words (ASCII, lower case) of which every match holds at least one, as a whole word.
 
-    opens may list the letters (lower case) with which every match begins, at the start of a word. Both only save
+    holds may list longer literal texts (ASCII, lower case) of which every match holds one; they are looked for in
+    place of the anchors. opens may list the letters (lower case) with which every match begins, at the start of a word. Both only save
     time: a rule runs where a text has one of its anchors, a rule without any runs everywhere.
     """
 
@@ -25,6 +26,7 @@ class PhraseRule:
     rewrite: str
     anchors: tuple[str, ...] = ()
     opens: str = ""
+    holds: tuple[str, ...] = ()
 
 
 # Forbidden phrase patterns (matched without regard to case) and the advice given.
@@ -34,13 +36,13 @@ PHRASE_RULES = (
                ("fraud", "fraudulent", "corrupt", "corruption", "crime", "criminal", "illegal", "illegally"), "fci"),
     PhraseRule("absolute", r"\b(should have|ought to have|was supposed to)\b",
                "Use 'comparable filings typically state…' or 'records do not contain…'",
-               ("should", "ought", "supposed"), "sow"),
+               ("should", "ought", "supposed"), "sow", ("should have", "ought to have", "was supposed to")),
     PhraseRule("absolute", r"\b(proves?|proven|definitely|certainly|clearly shows?)\b",
                "Use 'records indicate…' or 'the dataset shows…'",
                ("prove", "proves", "proven", "definitely", "certainly", "clearly"), "pdc"),
     PhraseRule("absolute", r"\b(failed to|refused to|deliberately|intentionally|knowingly)\b",
                "Use 'the dataset does not show…' or 'public records do not contain…'",
-               ("failed", "refused", "deliberately", "intentionally", "knowingly"), "frdik"),
+               ("failed", "refused", "deliberately", "intentionally", "knowingly"), "frdik", ("failed to", "refused to", "deliberately", "intentionally", "knowingly")),
     PhraseRule("absolute", r"\b(coverups?|cover[- ]ups?|schemes?|scams?)\b",
                "Drop the editorial framing; describe the documented pattern",
                ("coverup", "coverups", "cover", "scheme", "schemes", "scam", "scams"), "cs"),
@@ -49,16 +51,16 @@ PHRASE_RULES = (
                ("stunning", "shocking", "egregious", "alarming", "massive", "astronomical"), "seam"),
     PhraseRule("absolute", r"\b(allegedly|reportedly|sources say|many believe|it is widely known)\b",
                "Drop the hedge and cite the specific source by name",
-               ("allegedly", "reportedly", "say", "believe", "widely"), "arsmi"),
+               ("allegedly", "reportedly", "say", "believe", "widely"), "arsmi", ("allegedly", "reportedly", "sources say", "many believe", "it is widely known")),
     PhraseRule("causal", r"\bbecause of\b[^.]{0,80}\b(grant|contract|funding|donation|lobbying)\b",
                "Use temporal description: 'X occurred N days before Y'",
-               ("because",), "b"),
+               ("because",), "b", ("because of",)),
     PhraseRule("causal", r"\b(caused|led to|resulted in)\b[^.]{0,80}\b(grant|contract|funding)\b",
                "Replace causal verb with 'preceded' / 'followed' or cite the source asserting the causation",
-               ("caused", "led", "resulted"), "clr"),
+               ("caused", "led", "resulted"), "clr", ("caused", "led to", "resulted in")),
     PhraseRule("causal", r"\bin (?:exchange|return) for\b",
                "Drop. This phrasing is a quid-pro-quo claim and is unsupported.",
-               ("exchange", "return"), "i"),
+               ("exchange", "return"), "i", ("in exchange for", "in return for")),
     PhraseRule("causal", r"\b(this raises serious questions|warrants investigation|warrants further investigation|the public deserves answers|officials should explain)\b",
                "Drop. The reader-direction is the reader's call, not ours.",
                ("raises", "warrants", "deserves", "explain"), "two"),
@@ -93,10 +95,10 @@ def any_phrase(rules: Sequence[PhraseRule] = PHRASE_RULES) -> str:
     return java_pattern(screen + "(?:" + "|".join(f"(?:{r.pattern})" for r in rules) + ")")
 
 
-def anchor_words(text: ColumnLike) -> Column:
-    """The distinct words of a text in small ASCII letters. Letters beyond ASCII end a word, as they do for the rules."""
-    words = F.array_distinct(F.split(col(text), "[^0-9A-Za-z_]+"))
-    return F.transform(words, F.lower)
+def literals(rules: Sequence[PhraseRule]) -> list[str]:
+    """Literal texts of which every match of the rules holds one; those that hold another are left out."""
+    every = {t for r in rules for t in r.holds or r.anchors}
+    return sorted(t for t in every if not any(o != t and o in t for o in every))
 
 
 def sentence_around(before: Column, match: Column, after: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnLike, bind, col
-from ..functions.text import PHRASE_RULES, PhraseRule, anchor_words, any_phrase, direct_quotes, match_and_sentence, word_count
+from ..functions.text import PHRASE_RULES, PhraseRule, any_phrase, direct_quotes, literals, match_and_sentence, word_count
 from ..session import Stages, stages_of
 from .skew import distinct_keys, reduce_by
 
@@ -71,13 +71,13 @@ def no_violations() -> Column:
 def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RULES) -> Column:
     """First hit of every rule in the text, in rule order.
 
-    The distinct words of the text are looked up among the words that the rules can't do without, and only
-    rules that have one there run. Rules that name no such word share one scan for all of them.
+    The literal texts that a rule can't do without are searched in the text in small letters, and only rules
+    that have one there run. Rules that name none share one scan for all of them.
     """
     anchored, others = [r for r in rules if r.anchors], [r for r in rules if not r.anchors]
 
-    def among(words: Column, anchors: Sequence[str]) -> Column:
-        return F.arrays_overlap(words, F.array(*[F.lit(a) for a in sorted(set(anchors))]))
+    def among(small: Column, wanted: Sequence[PhraseRule]) -> Column:
+        return functools.reduce(Column.__or__, [small.contains(t) for t in literals(wanted)])
 
     def hit(whole: Column, rule: PhraseRule) -> Column:
         def found(halves: Column) -> Column:
@@ -86,15 +86,15 @@ def phrase_violations(text: ColumnLike, rules: Sequence[PhraseRule] = PHRASE_RUL
 
         return bind(F.split(whole, any_phrase((rule,)), 2), found)
 
-    def checked(whole: Column, words: Column | None) -> Column:
-        hits = [F.when(among(words, rule.anchors), hit(whole, rule)) if rule.anchors else hit(whole, rule) for rule in rules]
+    def checked(whole: Column, small: Column | None) -> Column:
+        hits = [F.when(among(small, [rule]), hit(whole, rule)) if rule.anchors else hit(whole, rule) for rule in rules]
         listed = F.filter(F.array(*hits), lambda v: v.isNotNull()).cast(f"array<{VIOLATION}>")
-        screens = [among(words, [a for r in anchored for a in r.anchors])] if anchored else []
+        screens = [among(small, anchored)] if anchored else []
         screens += [whole.rlike(any_phrase(others))] if others else []
         return F.when(functools.reduce(Column.__or__, screens), listed).otherwise(no_violations()) if screens else no_violations()
 
     def screened(whole: Column) -> Column:
-        return bind(anchor_words(whole), lambda words: checked(whole, words)) if anchored else checked(whole, None)
+        return bind(F.lower(whole), lambda small: checked(whole, small)) if anchored else checked(whole, None)
 
     return bind(col(text), screened)  # a text put together from parts is put together once
 

@@ -21,6 +21,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def spread_texts(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to as many tasks as a shuffle has. A file of one row group is read by one task, however large it is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _sql(columns: dict[str, str], source: str, tail: str = "") -> str:
     listed = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
     return f"SELECT {listed} FROM {source} {tail}"
@@ -263,8 +268,10 @@ def brief_lines() -> Column:
     return F.transform(F.split("text", "\n"), sentence)
 
 
-def briefs(spark: SparkSession, d: str) -> DataFrame:
-    df = _frame(texts(spark, d, "documents"), PROSE)
+def briefs(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    """Briefs of documents; spread where each text is worked on."""
+    docs = texts(spark, d, "documents")
+    df = _frame(spread_texts(docs, "doc_id", "text") if spread else docs, PROSE)
     source_ids = F.sequence(F.lit(0), F.lit(4))
     subject = F.struct(
         F.concat(F.lit("documents."), F.col("doc_id").cast("string")).alias("entityId"),

@@ -25,7 +25,7 @@ SWEPT = f"SELECT doc_id, concat(text, {MARKS}, text) AS text FROM documents"
 
 
 def _swept(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.texts(spark, d, "documents")
+    docs = i.spread_texts(i.texts(spark, d, "documents"), "doc_id", "text")
     return docs.selectExpr("doc_id", f"concat(text, {MARKS}, text) AS text")
 
 
@@ -41,7 +41,7 @@ CUSTOM_RULES = (
 
 
 def calibration_sweep_custom(spark: SparkSession, d: str) -> DataFrame:
-    return text_checks.calibration_sweep(i.texts(spark, d, "documents"), "text", ["doc_id"], rules=CUSTOM_RULES).drop("type")
+    return text_checks.calibration_sweep(i.spread_texts(i.texts(spark, d, "documents"), "doc_id", "text"), "text", ["doc_id"], rules=CUSTOM_RULES).drop("type")
 
 
 def sweep_sql(relation: str, keys: str, text: str = "text", rules=PHRASE_RULES) -> str:
@@ -89,7 +89,7 @@ def quote_discipline_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_briefs(spark: SparkSession, d: str) -> DataFrame:
-    report = briefs.validate_briefs(i.briefs(spark, d), ["doc_id"])
+    report = briefs.validate_briefs(i.briefs(spark, d, spread=True), ["doc_id"])
 
     def count(kind: str):
         return F.size(F.filter("violations", lambda v: v["type"] == kind))
@@ -102,7 +102,7 @@ def validate_briefs(spark: SparkSession, d: str) -> DataFrame:
 
 def brief_violation_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every violation of every brief as a row."""
-    report = briefs.validate_briefs(i.briefs(spark, d), ["doc_id"])
+    report = briefs.validate_briefs(i.briefs(spark, d, spread=True), ["doc_id"])
     return briefs.explode_violations(report, ["doc_id"]).select("doc_id", "type", "sentence", "match", "detail", "rewrite")
 
 

@@ -197,3 +197,12 @@ def test_anchors_are_in_every_alternative():
         for way in ways(rule.pattern):
             assert re.search(rule.pattern, way), way
             assert set(re.findall("[a-z]+", way)) & set(rule.anchors), way
+
+
+def test_texts_of_one_row_group_are_worked_on_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from grantlens.plans import prose
+
+    swept = prose._swept(spark, "/root/testdata/sf0.01").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert swept > 1
