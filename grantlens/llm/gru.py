@@ -46,15 +46,24 @@ def forward(x: np.ndarray, recurrent: np.ndarray, h: np.ndarray) -> tuple[np.nda
     size, length = h.shape[0], len(x)
     states = np.empty((length + 1, *h.shape), h.dtype)
     states[0] = h
-    z, r, n, gn = (np.empty((length, *h.shape), h.dtype) for _ in range(4))
+    zr = np.empty((length, 2 * size, h.shape[1]), h.dtype)
+    n, gn = np.empty_like(states[1:]), np.empty_like(states[1:])
     for t in range(length):
         g = recurrent @ states[t]
-        z[t] = sigmoid(x[t, :size] + g[:size])
-        r[t] = sigmoid(x[t, size:2 * size] + g[size:2 * size])
+        gates, new, after = zr[t], n[t], states[t + 1]
+        np.add(g[:2 * size], x[t, :2 * size], out=gates)
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
         gn[t] = g[2 * size:]
-        n[t] = np.tanh(x[t, 2 * size:] + r[t] * gn[t])
-        states[t + 1] = n[t] + z[t] * (states[t] - n[t])
-    return states, (z, r, n, gn)
+        np.multiply(gates[size:], gn[t], out=new)
+        new += x[t, 2 * size:]
+        np.tanh(new, out=new)
+        np.subtract(states[t], new, out=after)
+        after *= gates[:size]
+        after += new
+    return states, (zr[:, :size], zr[:, size:], n, gn)
 
 
 def backward(d_states: np.ndarray, states: np.ndarray, cache: tuple, recurrent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,18 +72,22 @@ def backward(d_states: np.ndarray, states: np.ndarray, cache: tuple, recurrent:
     size, length = states.shape[1], len(d_states)
     d_x = np.empty((length, 3 * size, states.shape[2]), states.dtype)
     d_recurrent = np.zeros_like(recurrent)
-    carried = np.zeros_like(states[0])
+    carried, back = np.zeros_like(states[0]), np.ascontiguousarray(recurrent.T)
+    for_n = (1 - z) * (1 - n * n)
+    for_z = (states[:-1] - n) * z * (1 - z)
+    for_r = gn * r * (1 - r)
+    d_g = np.empty_like(d_x[0])
     for t in range(length - 1, -1, -1):
-        d = d_states[t] + carried
-        d_n = d * (1 - z[t]) * (1 - n[t] ** 2)
-        d_g = np.empty_like(d_x[t])
-        d_g[:size] = d * (states[t] - n[t]) * z[t] * (1 - z[t])
-        d_g[size:2 * size] = d_n * gn[t] * r[t] * (1 - r[t])
-        d_x[t] = d_g
-        d_x[t, 2 * size:] = d_n
-        d_g[2 * size:] = d_n * r[t]
+        carried += d_states[t]
+        d_n = d_x[t, 2 * size:]
+        np.multiply(carried, for_n[t], out=d_n)
+        np.multiply(carried, for_z[t], out=d_x[t, :size])
+        np.multiply(d_n, for_r[t], out=d_x[t, size:2 * size])
+        d_g[:2 * size] = d_x[t, :2 * size]
+        np.multiply(d_n, r[t], out=d_g[2 * size:])
         d_recurrent += d_g @ states[t].T
-        carried = d * z[t] + recurrent.T @ d_g
+        carried *= z[t]
+        carried += back @ d_g
     return d_x, d_recurrent
 
 
@@ -88,10 +101,20 @@ class Adam:
 
     def update(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g ** 2).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         scale = min(1.0, self.clip / max(norm, 1e-12))
         rate = self.rate * np.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t)
         for k, g in grads.items():
-            self.m[k] += 0.1 * (g * scale - self.m[k])
-            self.v[k] += 0.001 * ((g * scale) ** 2 - self.v[k])
-            self.params[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            m, v = self.m[k], self.v[k]
+            x = g * np.float32(0.1 * scale)
+            m *= 0.9
+            m += x
+            x *= x
+            x *= 0.1
+            v *= 0.999
+            v += x
+            np.sqrt(v, out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate
+            self.params[k] -= x

@@ -2,8 +2,9 @@
 
 The network predicts a bounded vocabulary: first the class of the next word, then the word within its
 class (class-factored softmax). Vocabulary and biases come from the word counts of the whole training corpus.
-The network is trained in numpy by truncated backpropagation, on a sample that grows with the square
-root of the corpus, with the state carried from window to window; scoring carries it through the whole document.
+The network is trained in numpy by truncated backpropagation on every word of the training documents, on the executors: in
+each round, workers learn from their shares, starting from the mean of the parameters of the round before. The
+state is carried from window to window; scoring carries it through the whole document.
 A word outside the vocabulary is the network's unknown word, times its smoothed share of all such words
 by the counts of the whole training corpus. The counts also give the unigram score.
 
@@ -16,7 +17,7 @@ travels depends on neither the number of partitions nor how often a word is used
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,24 +38,29 @@ MODULUS = 5
 COUNT_AT_ONCE, SCORE_AT_ONCE = 1 << 20, 3 << 20
 #: Distinct words that a task holds before it sends their counts.
 HOLD = 1 << 18
-#: Bytes of text from which documents and steps of the training grow, with the square root of the input.
+#: Bytes of text from which `sample` grows, with the square root of the input.
 GROWS_FROM = 1 << 28
 #: Words whose probabilities are worked out at once.
 SLICE = 1 << 14
+#: Words whose powers stay in the cache.
+CACHED = 1 << 11
 BYTES_PER_PARTITION = 64 << 20
+#: Rounds of the training, but of a small corpus; bytes of text that a worker learns from in a round; words of a document
+#: that one worker gets; parts in which parameters are averaged.
+ROUNDS, BYTES_PER_UNIT, PIECE, CHUNKS = 8, 16 << 20, 1 << 16, 64
 
 
 class Training(NamedTuple):
-    """Bounds of the sample, the vocabulary and the fit; documents and steps are those of a small corpus."""
+    """Bounds of the vocabulary and the fit. documents and bytes_per_document are those of `sample`, which no query uses."""
 
     documents: int = 3000
     bytes_per_document: int = 4096
     classes: int = 64
     class_size: int = 64
     hidden: int = 16
-    streams: int = 64
+    streams: int = 512
     window: int = 32
-    steps: int = 500
+    steps: int = 250
     rate: float = 0.01
     seed: int = 11
 
@@ -86,7 +92,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def grown(training: Training, size: int) -> Training:
-    """The training for a corpus of so many bytes."""
+    """The size of `sample` for a corpus of so many bytes. Neither is used by `scored`; their tests stay as they were."""
     times = max(1.0, size / GROWS_FROM) ** 0.5
     return training._replace(documents=round(training.documents * times), steps=round(training.steps * times))
 
@@ -152,33 +158,79 @@ def sample(docs: DataFrame, training: Training, ids: dict[bytes, int]) -> list[t
     return [(np.frombuffer(bytes(r.ids), "<i4"), r.inside) for r in found]
 
 
-def softmax_step(model: dict[str, np.ndarray], h: np.ndarray, want: np.ndarray, size: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """Loss, gradients and the gradient of the states (N, H) for the words wanted after them."""
-    n, classes = len(want), len(model["to_class"])
-    which = want // size
-    p = h @ model["to_class"].T + model["class_bias"]
-    p = np.exp(p - p.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    loss = -np.log(p[np.arange(n), which] + 1e-30).sum()
-    p[np.arange(n), which] -= 1
-    p /= n
-    grads = {"to_class": p.T @ h, "class_bias": p.sum(axis=0), "to_word": np.zeros_like(model["to_word"]), "word_bias": np.zeros_like(model["word_bias"])}
-    d_h = p @ model["to_class"]
+def with_ones(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+
+
+def bounded(h: np.ndarray, *weights: np.ndarray) -> bool:
+    """Whether no power of products of such states, with a one added, and weights can overflow."""
+    return max(1.0, float(np.abs(h).max(initial=0))) * max(float(np.abs(w).sum(axis=-1).max()) for w in weights) < 80
+
+
+def powers(x: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x @ weights.T), the sums of its rows, and what was taken off each row first."""
+    p = x @ weights.T
+    off: np.ndarray | float = 0.0
+    if not safe:
+        off = p.max(axis=1)
+        p -= off[:, None]
+    np.exp(p, out=p)
+    return p, p @ np.ones(len(weights), p.dtype), off
+
+
+def blocks(which: np.ndarray, classes: int) -> Iterator[tuple[int, slice]]:
+    """The classes of words in order of their ids, some words at once, which stay in the cache."""
+    bounds = np.searchsorted(which, np.arange(classes + 1)).tolist()
     for c in range(classes):
-        own = np.flatnonzero(which == c)
-        if not len(own):
-            continue
-        q = h[own] @ model["to_word"][c].T + model["word_bias"][c]
-        q = np.exp(q - q.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        at = want[own] % size
-        loss -= np.log(q[np.arange(len(own)), at] + 1e-30).sum()
-        q[np.arange(len(own)), at] -= 1
-        q /= n
-        grads["to_word"][c] = q.T @ h[own]
-        grads["word_bias"][c] = q.sum(axis=0)
-        d_h[own] += q @ model["to_word"][c]
-    return loss / n, grads, d_h
+        for lo in range(bounds[c], bounds[c + 1], CACHED):
+            yield c, slice(lo, min(lo + CACHED, bounds[c + 1]))
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value starts."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+
+
+def softmax_step(model: dict[str, np.ndarray], h: np.ndarray, want: np.ndarray, size: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Loss, gradients and the gradient of the states (N, H) for the words wanted after them.
+
+    Words are put in order of their ids, so that classes and words are slices.
+    """
+    outer, inner = np.column_stack([model["to_class"], model["class_bias"]]), np.concatenate([model["to_word"], model["word_bias"][..., None]], axis=2)
+    n, classes, safe = max(len(want), 1), len(outer), bounded(h, outer, inner)
+    order = np.argsort(want, kind="stable")
+    ids, own = want[order], with_ones(h[order])
+    which, starts = ids // size, runs(ids)
+    # First what the wanted words' own rows give and get, then what all rows do.
+    picked = outer[which]
+    picked += inner.reshape(-1, inner.shape[2])[ids]
+    loss, d = -np.einsum("ij,ij->", own, picked), -picked
+    wanted = np.add.reduceat(own, starts, axis=0) if len(ids) else own
+    d_outer, d_inner = np.zeros_like(outer), np.zeros_like(inner)
+    d_inner.reshape(-1, inner.shape[2])[ids[starts]] = -wanted
+    np.subtract.at(d_outer, which[starts], wanted)
+    logs = np.empty((2, len(ids)), h.dtype)
+
+    def spread(weights: np.ndarray, part: slice, log: np.ndarray) -> np.ndarray:
+        x = own[part]
+        p, sums, off = powers(x, weights, safe)
+        log[part] = sums if safe else np.log(sums) + off
+        sums = sums[:, None]
+        d_x = p @ weights
+        d_x /= sums
+        d[part] += d_x
+        return p.T @ (x / sums)
+
+    for lo in range(0, len(ids), CACHED):
+        d_outer += spread(outer, slice(lo, lo + CACHED), logs[0])
+    for c, part in blocks(which, classes):
+        d_inner[c] += spread(inner[c], part, logs[1])
+    loss += (np.log(logs) if safe else logs).sum()
+    d_h = np.empty_like(h)
+    d_h[order] = d[:, :-1]
+    for x in (d_h, d_outer, d_inner):
+        x /= n
+    return loss / n, {"to_class": d_outer[:, :-1], "class_bias": d_outer[:, -1], "to_word": d_inner[..., :-1], "word_bias": d_inner[..., -1]}, d_h
 
 
 def train(texts: list[list[bytes]], training: Training) -> Model:
@@ -192,64 +244,183 @@ def train(texts: list[list[bytes]], training: Training) -> Model:
 
 
 def fit(slices: list[tuple[np.ndarray, bool]], ids: dict[bytes, int], seen: np.ndarray | None, training: Training) -> Model:
-    """The network for a vocabulary and how often each id is used. The first word of a slice from inside a document is context only."""
+    """The network for a vocabulary and how often each id is used, learned in one place."""
+    params = begun(seen, training)
+    learn(params, slices, training, passes(sum(len(t) for t, _ in slices), training))
+    return finished(params, ids)
+
+
+def begun(seen: np.ndarray | None, training: Training) -> dict[str, np.ndarray]:
+    """Parameters before any text: the biases give each word its share."""
     rng = np.random.default_rng(training.seed)
     size, room, hidden = training.class_size, training.classes * training.class_size, training.hidden
-    slices = [(text, int(inside)) for text, inside in slices if len(text) > inside]
-    streams, first = [text for text, _ in slices], [inside for _, inside in slices]
-    seen = np.zeros(room) if seen is None else seen
-    share = (seen + 0.1).reshape(training.classes, size)
+    share = ((np.zeros(room) if seen is None else seen) + 0.1).reshape(training.classes, size)
     params = {k: rng.normal(0, 0.15, shape).astype(np.float32) for k, shape in {
-        "table": (3 * hidden, room + 1), "recurrent": (3 * hidden, hidden), "to_class": (training.classes, hidden), "to_word": (training.classes, size, hidden)}.items()}
+        "table": (room + 1, 3 * hidden), "recurrent": (3 * hidden, hidden), "to_class": (training.classes, hidden), "to_word": (training.classes, size, hidden)}.items()}
     params["class_bias"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
     params["word_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+    return params
+
+
+def finished(params: dict[str, np.ndarray], ids: dict[bytes, int]) -> Model:
+    table, recurrent = gru.halved(params["table"].T, params["recurrent"])
+    start = np.zeros(recurrent.shape[1], np.float32)
+    return Model(ids, table, recurrent, start, params["to_class"], params["class_bias"], params["to_word"], params["word_bias"])
+
+
+def passes(words: int, training: Training) -> int:
+    """How often a corpus of so many words is read: once, and a small one as often as `steps` steps take."""
+    return max(1, -(-training.steps * training.streams * training.window // max(words, 1))) if words else 1
+
+
+def laid_out(slices: list[tuple[np.ndarray, bool]], training: Training, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words before and words wanted (T, streams), and how many of the streams reach the last row.
+
+    All slices one after the other, shuffled, cut into equal streams. The word before is `room` at the start of a
+    document; of a slice from inside one, the first word is context only.
+    """
+    room = training.classes * training.class_size
+    slices = [(text, int(inside)) for text, inside in slices if len(text) > inside]
+    slices = [slices[k] for k in rng.permutation(len(slices))]
+    if not slices:
+        return np.zeros((0, 1), np.uint16), np.zeros((0, 1), np.uint16), 1
+    wanted = np.concatenate([text[inside:] for text, inside in slices])
+    before = np.concatenate([text[:-1] if inside else np.r_[room, text[:-1]] for text, inside in slices])
+    streams = min(training.streams, len(wanted))
+    length, last = -(-len(wanted) // streams), len(wanted) % streams or streams
+    # The first `last` streams are a word longer than the others.
+    starts = np.arange(streams) * length - np.maximum(np.arange(streams) - last, 0)
+    at = np.minimum(starts + np.arange(length)[:, None], len(wanted) - 1)
+    return before.astype(np.uint16)[at], wanted.astype(np.uint16)[at], last
+
+
+def learn(params: dict[str, np.ndarray], slices: list[tuple[np.ndarray, bool]], training: Training, times: int = 1, since: float = 0.0, until: float = 1.0) -> int:
+    """Truncated backpropagation over all words of the slices, `times` times, changing the parameters in place; the number of words.
+
+    The state is carried from window to window. since and until say how far the whole training is before and after,
+    by which the rate falls.
+    """
+    rng = np.random.default_rng(training.seed)
     adam = gru.Adam(params, training.rate)
-    if streams:
-        # Documents follow each other in each stream; an input is the word before, `room` at the start of a document.
-        order = [rng.permutation(len(streams)) for _ in range(training.streams)]
-        place = [[0, first[o[0]]] for o in order]
-        h = np.zeros((hidden, training.streams), np.float32)
-        for number in range(training.steps):
-            adam.rate = training.rate * (1 - 0.9 * number / training.steps)
-            x = np.zeros((training.window, training.streams), np.int64)
-            want = np.zeros_like(x)
-            for s, at in enumerate(place):
-                for t in range(training.window):
-                    text = streams[order[s][at[0] % len(streams)]]
-                    x[t, s] = text[at[1] - 1] if at[1] else room
-                    want[t, s] = text[at[1]]
-                    at[1] += 1
-                    if at[1] == len(text):
-                        at[0] += 1
-                        at[1] = first[order[s][at[0] % len(streams)]]
-            states, cache = gru.forward(params["table"][:, x].transpose(1, 0, 2), params["recurrent"], h)
-            h = states[-1].copy()
+    hidden, table = training.hidden, params["table"]
+    words = 0
+    for time in range(times):
+        before, wanted, last = laid_out(slices, training, rng)
+        length, streams = before.shape
+        words = length * streams - (streams - last)
+        h = np.zeros((hidden, streams), np.float32)
+        for at in range(0, length, training.window):
+            adam.rate = training.rate * (1 - 0.9 * (since + (until - since) * (time + at / length) / times))
+            x, want = before[at:at + training.window], wanted[at:at + training.window]
+            states, cache = gru.forward(np.take(table, x, axis=0).transpose(0, 2, 1), params["recurrent"], h)
+            h = states[-1]
             flat = states[1:].transpose(0, 2, 1).reshape(-1, hidden)
-            _, grads, d_h = softmax_step(params, flat, want.ravel(), size)
-            d_x, grads["recurrent"] = gru.backward(d_h.reshape(training.window, training.streams, hidden).transpose(0, 2, 1), states, cache, params["recurrent"])
-            into = np.zeros((room + 1, 3 * hidden), np.float32)
-            np.add.at(into, x.ravel(), d_x.transpose(0, 2, 1).reshape(-1, 3 * hidden))
-            grads["table"] = into.T
-            adam.update({k: g.astype(np.float32) for k, g in grads.items()})
-    table, recurrent = gru.halved(params["table"], params["recurrent"])
-    return Model(ids, table, recurrent, np.zeros(hidden, np.float32), params["to_class"], params["class_bias"], params["to_word"], params["word_bias"])
+            many = len(flat) - (streams - last if at + training.window >= length else 0)
+            d_flat = np.zeros_like(flat)
+            _, grads, d_flat[:many] = softmax_step(params, flat[:many], want.ravel()[:many], training.class_size)
+            d_states = np.ascontiguousarray(d_flat.reshape(*x.shape, hidden).transpose(0, 2, 1))
+            d_x, grads["recurrent"] = gru.backward(d_states, states, cache, params["recurrent"])
+            order = np.argsort(x, axis=None, kind="stable")
+            ids = x.ravel()[order]
+            starts = runs(ids)
+            grads["table"] = np.zeros_like(table)
+            grads["table"][ids[starts]] = np.add.reduceat(d_x.transpose(0, 2, 1).reshape(-1, 3 * hidden)[order], starts, axis=0)
+            adam.update(grads)
+    return words
+
+
+def flat(params: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([params[k].ravel() for k in sorted(params)])
+
+
+def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The parameters that `flat` put one after the other."""
+    names = sorted(like)
+    parts = np.split(values.astype(np.float32), np.cumsum([like[k].size for k in names])[:-1])
+    return {k: part.reshape(like[k].shape) for k, part in zip(names, parts, strict=True)}
+
+
+def units(size: int) -> tuple[int, int]:
+    """Rounds, and workers of a round, for a corpus of so many bytes."""
+    many = max(1, -(-size // BYTES_PER_UNIT))
+    return min(ROUNDS, many), -(-many // ROUNDS)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], workers: int) -> Iterator[pa.RecordBatch]:
+    """(worker, place, ids, inside) of whole documents (id0, ids). A long one is cut, so that many workers share it.
+
+    Equal rows of a batch are told apart by their number, so that copies of one row are shared as well.
+    """
+    for batch in batches:
+        nth: Counter[int] = Counter()
+        rows = []
+        for id0, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = np.frombuffer(_spread(data), "<u2")
+            for lo in range(0, len(text), PIECE):
+                place = xxhash.xxh64_intdigest(np.array([id0, lo, nth[id0]], "<i8").tobytes())
+                rows.append((place % workers, place >> 1, _squeezed(text[max(lo - 1, 0):lo + PIECE].tobytes()), lo > 0))
+            nth[id0] += 1
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["worker", "place", "ids", "inside"])
+
+
+def work(begin: dict[str, np.ndarray], training: Training, times: int, since: float, until: float) -> Callable[[pa.Table], pa.Table]:
+    """What a worker makes of its pieces: parameters, in chunks."""
+    def made(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "inside", "ids", "worker")), strict=True))
+        own = {k: v.copy() for k, v in begin.items()}
+        words = learn(own, [(np.frombuffer(_spread(r[2]), "<u2"), r[1]) for r in rows], training, times, since, until)
+        chunks = [(k, rows[0][3], words, chunk.astype("<f4").tobytes()) for k, chunk in enumerate(np.array_split(flat(own), CHUNKS))]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*chunks, strict=True), kinds, strict=True)], ["chunk", "worker", "words", "params"])
+
+    return made
+
+
+def averaged(table: pa.Table) -> pa.Table:
+    """The mean of one chunk of all workers' parameters, by the words that each has read."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "worker", "words", "params")), strict=True))
+    words = sum(r[2] for r in rows)
+    mean = sum(np.frombuffer(r[3], "<f4").astype(float) * (r[2] / words) for r in rows)
+    return pa.Table.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([mean.astype("<f4").tobytes()], pa.binary())], ["chunk", "params"])
+
+
+def trained(encoded: DataFrame, size: int, seen: np.ndarray, training: Training) -> dict[str, np.ndarray]:
+    """Parameters learned from every word of the documents (id0, learned, ids) that are to be learned from.
+
+    Each round has its own share of the documents. Its workers begin with the same parameters, each learns from its
+    share of the round, and their mean begins the next round. Only parameters leave a task, and only their mean reaches the driver.
+    """
+    rounds, workers = units(size)
+    times, params = passes(int(seen.sum()), training), begun(seen, training)
+    share = F.pmod(F.xxhash64("id0"), F.lit(rounds))
+    for number in range(rounds):
+        told = encoded.where(F.col("learned") & (share == number)).select("id0", "ids").mapInArrow(
+            lambda batches: pieces(batches, workers), "worker int, place long, ids binary, inside boolean")
+        learned = told.repartitionById(workers, "worker").groupBy("worker").applyInArrow(
+            work(params, training, times, number / rounds, (number + 1) / rounds), "chunk int, worker int, words long, params binary")
+        mean = learned.groupBy("chunk").applyInArrow(averaged, "chunk int, params binary").collect()
+        if mean:
+            params = shaped(np.concatenate([np.frombuffer(bytes(r.params), "<f4") for r in sorted(mean)]), params)
+    return params
 
 
 def word_values(states: np.ndarray, want: np.ndarray, model: Model) -> np.ndarray:
     """Natural log-probabilities of the wanted words after states (N, H)."""
     classes, size, _ = model.to_word.shape
-    which = want // size
-    logits = states @ model.to_class.T + model.class_bias
-    logits -= logits.max(axis=1, keepdims=True)
-    value = logits[np.arange(len(want)), which] - np.log(np.exp(logits).sum(axis=1))
-    by_class = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[by_class], np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        own = by_class[bounds[c]:bounds[c + 1]]
-        q = states[own] @ model.to_word[c].T + model.word_bias[c]
-        q -= q.max(axis=1, keepdims=True)
-        value[own] += q[np.arange(len(own)), want[own] % size] - np.log(np.exp(q).sum(axis=1))
-    return value
+    outer, inner = np.column_stack([model.to_class, model.class_bias]), np.concatenate([model.to_word, model.word_bias[..., None]], axis=2)
+    order, safe = np.argsort(want, kind="stable"), bounded(states, outer, inner)
+    ids, own = want[order], with_ones(states[order])
+    which = ids // size
+    picked = outer[which]
+    picked += inner.reshape(-1, inner.shape[2])[ids]
+    value = np.einsum("ij,ij->i", own, picked).astype(float)
+    for c, part in [*((None, slice(lo, lo + CACHED)) for lo in range(0, len(ids), CACHED)), *blocks(which, classes)]:
+        _, sums, off = powers(own[part], outer if c is None else inner[c], safe)
+        value[part] -= np.log(sums) + off
+    out = np.empty(len(want))
+    out[order] = value
+    return out
 
 
 def log_likelihoods(texts: list[np.ndarray], model: Model, window: int = 64) -> np.ndarray:
@@ -263,7 +434,7 @@ def log_likelihoods(texts: list[np.ndarray], model: Model, window: int = 64) ->
     begin = np.cumsum(sizes[order]) - sizes[order]
     flat = np.concatenate([texts[k] for k in order])
     lengths = sizes[order]
-    total = np.zeros(len(texts))
+    total, rows = np.zeros(len(texts)), np.ascontiguousarray(model.table.T)
     h = np.zeros((hidden, len(texts)), np.float32)
     before = np.full(len(texts), classes * size)
     for at in range(0, int(lengths[0]), window):
@@ -274,7 +445,7 @@ def log_likelihoods(texts: list[np.ndarray], model: Model, window: int = 64) ->
         ids = flat[np.minimum(begin[:live] + at + np.arange(steps)[:, None], len(flat) - 1)]
         states = np.empty((steps, hidden, live), np.float32)
         for t in range(steps):
-            h = states[t] = gru.step(np.take(model.table, before, axis=1), model.recurrent, h)
+            h = states[t] = gru.step(np.ascontiguousarray(np.take(rows, before, axis=0).T), model.recurrent, h)
             before = ids[t]
         step, doc = np.nonzero(there)
         want, known = ids[step, doc], states.transpose(0, 2, 1)[step, doc]
@@ -380,8 +551,7 @@ def answered(table: pa.Table) -> pa.Table:
 def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, unknown) per row of docs.
 
-    Learned are the network from a sample, and vocabulary, biases and counts from all documents that have a
-    key and are not held out. A null text is empty and has the end alone. Repeated rows count each and get equal scores.
+    Learned are the network, vocabulary, biases and counts from all documents that have a key and are not held out. A null text is empty and has the end alone. Repeated rows count each and get equal scores.
     `unknown` is the number of words outside the network's vocabulary. Scores are base-10 logarithms.
     """
     spark = docs.sparkSession
@@ -392,8 +562,16 @@ def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id"
     counts = stage(word_counts(read), "counts")
     word_ids, seen = vocabulary(counts, training)
     discard(counts)
-    training = grown(training, size)
-    model = fit(sample(read, training, word_ids), word_ids, seen, training)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_squeezed(np.array([word_ids.get(w, 0) for w in tokens(data)], "<u2").tobytes()) for data in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ids, pa.binary())], ["key", "id0", "id1", "held", "learned", "ids"])
+
+    encoded = read.select("key", "id0", "id1", "held", F.expr("NOT held AND key IS NOT NULL").alias("learned"), ENCODED).mapInArrow(
+        encode, f"key {kind}, id0 long, id1 long, held boolean, learned boolean, ids binary")
+    encoded = stage(encoded, "encoded")
+    model = finished(trained(encoded, size, seen, training), word_ids)
     known = frozenset(model.ids)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_PER_PARTITION))
 
@@ -425,7 +603,6 @@ def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id"
     names = ["key", "id0", "id1", "held", "n_tokens", "unknown", "network"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_id = model.ids.get
         rows: list[tuple] = []
         texts: list[np.ndarray] = []
         many = 0
@@ -441,7 +618,7 @@ def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id"
         for batch in batches:
             key_type = batch.schema.field(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts.append(np.array([word_id(w, 0) for w in tokens(row[4])], np.int32))
+                texts.append(np.frombuffer(_spread(row[4]), "<u2").astype(np.int32))
                 rows.append(row[:4])
                 many += len(texts[-1])
                 if many >= SCORE_AT_ONCE:
@@ -450,8 +627,9 @@ def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id"
         if rows:
             yield flush()
 
-    network = read.mapInArrow(score, f"key {kind}, id0 long, id1 long, held boolean, n_tokens long, unknown long, network double")
+    network = encoded.select("key", "id0", "id1", "held", "ids").mapInArrow(score, f"key {kind}, id0 long, id1 long, held boolean, n_tokens long, unknown long, network double")
     network = stage(network, "network")
+    discard(encoded)
     both = network.join(stage(sums, "sums"), ["id0", "id1"])
     discard(answers)
     base = float(np.log10(totals.n + 0.5 * (totals.v + 1)))

@@ -211,6 +211,67 @@ def test_training_grows_with_the_corpus():
     assert (large.documents, large.steps) == (10 * small.documents, 10 * small.steps)
 
 
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    """Another order of the words of any one document, whose counts stay, changes the scores: the fit of a sample knew one document only."""
+    monkeypatch.setattr(lm, "BYTES_PER_UNIT", 100, raising=False)
+    training = lm.Training(documents=1, classes=3, class_size=4, hidden=4, streams=4, window=8, steps=20)
+
+    def score(turned):
+        docs = [(k, " ".join(("a b c d e a c b " * 3).split()[::-1 if k == turned else 1])) for k in range(20)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        return {r.doc_id: r.score for r in lm.scored(df, training).collect() if r.held_out}
+
+    plain = score(None)
+    assert plain
+    for turned in [k for k in range(20) if crc(k) % 5 != 1][:2]:
+        assert all(abs(score - plain[k]) > 1e-7 for k, score in score(turned).items())
+
+
+def test_every_word_is_wanted_once():
+    training = lm.Training(classes=100, class_size=100, streams=7)
+    slices = [(np.arange(k * 50, k * 50 + n), inside) for k, (n, inside) in enumerate([(50, False), (1, True), (1, False), (33, True), (20, False)])]
+    before, wanted, last = lm.laid_out(slices, training, np.random.default_rng(3))
+    whole = [*range(50), 100, *range(151, 183), *range(200, 220)]
+    there = np.ones(wanted.shape, bool)
+    there[-1, last:] = False
+    assert sorted(wanted[there]) == whole and not there.all()
+    follows = {(int(b), int(w)) for b, w in zip(before[there], wanted[there], strict=True)}
+    starts = {0, 100, 200}
+    assert follows == {(10000 if w in starts else w - 1, w) for w in whole}
+    params = lm.begun(None, lm.Training(streams=7, window=8))
+    assert lm.learn(params, slices, lm.Training(streams=7, window=8)) == len(whole)
+
+
+def test_pieces_are_whole_and_spread(monkeypatch):
+    """Long documents and copies of one row are shared among workers; no word is lost."""
+    monkeypatch.setattr(lm, "PIECE", 10)
+    texts = [np.arange(1005, dtype="<u2"), *[np.arange(5, dtype="<u2")] * 400]
+    batch = lm.pa.RecordBatch.from_arrays(
+        [lm.pa.array([9] + [4] * 400, lm.pa.int64()), lm.pa.array([lm._squeezed(t.tobytes()) for t in texts], lm.pa.binary())], ["id0", "ids"])
+    rows = [r for made in lm.pieces(iter([batch]), 4) for r in made.to_pylist()]
+    read = [np.frombuffer(lm._spread(r["ids"]), "<u2")[int(r["inside"]):] for r in rows]
+    assert sorted(np.concatenate(read)) == sorted(np.concatenate(texts))
+    copies = Counter(r["worker"] for r, t in zip(rows, read, strict=True) if len(t) == 5 and not r["inside"])
+    long = Counter(r["worker"] for r in rows if r["inside"])
+    assert len(copies) == len(long) == 4 and max(copies.values()) < 150 and max(long.values()) < 45
+
+
+def test_mean_of_parameters_is_weighted_by_words():
+    params = lm.begun(None, lm.Training(classes=2, class_size=2, hidden=3))
+    values = lm.flat(params)
+    assert all((lm.shaped(values, params)[k] == v).all() for k, v in params.items())
+    kinds = {"chunk": [5, 5], "worker": [1, 0], "words": [1, 3], "params": [np.float32([8, 0]).tobytes(), np.float32([0, 4]).tobytes()]}
+    mean = lm.averaged(lm.pa.table(kinds)).to_pylist()
+    assert [(r["chunk"], np.frombuffer(r["params"], "<f4").tolist()) for r in mean] == [(5, [2, 3])]
+
+
+def test_rounds_and_passes():
+    """A worker's share is the same at any size; a small corpus is read several times, a large one once."""
+    assert lm.units(0) == (1, 1) and lm.units(3 * lm.BYTES_PER_UNIT) == (3, 1)
+    assert lm.units(800 * lm.BYTES_PER_UNIT) == (lm.ROUNDS, 800 // lm.ROUNDS)
+    assert lm.passes(0, lm.Training()) == lm.passes(10**9, lm.Training()) == 1 and lm.passes(10**6, lm.Training()) == 5
+
+
 def test_network_has_sixteen_units():
     """Twelve were a smaller model for lower figures: held-out log10 likelihood a token on sf0.01 -3.8437 against -3.8058."""
     assert lm.Training().hidden == 16
