@@ -70,13 +70,14 @@ def backward(d_states: np.ndarray, states: np.ndarray, cache: tuple, recurrent:
     """Gradients of the inputs (T, 3H, B) and of U, from those of the states after each step."""
     z, r, n, gn = cache
     size, length = states.shape[1], len(d_states)
-    d_x = np.empty((length, 3 * size, states.shape[2]), states.dtype)
+    # Rows of one gate follow each other, so that the caller can put them together without turning them.
+    d_x = np.empty((3 * size, length, states.shape[2]), states.dtype).transpose(1, 0, 2)
     d_recurrent = np.zeros_like(recurrent)
     carried, back = np.zeros_like(states[0]), np.ascontiguousarray(recurrent.T)
     for_n = (1 - z) * (1 - n * n)
     for_z = (states[:-1] - n) * z * (1 - z)
     for_r = gn * r * (1 - r)
-    d_g = np.empty_like(d_x[0])
+    d_g = np.empty((3 * size, states.shape[2]), states.dtype)
     for t in range(length - 1, -1, -1):
         carried += d_states[t]
         d_n = d_x[t, 2 * size:]

@@ -10,8 +10,9 @@ by the counts of the whole training corpus. The counts also give the unigram sco
 
 Counts travel by batches of documents: a task sends every distinct word of a batch once to the partition
 of its hash, with how often the batch's training documents use it; the partition adds up the counts and
-sends them back to the batch, where they meet the list of which document has which word how often. What
-travels depends on neither the number of partitions nor how often a word is used.
+sends them back to the batch with their ids in the vocabulary, where they meet all tokens of its documents, in
+order and as numbers of the batch's words. So texts are taken apart once, for counts, training and scores. What
+travels does not depend on the number of partitions.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -34,9 +36,9 @@ from .langid import held_out
 
 END = b"\n"
 MODULUS = 5
-#: Tokens that a task counts or scores at once; bytes of text per partition of words.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 1 << 20, 3 << 20
-#: Distinct words that a task holds before it sends their counts.
+#: Tokens that a task counts or scores at once, about; bytes of text for a token.
+COUNT_AT_ONCE, SCORE_AT_ONCE, BYTES_PER_TOKEN = 1 << 20, 3 << 20, 6
+#: Distinct words that a task of `word_counts` holds before it sends their counts.
 HOLD = 1 << 18
 #: Bytes of text from which `sample` grows, with the square root of the input.
 GROWS_FROM = 1 << 28
@@ -44,6 +46,7 @@ GROWS_FROM = 1 << 28
 SLICE = 1 << 14
 #: Words whose powers stay in the cache.
 CACHED = 1 << 11
+#: Bytes of text per partition of words.
 BYTES_PER_PARTITION = 64 << 20
 #: Rounds of the training, but of a small corpus; bytes of text that a worker learns from in a round; words of a document
 #: that one worker gets; parts in which parameters are averaged.
@@ -98,7 +101,7 @@ def grown(training: Training, size: int) -> Training:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of all training documents, ends included."""
+    """(word, n) of all training documents, ends included: the plain way, against which tests hold `summed`. No query uses it."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         for batch in batches:
@@ -167,15 +170,24 @@ def bounded(h: np.ndarray, *weights: np.ndarray) -> bool:
     return max(1.0, float(np.abs(h).max(initial=0))) * max(float(np.abs(w).sum(axis=-1).max()) for w in weights) < 80
 
 
-def powers(x: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(x @ weights.T), the sums of its rows, and what was taken off each row first."""
+def powers(x: np.ndarray, weights: np.ndarray, column: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x @ weights.T) but for a factor of each row, the sums of its rows, the places of each row's column in it, and the logarithms of their shares."""
     p = x @ weights.T
-    off: np.ndarray | float = 0.0
+    at = np.arange(0, p.size, p.shape[1]) + column
+    logs = p.ravel()[at]
     if not safe:
         off = p.max(axis=1)
         p -= off[:, None]
+        logs -= off
     np.exp(p, out=p)
-    return p, p @ np.ones(len(weights), p.dtype), off
+    sums = p @ np.ones(len(weights), p.dtype)
+    logs -= np.log(sums)
+    return p, sums, at, logs
+
+
+def in_order(want: np.ndarray, room: int) -> np.ndarray:
+    """The order of words by their ids; that of short integers takes no comparison."""
+    return np.argsort(want.astype(np.uint16) if room <= 1 << 16 else want, kind="stable")
 
 
 def blocks(which: np.ndarray, classes: int) -> Iterator[tuple[int, slice]]:
@@ -198,36 +210,29 @@ def softmax_step(model: dict[str, np.ndarray], h: np.ndarray, want: np.ndarray,
     """
     outer, inner = np.column_stack([model["to_class"], model["class_bias"]]), np.concatenate([model["to_word"], model["word_bias"][..., None]], axis=2)
     n, classes, safe = max(len(want), 1), len(outer), bounded(h, outer, inner)
-    order = np.argsort(want, kind="stable")
-    ids, own = want[order], with_ones(h[order])
-    which, starts = ids // size, runs(ids)
-    # First what the wanted words' own rows give and get, then what all rows do.
-    picked = outer[which]
-    picked += inner.reshape(-1, inner.shape[2])[ids]
-    loss, d = -np.einsum("ij,ij->", own, picked), -picked
-    wanted = np.add.reduceat(own, starts, axis=0) if len(ids) else own
-    d_outer, d_inner = np.zeros_like(outer), np.zeros_like(inner)
-    d_inner.reshape(-1, inner.shape[2])[ids[starts]] = -wanted
-    np.subtract.at(d_outer, which[starts], wanted)
-    logs = np.empty((2, len(ids)), h.dtype)
-
-    def spread(weights: np.ndarray, part: slice, log: np.ndarray) -> np.ndarray:
-        x = own[part]
-        p, sums, off = powers(x, weights, safe)
-        log[part] = sums if safe else np.log(sums) + off
-        sums = sums[:, None]
-        d_x = p @ weights
-        d_x /= sums
-        d[part] += d_x
-        return p.T @ (x / sums)
-
-    for lo in range(0, len(ids), CACHED):
-        d_outer += spread(outer, slice(lo, lo + CACHED), logs[0])
+    order = in_order(want, classes * size)
+    ids, own = want[order].astype(np.int64), with_ones(np.take(h, order, axis=0))
+    which, within = np.divmod(ids, size)
+    d, d_outer, d_inner = np.empty((len(ids), h.shape[1]), h.dtype), np.zeros_like(outer), np.zeros_like(inner)
+    loss = 0.0
+
+    def spread(weights: np.ndarray, part: slice, column: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        p, sums, at, logs = powers(own[part], weights, column[part], safe)
+        p *= (1 / sums)[:, None]
+        p.ravel()[at] -= 1
+        return float(logs.sum()), p @ weights[:, :-1], p.T @ own[part]
+
+    for part in (slice(lo, lo + CACHED) for lo in range(0, len(ids), CACHED)):
+        logs, d[part], grad = spread(outer, part, which)
+        d_outer += grad
+        loss -= logs
     for c, part in blocks(which, classes):
-        d_inner[c] += spread(inner[c], part, logs[1])
-    loss += (np.log(logs) if safe else logs).sum()
+        logs, d_x, grad = spread(inner[c], part, within)
+        d[part] += d_x
+        d_inner[c] += grad
+        loss -= logs
     d_h = np.empty_like(h)
-    d_h[order] = d[:, :-1]
+    d_h[order] = d
     for x in (d_h, d_outer, d_inner):
         x /= n
     return loss / n, {"to_class": d_outer[:, :-1], "class_bias": d_outer[:, -1], "to_word": d_inner[..., :-1], "word_bias": d_inner[..., -1]}, d_h
@@ -324,7 +329,8 @@ def learn(params: dict[str, np.ndarray], slices: list[tuple[np.ndarray, bool]],
             ids = x.ravel()[order]
             starts = runs(ids)
             grads["table"] = np.zeros_like(table)
-            grads["table"][ids[starts]] = np.add.reduceat(d_x.transpose(0, 2, 1).reshape(-1, 3 * hidden)[order], starts, axis=0)
+            by_gate = np.take(d_x.transpose(1, 0, 2).reshape(3 * hidden, -1), order, axis=1)
+            grads["table"][ids[starts]] = np.add.reduceat(by_gate, starts, axis=1).T
             adam.update(grads)
     return words
 
@@ -409,15 +415,14 @@ def word_values(states: np.ndarray, want: np.ndarray, model: Model) -> np.ndarra
     """Natural log-probabilities of the wanted words after states (N, H)."""
     classes, size, _ = model.to_word.shape
     outer, inner = np.column_stack([model.to_class, model.class_bias]), np.concatenate([model.to_word, model.word_bias[..., None]], axis=2)
-    order, safe = np.argsort(want, kind="stable"), bounded(states, outer, inner)
-    ids, own = want[order], with_ones(states[order])
-    which = ids // size
-    picked = outer[which]
-    picked += inner.reshape(-1, inner.shape[2])[ids]
-    value = np.einsum("ij,ij->i", own, picked).astype(float)
-    for c, part in [*((None, slice(lo, lo + CACHED)) for lo in range(0, len(ids), CACHED)), *blocks(which, classes)]:
-        _, sums, off = powers(own[part], outer if c is None else inner[c], safe)
-        value[part] -= np.log(sums) + off
+    order, safe = in_order(want, classes * size), bounded(states, outer, inner)
+    ids, own = want[order].astype(np.int64), with_ones(np.take(states, order, axis=0))
+    which, within = np.divmod(ids, size)
+    value = np.zeros(len(ids))
+    for part in (slice(lo, lo + CACHED) for lo in range(0, len(ids), CACHED)):
+        value[part] = powers(own[part], outer, which[part], safe)[3]
+    for c, part in blocks(which, classes):
+        value[part] += powers(own[part], inner[c], within[part], safe)[3]
     out = np.empty(len(want))
     out[order] = value
     return out
@@ -447,8 +452,10 @@ def log_likelihoods(texts: list[np.ndarray], model: Model, window: int = 64) ->
         for t in range(steps):
             h = states[t] = gru.step(np.ascontiguousarray(np.take(rows, before, axis=0).T), model.recurrent, h)
             before = ids[t]
-        step, doc = np.nonzero(there)
-        want, known = ids[step, doc], states.transpose(0, 2, 1)[step, doc]
+        doc = np.nonzero(there)[1]
+        want = ids[there]
+        known = states.transpose(0, 2, 1).reshape(-1, hidden)
+        known = known if there.all() else known[there.ravel()]
         value = np.concatenate([word_values(known[k:k + SLICE], want[k:k + SLICE], model) for k in range(0, len(want), SLICE)])
         total[:live] += np.bincount(doc, value, live)
     out = np.empty(len(texts))
@@ -465,13 +472,14 @@ def _spread(data: bytes) -> bytes:
 
 
 #: Rows that tasks exchange. Of each batch of documents: its words by partition of their hash, with the counts
-#: they add; and once, on its way to the batch's own partition, which document has which word how often.
-ASKED = "part int, batch long, first int, words binary, trained binary, ids binary, word binary, docs binary, times binary"
-ASKED_NAMES = ["part", "batch", "first", "words", "trained", "ids", "word", "docs", "times"]
-#: Counts of a batch's words on their way back, the batch's own row, and the totals of a partition of words.
-REPLY = "part int, batch long, first int, counts binary, tail binary, ids binary, word binary, docs binary, times binary, totals array<long>"
-REPLY_NAMES = ["part", "batch", "first", "counts", "tail", "ids", "word", "docs", "times", "totals"]
-ANSWER = "id0 long, id1 long, logs double, tail_logs double, known long, totals array<long>"
+#: they add; and once, on its way to the batch's own partition, its documents, how many tokens each has, and all tokens in order.
+ASKED = "part int, batch long, first int, words binary, trained binary, ids binary, learned binary, sizes binary, flat binary"
+ASKED_NAMES = ["part", "batch", "first", "words", "trained", "ids", "learned", "sizes", "flat"]
+#: Counts of a batch's words on their way back and their ids in the vocabulary, the batch's own row, and the totals of a partition of words.
+REPLY = "part int, batch long, first int, counts binary, known binary, ids binary, learned binary, sizes binary, flat binary, totals array<long>"
+REPLY_NAMES = ["part", "batch", "first", "counts", "known", "ids", "learned", "sizes", "flat", "totals"]
+ANSWER = "id0 long, id1 long, learned boolean, ids binary, n_tokens long, unknown long, logs double, tail_logs double, known long, totals array<long>"
+ANSWER_NAMES = ["id0", "id1", "learned", "ids", "n_tokens", "unknown", "logs", "tail_logs", "known", "totals"]
 
 
 def home(batch: int, parts: int) -> int:
@@ -479,73 +487,131 @@ def home(batch: int, parts: int) -> int:
     return xxhash.xxh64_intdigest(batch.to_bytes(8, "little")) % parts
 
 
-def asked(parts: int, batch: int, ids: list[tuple[int, int]], held: list[bool], texts: list[list[bytes]]) -> pa.RecordBatch:
+def cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows anew in tables of about `most` bytes of the last column, an end included; no row is cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy().astype(np.int64) + BYTES_PER_TOKEN)
+        lo = 0
+        while lo < len(ends):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = min(int(np.searchsorted(ends, before + most - size)) + 1, len(ends))
+            held.append(batch.slice(lo, hi - lo))
+            size += int(ends[hi - 1]) - before
+            lo = hi
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def told_apart(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts (UTF-8 bytes), all tokens as their numbers, and how many each text has; as `tokens` gives them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    found = lists.flatten().dictionary_encode()
+    names, flat = found.dictionary.cast(pa.binary()).to_pylist(), found.indices.to_numpy()
+    # White space at either end of a text leaves an empty word, whose number becomes the end's.
+    end = names.index(b"") if b"" in names else len(names)
+    names[end:end + 1] = [END]
+    there = flat != end
+    words = np.bincount(np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[there], minlength=len(texts))
+    return names, np.insert(flat[there], np.cumsum(words), end), words + 1
+
+
+def asked(parts: int, batch: int, ids: np.ndarray, learned: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
     """What one task tells of a batch of documents. Words are numbered by partition, so each partition has a range of them."""
-    number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for text in texts for w in text), np.int64)
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    names = list(number)
+    names, flat, sizes = told_apart(texts)
     part_of = (np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) % np.uint64(parts)).astype(np.int64)
     by_part = np.argsort(part_of, kind="stable")
-    place = np.empty(len(names), np.int64)
+    place = np.empty(len(names), "<i4")
     place[by_part] = np.arange(len(names))
-    pair, times = np.unique(place[flat] * len(texts) + doc, return_counts=True)
-    word, doc = pair // len(texts), pair % len(texts)
-    trained = np.bincount(word, times * ~np.array(held)[doc], len(names)).astype("<i4")
+    flat = place[flat]
+    trained = np.bincount(flat[np.repeat(learned, sizes)], minlength=len(names)).astype("<i4")
     ordered = part_of[by_part]
     bounds = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
     rows = [(int(ordered[lo]), batch, lo, _squeezed(b" ".join([names[k] for k in by_part[lo:hi].tolist()])), _squeezed(trained[lo:hi].tobytes()), *[None] * 4)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    rows.append((home(batch, parts), batch, None, None, None, np.array(ids, np.int64).tobytes(), _squeezed(np.diff(word, prepend=0).astype("<i4").tobytes()),
-                 _squeezed(doc.astype("<i4").tobytes()), _squeezed(times.astype("<i4").tobytes())))
+    # Of the numbers' bytes, first all lowest ones, and so on: they take less room.
+    planes = flat.view(np.uint8).reshape(-1, 4).T
+    rows.append((home(batch, parts), batch, None, None, None, ids.astype("<i8").tobytes(), learned.astype(np.uint8).tobytes(), _squeezed(sizes.astype("<i8").tobytes()), _squeezed(planes.tobytes())))
     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ASKED_NAMES)
 
 
-def counted(table: pa.Table, vocabulary: frozenset[bytes], parts: int) -> pa.Table:
-    """The counts of one partition of words, addressed to the batches that asked, and the partition's totals."""
+def asking(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """ASKED of documents (id0, id1, learned, text)."""
+    number = TaskContext.get().partitionId() << 32
+    for number, table in enumerate(cut(batches, COUNT_AT_ONCE * BYTES_PER_TOKEN), number):
+        id0, id1, learned, texts = (c.combine_chunks() for c in table.columns)
+        yield asked(parts, number, np.column_stack([id0.to_numpy(), id1.to_numpy()]), learned.to_numpy(zero_copy_only=False), texts)
+
+
+def added(rows: list[tuple[bytes, bytes]]) -> tuple[dict[bytes, int], list[np.ndarray], np.ndarray]:
+    """Of rows (words, trained) of one partition of words: the words' numbers, the words of each row as numbers, and the counts of all."""
     number: dict[bytes, int] = {}
-    read, passed = [], []
-    for row in zip(*(table.column(c).to_pylist() for c in ASKED_NAMES), strict=True):
-        if row[3] is None:
-            passed.append((row[0], row[1], None, None, None, *row[5:], None))
-            continue
-        names = _spread(row[3]).split(b" ")
-        index = np.fromiter((number.setdefault(w, len(number)) for w in names), np.int64, len(names))
-        read.append((row[1], row[2], index, np.frombuffer(_spread(row[4]), "<i4")))
+    read = []
+    for words, _ in rows:
+        names = _spread(words).split(b" ")
+        read.append(np.fromiter((number.setdefault(w, len(number)) for w in names), np.int64, len(names)))
     count = np.zeros(len(number), np.int64)
-    for _, _, index, trained in read:
-        count[index] += trained  # the words of one batch are distinct
-    tail = np.fromiter((w not in vocabulary for w in number), bool, len(number))
-    seen = count > 0
+    for index, (_, trained) in zip(read, rows, strict=True):
+        count[index] += np.frombuffer(_spread(trained), "<i4")  # the words of one batch are distinct
+    return number, read, count
+
+
+def often(table: pa.Table) -> pa.Table:
+    """(word, n) of the words of one partition that may come into the vocabulary; under null how often all others are used."""
+    number, _, count = added(list(zip(*(table.column(c).to_pylist() for c in ("words", "trained")), strict=True)))
+    rows = [(w, n) for w, n in zip(number, count.tolist(), strict=True) if n > 2 or w == END]
+    rows.append((None, int(count.sum()) - sum(n for _, n in rows)))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), pa.int64()], strict=True)], ["word", "n"])
+
+
+def summed(told: DataFrame, parts: int) -> DataFrame:
+    """(word, n) as `vocabulary` needs them, from what tasks told of their documents."""
+    words = told.where("words IS NOT NULL").select("part", "words", "trained")
+    return words.repartitionById(parts, "part").groupBy("part").applyInArrow(often, "word binary, n long")
+
+
+def counted(table: pa.Table, vocabulary: dict[bytes, int], parts: int) -> pa.Table:
+    """The counts of one partition of words, addressed to the batches that asked, and the partition's totals."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ASKED_NAMES), strict=True))
+    words = [row for row in rows if row[3] is not None]
+    number, read, count = added([row[3:5] for row in words])
+    known = np.fromiter((vocabulary.get(w, 0) for w in number), "<u2", len(number))
+    seen, tail = count > 0, known == 0
     totals = [int(x) for x in (count.sum(), seen.sum(), count[tail].sum(), (seen & tail).sum())]
-    rows = passed + [(home(batch, parts), batch, first, _squeezed(count[index].astype("<i8").tobytes()), _squeezed(np.packbits(tail[index]).tobytes()), *[None] * 5)
-                     for batch, first, index, _ in read]
-    if read:
-        rows.append((0, -1, *[None] * 7, totals))
+    out = [(row[0], row[1], None, None, None, *row[5:], None) for row in rows if row[3] is None]
+    out += [(home(row[1], parts), row[1], row[2], _squeezed(count[index].astype("<i8").tobytes()), _squeezed(known[index].tobytes()), *[None] * 5)
+            for row, index in zip(words, read, strict=True)]
+    if words:
+        out.append((0, -1, *[None] * 7, totals))
     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], REPLY_NAMES)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], REPLY_NAMES)
 
 
 def answered(table: pa.Table) -> pa.Table:
-    """Sums per document of one batch; of the rows of totals, their sum."""
+    """Sums per document of one batch, and its tokens as ids of the vocabulary; of the rows of totals, their sum."""
     rows = list(zip(*(table.column(c).to_pylist() for c in REPLY_NAMES[2:]), strict=True))
-    names = ["id0", "id1", "logs", "tail_logs", "known", "totals"]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
     if rows[0][-1] is not None:
         total = np.sum([r[-1] for r in rows], axis=0).tolist()
-        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip([*[None] * 5, total], kinds, strict=True)], names)
+        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip([*[None] * 9, total], kinds, strict=True)], ANSWER_NAMES)
     own = next(r for r in rows if r[3] is not None)
     replies = sorted((r for r in rows if r[3] is None), key=lambda r: r[0])
     count = np.concatenate([np.frombuffer(_spread(r[1]), "<i8") for r in replies])
-    tail = np.concatenate([np.unpackbits(np.frombuffer(_spread(r[2]), np.uint8), count=len(_spread(r[1])) // 8) for r in replies]).astype(bool)
+    known = np.concatenate([np.frombuffer(_spread(r[2]), "<u2") for r in replies])
     keys = np.frombuffer(own[3], "<i8").reshape(-1, 2)
-    word, doc, times = (np.frombuffer(_spread(x), "<i4") for x in own[4:7])
-    word = np.cumsum(word)
+    sizes = np.frombuffer(_spread(own[5]), "<i8")
+    flat = np.frombuffer(_spread(own[6]), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    doc, ids, ends = np.repeat(np.arange(len(keys)), sizes), known[flat], np.cumsum(sizes)
     logs = np.log10(count + 0.5)
-    sums = [np.bincount(doc, times * x[word], len(keys)) for x in (logs, logs * tail, count > 0)]
-    columns = [keys[:, 0], keys[:, 1], sums[0], sums[1], sums[2].astype(np.int64), [None] * len(keys)]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    sums = [np.bincount(doc, x[flat], len(keys)) for x in (known == 0, logs, logs * (known == 0), count > 0)]
+    texts = [_squeezed(ids[end - size:end].tobytes()) for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    columns = [keys[:, 0], keys[:, 1], np.frombuffer(own[4], np.uint8).astype(bool), texts, sizes, sums[0].astype(np.int64), sums[1], sums[2], sums[3].astype(np.int64), [None] * len(keys)]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ANSWER_NAMES)
 
 
 def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -559,82 +625,55 @@ def scored(docs: DataFrame, training: Training = Training(), key: str = "doc_id"
     read = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).cast("binary").alias(ENCODED)).select(
         "key", F.xxhash64("key", ENCODED).alias("id0"), F.xxhash64(ENCODED, "key").alias("id1"), held_out("key", MODULUS).alias("held"), ENCODED)
     size = read.agg(F.sum(F.octet_length(ENCODED))).first()[0] or 0
-    counts = stage(word_counts(read), "counts")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_PER_PARTITION))
+    told = stage(read.select("id0", "id1", F.expr("NOT held AND key IS NOT NULL").alias("learned"), ENCODED).mapInArrow(lambda batches: asking(batches, parts), ASKED), "told")
+    counts = stage(summed(told, parts), "counts")
     word_ids, seen = vocabulary(counts, training)
     discard(counts)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [_squeezed(np.array([word_ids.get(w, 0) for w in tokens(data)], "<u2").tobytes()) for data in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ids, pa.binary())], ["key", "id0", "id1", "held", "learned", "ids"])
-
-    encoded = read.select("key", "id0", "id1", "held", F.expr("NOT held AND key IS NOT NULL").alias("learned"), ENCODED).mapInArrow(
-        encode, f"key {kind}, id0 long, id1 long, held boolean, learned boolean, ids binary")
-    encoded = stage(encoded, "encoded")
-    model = finished(trained(encoded, size, seen, training), word_ids)
-    known = frozenset(model.ids)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_PER_PARTITION))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, texts, many = [], [], [], 0
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for id0, id1, out, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids.append((id0, id1))
-                held.append(out)
-                texts.append(tokens(data))
-                many += len(texts[-1])
-                if many >= COUNT_AT_ONCE:
-                    yield asked(parts, number, ids, held, texts)
-                    ids, held, texts, many, number = [], [], [], 0, number + 1
-        if ids:
-            yield asked(parts, number, ids, held, texts)
-
-    unlearned = F.col("held") | F.col("key").isNull()
-    told = read.select("id0", "id1", unlearned, ENCODED).mapInArrow(ask, ASKED)
-    replies = told.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda t: counted(t, known, parts), REPLY)
-    answers = stage(replies.groupBy("batch").applyInArrow(answered, ANSWER), "answers")
-    del told, replies
+    replies = told.repartitionById(parts, "part").groupBy("part").applyInArrow(lambda t: counted(t, word_ids, parts), REPLY)
+    answers = stage(replies.repartition(parts, "batch").groupBy("batch").applyInArrow(answered, ANSWER), "answers")
+    discard(told)
+    del replies
     release(spark)
     total = answers.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]).alias(c) for k, c in enumerate(("n", "v", "tail_n", "tail_v"))]).first()
     totals = Totals(*(x or 0 for x in total))
-    sums = answers.where("id0 IS NOT NULL").groupBy("id0", "id1").agg(
-        *[F.sum(c).alias(c) for c in ("logs", "tail_logs", "known")], F.count("*").alias("rows"))
-    names = ["key", "id0", "id1", "held", "n_tokens", "unknown", "network"]
+    encoded = answers.where("totals IS NULL")
+    model = finished(trained(encoded, size, seen, training), word_ids)
+    names = ["id0", "id1", "n_tokens", "unknown", "logs", "tail_logs", "known", "network"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
         many = 0
 
         def flush() -> pa.RecordBatch:
-            values = log_likelihoods(texts, model) / np.log(10)
-            sizes = [len(t) for t in texts]
-            unknown = [int((t == 0).sum()) for t in texts]
-            columns = [*zip(*rows, strict=True), sizes, unknown, values]
-            kinds = [key_type, pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(log_likelihoods(texts, model) / np.log(10))], names)
 
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts.append(np.frombuffer(_spread(row[4]), "<u2").astype(np.int32))
-                rows.append(row[:4])
+            rows, ids, lo = batch.select(names[:-1]), batch.column(batch.num_columns - 1).to_pylist(), 0
+            for k, data in enumerate(ids, 1):
+                texts.append(np.frombuffer(_spread(data), "<u2").astype(np.int32))
                 many += len(texts[-1])
+                if many >= SCORE_AT_ONCE or k == len(ids):
+                    held.append(rows.slice(lo, k - lo))
+                    lo = k
                 if many >= SCORE_AT_ONCE:
                     yield flush()
-                    rows, texts, many = [], [], 0
-        if rows:
+                    held, texts, many = [], [], 0
+        if texts:
             yield flush()
 
-    network = encoded.select("key", "id0", "id1", "held", "ids").mapInArrow(score, f"key {kind}, id0 long, id1 long, held boolean, n_tokens long, unknown long, network double")
+    network = encoded.select(*names[:-1], "ids").mapInArrow(
+        score, "id0 long, id1 long, n_tokens long, unknown long, logs double, tail_logs double, known long, network double")
     network = stage(network, "network")
-    discard(encoded)
-    both = network.join(stage(sums, "sums"), ["id0", "id1"])
-    discard(answers)
+    # Equal rows have equal values, but for rounding.
+    sums = stage(network.groupBy("id0", "id1").agg(*[F.min(c).alias(c) for c in names[2:]]), "sums")
+    discard(answers, network)
+    both = read.select("key", "id0", "id1", "held").join(sums, ["id0", "id1"])
     base = float(np.log10(totals.n + 0.5 * (totals.v + 1)))
     tail = float(np.log10(totals.tail_n + 0.5 * (totals.tail_v + 1)))
     return both.select(
-        F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", (F.col("known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(int(totals.n)).cast("long").alias("train_tokens"), (F.col("logs") / F.col("rows") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("network") + F.col("tail_logs") / F.col("rows") - F.col("unknown") * tail).alias("score"), "unknown")
+        F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
+        F.lit(int(totals.n)).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * base).alias("base_score"),
+        (F.col("network") + F.col("tail_logs") - F.col("unknown") * tail).alias("score"), "unknown")

@@ -295,3 +295,53 @@ def test_own_rows_of_batches_are_spread(parts):
     """The first batches of many tasks, one each, reach all partitions about evenly, whatever their number."""
     seen = Counter(lm.home(task << 32, parts) for task in range(100 * parts))
     assert len(seen) == parts and max(seen.values()) < 160
+
+
+def test_texts_are_taken_apart_once(spark, monkeypatch):
+    """Counts, training and scores go by one pass over the words of the texts; there were three."""
+    df = spark.createDataFrame([(k, "a b c d " * 5) for k in range(20)], "doc_id long, text string")
+    kind, passes = type(df), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *args, **more: (passes.append(self.columns), plain(self, *args, **more))[1])
+    lm.scored(df, lm.Training(classes=3, class_size=4, hidden=4, streams=4, window=8, steps=2)).collect()
+    assert sum(lm.ENCODED in columns for columns in passes) == 1
+
+
+def test_words_told_apart_are_the_tokens():
+    texts = [b"", b"  ", b" A b\x0bC\x1cd\x00 ", b"x\ty\nz", "É\u00a0é\u0085 A\u2003a".encode(), b"\xff\xfe A", bytes(range(256)), b"a a A", b"", b"b\r\x0c"]
+    for some in (texts, texts[:1], texts[7:8], texts[::-1]):
+        names, flat, sizes = lm.told_apart(lm.pa.array(some, lm.pa.binary()))
+        ends = np.cumsum(sizes)
+        assert [[names[k] for k in flat[end - size:end]] for end, size in zip(ends, sizes, strict=True)] == [lm.tokens(t) for t in some]
+        assert len(set(names)) == len(names)
+
+
+def test_rows_are_dealt_anew_whole():
+    """Long texts, and many empty ones, come in tables of a bounded size."""
+    texts = [b"", b"x" * 100, b"y" * 5, *[b""] * 90, b"z" * 30]
+    batches = [lm.pa.RecordBatch.from_arrays([lm.pa.array(part, lm.pa.binary())], ["t"]) for part in (texts[:50], [], texts[50:])]
+    got = [t.column(0).to_pylist() for t in lm.cut(iter(batches), 60)]
+    assert sum(got, []) == texts and max(map(len, got)) == 10 and len(got) > 8
+
+
+def test_sums_of_words_are_those_of_a_plain_count(spark):
+    """The vocabulary from what tasks tell of their batches; rare words arrive as one row of a partition."""
+    docs = [(k, " ".join(f"w{k % m}" for m in range(1, 9)) + f" only{k}") for k in range(300)]
+    df = spark.createDataFrame(docs, "key long, text string").selectExpr("key", "key % 5 = 1 AS held", f"CAST(text AS binary) AS {lm.ENCODED}").repartition(3)
+    told = df.selectExpr("key AS id0", "key AS id1", "NOT held AS learned", lm.ENCODED).mapInArrow(lambda b: lm.asking(b, 5), lm.ASKED)
+    training = lm.Training(classes=2, class_size=3)
+    sums = lm.summed(told, 5)
+    (ids, seen), (plain_ids, plain_seen) = lm.vocabulary(sums, training), lm.vocabulary(lm.word_counts(df), training)
+    assert ids == plain_ids and seen.tolist() == plain_seen.tolist() and len(ids) == 5
+    assert sums.where("word LIKE 'only%'").count() == 0
+
+
+def test_large_weights_do_not_overflow():
+    rng = np.random.default_rng(4)
+    params = {"to_class": rng.normal(size=(3, 4)) * 300, "class_bias": rng.normal(size=3), "to_word": rng.normal(size=(3, 2, 4)) * 300, "word_bias": rng.normal(size=(3, 2))}
+    h, want = rng.normal(size=(60, 4)), rng.integers(0, 6, 60)
+    loss, grads, d_h = lm.softmax_step(params, h, want, 2)
+    outer, inner = h @ params["to_class"].T + params["class_bias"], np.einsum("nh,nkh->nk", h, params["to_word"][want // 2]) + params["word_bias"][want // 2]
+    logs = [x - np.logaddexp.reduce(x, axis=1, keepdims=True) for x in (outer, inner)]
+    assert loss == pytest.approx(-np.mean(logs[0][np.arange(60), want // 2] + logs[1][np.arange(60), want % 2]))
+    assert all(np.isfinite(x).all() for x in (d_h, *grads.values()))
